@@ -45,7 +45,7 @@ def inspect_datagrams(df: DataFrame, spec: InspectSpec, keep: Sequence[str]) ->
 
 def inspect_all_rules(df: DataFrame, rules: Sequence[Rule], spec: InspectSpec,
                       keep: Sequence[str]) -> DataFrame:
-    """One row for every rule that hits, not only the first."""
+    """One row for every rule of the row's direction that hits, not only the first."""
     scoped = df.withColumn("_text", byte_text(F.col("payload")))
     scoped = scoped.withColumns({
         "_buf": scope(F.col("_text"), spec),

@@ -82,18 +82,23 @@ def flow_marks(packets: DataFrame, idle_seconds: float | None = None,
 
 def tcp_packets(packets: DataFrame, idle_seconds: float | None = None,
                 rows_per_block: int = PACKETS_PER_BLOCK) -> DataFrame:
-    """Packets with their flow: ``open_seq`` (null if untracked) and ``direction``."""
+    """Packets with their flow: ``open_seq`` (null if untracked), ``direction``, ``closes``."""
     packets = with_pair(packets)
     marks = cut(flow_marks(packets, idle_seconds, rows_per_block))
     # A mark counts from just before its packet, except a close: just after.
-    mark_rows = marks.select(
-        "pair", "pkt_seq", F.when(F.col("kind") == "close", 2).otherwise(0).alias("_tag"),
-        F.when(F.col("kind") == "open", F.struct("pkt_seq", "from_a", "seq")).alias("_open"),
-        F.when(F.col("kind") == "close", F.col("pkt_seq") * 2)
-        .when(F.col("kind") == "gap", F.col("pkt_seq") * 2 - 1).alias("_end"))
+    kind = F.col("kind")
+    before = marks.select(
+        "pair", "pkt_seq", F.lit(0).alias("_tag"),
+        F.when(kind == "open", F.struct("pkt_seq", "from_a", "seq")).alias("_open"),
+        F.when(kind == "gap", F.col("pkt_seq") * 2 - 1).alias("_end"),
+        F.when(kind == "close", F.col("pkt_seq")).alias("_closer"))
+    after = marks.filter(kind == "close").select(
+        "pair", "pkt_seq", F.lit(2).alias("_tag"), (F.col("pkt_seq") * 2).alias("_end"))
+    mark_rows = before.unionByName(after, allowMissingColumns=True)
     rows = packets.withColumn("_tag", F.lit(1)).unionByName(mark_rows, allowMissingColumns=True)
     placed = running(rows, ["pair"], ["pkt_seq", "_tag"], block_of(F.col("pkt_seq"), rows_per_block), [
-        Running("opened", "max", F.col("_open")), Running("ended", "max", F.col("_end"))])
+        Running("opened", "max", F.col("_open")), Running("ended", "max", F.col("_end")),
+        Running("closer", "max", F.col("_closer"))])
     alive = F.col("opened").isNotNull() & (
         F.coalesce(F.col("ended"), F.lit(-1)) < F.col("opened.pkt_seq") * 2)
     return placed.filter(F.col("_tag") == 1).select(
@@ -101,7 +106,8 @@ def tcp_packets(packets: DataFrame, idle_seconds: float | None = None,
         F.when(alive, F.col("opened.pkt_seq")).alias("open_seq"),
         F.when(alive, F.when(F.col("from_a") == F.col("opened.from_a"), "CTS").otherwise("STC"))
         .alias("direction"),
-        F.when(alive, F.col("opened.seq")).alias("client_isn"))
+        F.when(alive, F.col("opened.seq")).alias("client_isn"),
+        F.coalesce(alive & (F.col("closer") == F.col("pkt_seq")), F.lit(False)).alias("closes"))
 
 
 def tracked(packets: DataFrame) -> DataFrame:
@@ -136,7 +142,7 @@ def tcp_flow_table(packets: DataFrame, idle_seconds: float | None = None) -> Dat
     SYN-ACK. With ``idle_seconds``, flows silent that long before the end of
     the capture count as timed out.
     """
-    fin, rst = F.col("flags").contains("F"), F.col("flags").contains("R")
+    rst, syn = F.col("flags").contains("R"), F.col("flags").contains("S")
     cts, stc = F.col("direction") == "CTS", F.col("direction") == "STC"
     ack = F.col("flags").contains("A")
     grouped = packets.groupBy(*FLOW).agg(
@@ -144,9 +150,9 @@ def tcp_flow_table(packets: DataFrame, idle_seconds: float | None = None) -> Dat
         F.first(F.when(cts, F.col("from_a")), ignorenulls=True).alias("client_a"),
         *byte_totals(),
         F.count(F.lit(1)).alias("packets"),
-        F.max(rst).alias("_rst"),
-        (F.max(fin & cts) & F.max(fin & stc)).alias("_fin"),
-        F.coalesce(F.min(F.when(stc & F.col("flags").startswith("SA"), F.col("pkt_seq")))
+        F.max(rst & F.col("closes")).alias("_rst"),
+        F.max("closes").alias("_fin"),
+        F.coalesce(F.min(F.when(stc & syn & ack, F.col("pkt_seq")))
                    < F.max(F.when(cts & ack, F.col("pkt_seq"))), F.lit(False)).alias("established"),
         *([F.max("ts").alias("last_ts")] if idle_seconds is not None else []),
     )

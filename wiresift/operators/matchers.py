@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wiresift.spec import InspectSpec, Rule, SignatureString, context_free, widest_match
+from wiresift.spec import ANY, InspectSpec, Rule, SignatureString, context_free, widest_match
 
 HIT = "struct<rule_id:int,mode:string,start:bigint,end:bigint,whole:boolean,detail:string>"
 
@@ -197,8 +197,15 @@ def first_hit(buf: Column, rules: Sequence[Rule], spec: InspectSpec) -> Column:
 
 
 def all_hits(buf: Column, rules: Sequence[Rule], spec: InspectSpec) -> Column:
-    """Array with the hit of every rule that has one, in rule order."""
-    hits = F.array(*[rule_hit(buf, r, spec) for r in sorted(rules, key=lambda r: r.order)])
+    """Array with the hit of every rule that has one, in rule order.
+
+    A rule bound to one direction is only tried on rows of that ``direction``.
+    """
+    def scoped(rule: Rule) -> Column:
+        hit = rule_hit(buf, rule, spec)
+        return hit if rule.direction == ANY else F.when(F.col("direction") == rule.direction, hit)
+
+    hits = F.array(*[scoped(r) for r in sorted(rules, key=lambda r: r.order)])
     return F.filter(hits, lambda h: h.isNotNull())
 
 
