@@ -87,7 +87,8 @@ def match_bytes(buf: Column, start: Column, size: Column) -> Column:
     return F.substring(buf, (start + 1).cast("int"), size.cast("int"))
 
 
-def match_counters(rows: DataFrame, order: Sequence[str], block: Column, matched: Column) -> DataFrame:
+def match_counters(rows: DataFrame, order: Sequence[str], block: Column | None,
+                   matched: Column) -> DataFrame:
     """Running counts over everything inspected: ``inspected`` and ``matched_so_far``."""
     return running(rows, [], order, block, [
         Running("inspected", "sum", F.lit(1)),

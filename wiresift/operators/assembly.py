@@ -20,15 +20,21 @@ def signed32(diff: Column) -> Column:
     return F.pmod(diff + HALF, F.lit(FULL)) - HALF
 
 
-def stream_offsets(segments: DataFrame, rows_per_block: int = PACKETS_PER_BLOCK) -> DataFrame:
+def longest_stream(segments: DataFrame) -> int:
+    """Payload bytes of the longest stream, repeated ones included."""
+    sizes = segments.groupBy(*STREAM).agg(F.sum("len").alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def stream_offsets(segments: DataFrame, longest: int,
+                   rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
     """Add ``lo``, the offset of a segment in its stream, through any number of wraps.
 
     A stream below 2 GiB cannot wrap onto itself, so the distance to the first
-    sequence number is enough; whether all are is checked once.
+    sequence number is enough.
     """
     first = F.col("isn") + 1
-    longest = segments.groupBy(*STREAM).agg(F.sum("len").alias("n")).agg(F.max("n")).first()[0]
-    if (longest or 0) < HALF:
+    if longest < HALF:
         return segments.withColumn("lo", signed32(F.col("seq") - first))
     block = block_of(F.col("pkt_seq"), rows_per_block)
     before = running(segments, STREAM, ["pkt_seq"], block, [
@@ -39,7 +45,7 @@ def stream_offsets(segments: DataFrame, rows_per_block: int = PACKETS_PER_BLOCK)
 
 
 def assemble(segments: DataFrame, bytes_per_block: int = BYTES_PER_BLOCK,
-             rows_per_block: int = PACKETS_PER_BLOCK) -> DataFrame:
+             rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
     """Which bytes of which segments make up each stream, in delivery order.
 
     ``segments`` has flow_id, direction, pkt_seq, seq, isn and len, no payload.
@@ -49,15 +55,18 @@ def assemble(segments: DataFrame, bytes_per_block: int = BYTES_PER_BLOCK,
     per flow, in the order of delivery).
     """
     data = segments.filter(F.col("len") > 0)
-    placed = stream_offsets(data, rows_per_block).withColumn("hi", F.col("lo") + F.col("len"))
+    longest = longest_stream(data)
+    placed = stream_offsets(data, longest, rows_per_block).withColumn("hi", F.col("lo") + F.col("len"))
     distinct = cut(placed.groupBy(*STREAM, "lo", "hi").agg(F.min("pkt_seq").alias("pkt_seq")))
-    block = F.floor(F.col("lo") / bytes_per_block).cast("bigint")
+    block = None if longest < bytes_per_block else F.floor(F.col("lo") / bytes_per_block).cast("bigint")
     covered = running(distinct, STREAM, ["lo", "pkt_seq"], block,
                       [Running("_covered", "max", F.col("hi"), inclusive=False)])
     edge = F.greatest(F.coalesce(F.col("_covered"), F.lit(0)), F.lit(0))
-    fresh = cut(covered.withColumns({
+    fresh = covered.withColumns({
         "start_off": F.greatest(F.col("lo"), edge), "gap": (F.col("lo") > edge).cast("bigint"),
-    }).filter(F.col("hi") > F.col("start_off")).drop("_covered"))
+    }).filter(F.col("hi") > F.col("start_off")).drop("_covered")
+    if block is not None:
+        fresh = cut(fresh)
     ready = running(fresh, STREAM, ["lo", "pkt_seq"], block, [
         Running("_gaps", "sum", F.col("gap")), Running("delivered_at", "max", F.col("pkt_seq"))])
     kept = ready.filter(F.col("_gaps") == 0).select(
@@ -77,7 +86,7 @@ def with_payload(ranges: DataFrame, packets: DataFrame) -> DataFrame:
 
 
 def defragment(packets: DataFrame, timeout: float = FRAGMENT_TIMEOUT,
-               rows_per_block: int = PACKETS_PER_BLOCK) -> DataFrame:
+               rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
     """Whole datagrams: complete packets as they are, fragments merged.
 
     Fragments meet by (src, dst, proto, ip_id); an id used again after

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wiresift.operators.scan import PACKETS_PER_BLOCK, Running, block_of, running
+from wiresift.session import cut
 from wiresift.spec import DEFAULT_POST_PACKETS
 
 
@@ -33,7 +34,7 @@ def extract_post(packets: DataFrame, matches: DataFrame, flow: Sequence[str],
 
 def extract_windows(packets: DataFrame, matches: DataFrame, flow: Sequence[str],
                     post: int = DEFAULT_POST_PACKETS,
-                    rows_per_block: int = PACKETS_PER_BLOCK) -> DataFrame:
+                    rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
     """The same where a flow can match again: adds ``extract_no``.
 
     A match within the quota of the one before moves the end of the extract;
@@ -46,7 +47,7 @@ def extract_windows(packets: DataFrame, matches: DataFrame, flow: Sequence[str],
     starts = F.coalesce(F.col("pkt_no") > F.col("_last") + post, F.lit(True))
     islands = running(before.withColumn("_start", starts.cast("bigint")), flow, ["pkt_no"], block,
                       [Running("_island", "sum", F.col("_start"))])
-    cuts = islands.groupBy(*flow, "_island").agg((F.max("pkt_no") + post).alias("pkt_no"))
+    cuts = cut(islands.groupBy(*flow, "_island").agg((F.max("pkt_no") + post).alias("pkt_no")))
     last = cuts.groupBy(*flow).agg(F.max("pkt_no").alias("_last_cut"))
     kept = packets.join(last, list(flow)).filter(F.col("pkt_no") <= F.col("_last_cut")).drop("_last_cut")
     marks = cuts.select(*flow, "pkt_no", F.lit(1).alias("_tag"), F.lit(1).alias("_one"))

@@ -33,7 +33,7 @@ def _side(first: Column, field: str) -> Column:
 
 
 def idle_gaps(packets: DataFrame, idle_seconds: float,
-              rows_per_block: int = PACKETS_PER_BLOCK) -> DataFrame:
+              rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
     """Packets of a pair that come more than ``idle_seconds`` after the one before."""
     last = running(packets, ["pair"], ["pkt_seq"], block_of(F.col("pkt_seq"), rows_per_block),
                    [Running("_last_ts", "max", F.col("ts"), inclusive=False)])
@@ -42,7 +42,7 @@ def idle_gaps(packets: DataFrame, idle_seconds: float,
 
 
 def flow_marks(packets: DataFrame, idle_seconds: float | None = None,
-               rows_per_block: int = PACKETS_PER_BLOCK) -> DataFrame:
+               rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
     """Where flows open and close: rows (pair, pkt_seq, kind), a few per flow.
 
     A flow opens with a packet whose flags are exactly ``S`` while none is open
@@ -81,7 +81,7 @@ def flow_marks(packets: DataFrame, idle_seconds: float | None = None,
 
 
 def tcp_packets(packets: DataFrame, idle_seconds: float | None = None,
-                rows_per_block: int = PACKETS_PER_BLOCK) -> DataFrame:
+                rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
     """Packets with their flow: ``open_seq`` (null if untracked), ``direction``, ``closes``."""
     packets = with_pair(packets)
     marks = cut(flow_marks(packets, idle_seconds, rows_per_block))
@@ -116,11 +116,21 @@ def tracked(packets: DataFrame) -> DataFrame:
 
 
 def number_packets(packets: DataFrame, keys: list[str] = FLOW,
-                   rows_per_block: int = PACKETS_PER_BLOCK) -> DataFrame:
+                   rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
     """1-based packet numbers within a flow, both directions counted together."""
     return numbered(packets, keys, ["pkt_seq"], block_of(F.col("pkt_seq"), rows_per_block), "pkt_no")
 
 
+def flow_index(packets: DataFrame, rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
+    """Numbered packets of tracked TCP flows, headers only, written once.
+
+    Payloads are fetched from the packet table by ``pkt_seq``.
+    """
+    headers = packets.drop("payload", "pkt")
+    return cut(number_packets(tracked(tcp_packets(headers, None, rows_per_block)),
+                              rows_per_block=rows_per_block))
+
+
 def packet_lengths(numbered_packets: DataFrame, direction: str, keys: list[str] = FLOW) -> DataFrame:
     """(packet number, payload length) rows of one direction."""
     return numbered_packets.filter(F.col("direction") == direction).select(*keys, "pkt_no", "len")
@@ -174,7 +184,7 @@ def udp_key_is_sender() -> Column:
     return (F.col("dport") <= LOW_PORT) & (F.col("sport") >= LOW_PORT)
 
 
-def udp_packets(packets: DataFrame, rows_per_block: int = PACKETS_PER_BLOCK) -> DataFrame:
+def udp_packets(packets: DataFrame, rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
     """Packets with ``direction`` and ``open_seq``; a pair's first packet fixes its keyed endpoint."""
     packets = with_pair(packets)
     key_a = F.col("from_a") == udp_key_is_sender()
@@ -200,14 +210,15 @@ def udp_flow_table(packets: DataFrame) -> DataFrame:
 
 
 def udp_epochs(packets: DataFrame, matched: Column,
-               rows_per_block: int = PACKETS_PER_BLOCK) -> DataFrame:
+               rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
     """``flow_epoch``: how often the pair's flow has restarted after a matching datagram."""
     return running(packets, ["pair"], ["pkt_seq"], block_of(F.col("pkt_seq"), rows_per_block),
                    [Running("flow_epoch", "sum", matched.cast("bigint"), inclusive=False)])
 
 
-def flow_ids(flows: DataFrame, flows_per_block: int = PACKETS_PER_BLOCK) -> DataFrame:
+def flow_ids(flows: DataFrame, flows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
     """Ordinals by first packet: over all flows and within the protocol."""
+    flows = cut(flows)
     block = block_of(F.col("first_seq"), flows_per_block)
     overall = numbered(flows, [], ["first_seq"], block, "flow_no")
     return numbered(overall, ["proto"], ["first_seq"], block, "proto_no")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from wiresift.spec import ANY, InspectSpec, Rule, SignatureString, context_free, widest_match
 
+# Piece lengths, from coarse to fine, by which long texts are taken apart.
+SEGMENTS = (1 << 17, 1 << 11, 1 << 6)
 HIT = "struct<rule_id:int,mode:string,start:bigint,end:bigint,whole:boolean,detail:string>"
 
 
@@ -62,39 +64,76 @@ def allowed_edits(length: int, threshold: int) -> int:
     return math.floor(length * (100.5 - threshold) / 100 + 1e-9)
 
 
-def partial_ratio(buf: Column, pattern: str) -> Column:
-    """Best similarity (0-100) of the shorter text to any same-length part of the longer."""
+def _segments(buf: Column, overlap: int, sizes: Sequence[int] = SEGMENTS) -> Column:
+    """Array of short pieces covering ``buf``, each reaching ``overlap`` into the next.
+
+    Taking text by position walks the text from its start, so positions are
+    resolved in a few steps, from long pieces to short ones.
+    """
+    def cut_up(text: Column, size: int) -> Column:
+        last = F.greatest(F.length(text) - overlap - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last, F.lit(size)),
+                           lambda i: F.substring(text, i + 1, F.lit(size + overlap)))
+
+    def finer(pieces: Column, size: int) -> Column:
+        return F.flatten(F.transform(pieces, lambda p: cut_up(p, size)))
+
+    pieces = cut_up(buf, sizes[0])
+    for size in sizes[1:]:
+        pieces = finer(pieces, size)
+    return pieces
+
+
+def _fewest_edits(text: Column, pattern: str) -> Column:
+    """Least edit distance of ``pattern`` to any part of ``text`` of the same length."""
+    return F.array_min(F.transform(
+        F.sequence(F.lit(1), F.length(text) - len(pattern) + 1),
+        lambda i: F.levenshtein(F.substring(text, i, F.lit(len(pattern))), F.lit(pattern))))
+
+
+def _percent(edits: Column, length: Column) -> Column:
+    return F.round(F.lit(100.0) * (length - edits) / length).cast("int")
+
+
+def partial_ratio(buf: Column, pattern: str, threshold: int | None = None) -> Column:
+    """Best similarity (0-100) of the shorter text to any same-length part of the longer.
+
+    With a threshold, parts that cannot reach it are left out and the result is
+    null if all are.
+    """
     size = len(pattern)
-    whole = F.lit(pattern)
-    slide = F.array_min(F.transform(
-        F.sequence(F.lit(1), F.length(buf) - size + 1),
-        lambda i: F.levenshtein(F.substring(buf, i, F.lit(size)), whole)))
+    pieces = _segments(buf, size - 1)
+    if threshold is not None:
+        pieces = F.filter(pieces, lambda p: _has_piece(p, pattern, threshold))
+    slide = F.array_min(F.transform(pieces, lambda p: _fewest_edits(p, pattern)))
     short = F.array_min(F.transform(
         F.sequence(F.lit(1), F.lit(size + 1) - F.length(buf)),
-        lambda i: F.levenshtein(F.substring(whole, i, F.length(buf)), buf)))
-    percent = lambda edits, length: F.round(F.lit(100.0) * (length - edits) / length).cast("int")
+        lambda i: F.levenshtein(F.substring(F.lit(pattern), i, F.length(buf)), buf)))
     return (F.when(F.length(buf) == 0, F.lit(0))
-            .when(F.length(buf) >= size, percent(slide, F.lit(size)))
-            .otherwise(percent(short, F.length(buf))))
+            .when(F.length(buf) >= size, _percent(slide, F.lit(size)))
+            .otherwise(_percent(short, F.length(buf))))
 
 
-def maybe_fuzzy(buf: Column, rule: Rule) -> Column:
-    """Cheap test that keeps every buffer able to reach the threshold.
+def _has_piece(text: Column, pattern: str, threshold: int) -> Column:
+    """Whether ``text`` can hold a part within the allowed edits of ``pattern``.
 
-    Within the allowed edits, at least one of (edits + 1) pieces of the pattern
-    must occur unchanged. Buffers shorter than the pattern always stay.
+    At least one of (edits + 1) pieces of the pattern must occur unchanged.
     """
-    edits = allowed_edits(len(rule.pattern), rule.threshold)
-    if edits + 1 > len(rule.pattern):
+    edits = allowed_edits(len(pattern), threshold)
+    if edits + 1 > len(pattern):
         return F.lit(True)
-    cuts = [round(i * len(rule.pattern) / (edits + 1)) for i in range(edits + 2)]
-    pieces = {rule.pattern[a:b] for a, b in zip(cuts, cuts[1:])}
-    some = F.length(buf) < len(rule.pattern)
-    for piece in sorted(pieces):
-        some = some | buf.contains(F.lit(piece))
+    cuts = [round(i * len(pattern) / (edits + 1)) for i in range(edits + 2)]
+    some = F.lit(False)
+    for piece in sorted({pattern[a:b] for a, b in zip(cuts, cuts[1:])}):
+        some = some | text.contains(F.lit(piece))
     return some
 
 
+def maybe_fuzzy(buf: Column, rule: Rule) -> Column:
+    """Cheap test that keeps every buffer able to reach the threshold."""
+    return (F.length(buf) < len(rule.pattern)) | _has_piece(buf, rule.pattern, rule.threshold)
+
+
 def fuzzy_hit(buf: Column, rule: Rule, invert: bool = False) -> Column:
     """Whole buffer if its best partial ratio reaches (invert: misses) the threshold."""
     def judged(ratio: Column) -> Column:
@@ -103,8 +142,9 @@ def fuzzy_hit(buf: Column, rule: Rule, invert: bool = False) -> Column:
         detail = F.format_string(f"(ratio: %d {sign} threshold: {rule.threshold})", ratio)
         return F.when(passed, _hit(rule, F.lit(0), F.length(buf), whole=True, detail=detail))
 
-    tested = let(partial_ratio(buf, rule.pattern), judged)
-    return tested if invert else F.when(maybe_fuzzy(buf, rule), tested)
+    if invert:
+        return let(partial_ratio(buf, rule.pattern), judged)
+    return F.when(maybe_fuzzy(buf, rule), let(partial_ratio(buf, rule.pattern, rule.threshold), judged))
 
 
 def hex_text(digits: str) -> str:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
@@ -30,17 +30,30 @@ class Running:
     inclusive: bool = True
 
 
-def block_of(order: Column, rows: int = PACKETS_PER_BLOCK) -> Column:
-    """Block number of a dense, non-negative order key."""
-    return F.floor(order / F.lit(rows)).cast("bigint")
+def block_of(order: Column, rows: int | None = PACKETS_PER_BLOCK) -> Column | None:
+    """Block number of a dense, non-negative order key; None if there is one block only."""
+    return None if rows is None else F.floor(order / F.lit(rows)).cast("bigint")
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
+def block_rows(table: DataFrame, order: str = "pkt_seq", rows: int = PACKETS_PER_BLOCK) -> int | None:
+    """Rows per block, or None where one block holds the whole table.
+
+    Reads the order column of ``table`` once; give it a table as it is stored.
+    """
+    low, high = table.agg(F.min(order), F.max(order)).first()
+    return None if high is None or (low >= 0 and high < rows) else rows
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None,
             what: Sequence[Running]) -> DataFrame:
     """Add running aggregates per ``keys`` in the order of ``order``.
 
-    ``block`` must not decrease along ``order``. Keys must not be null.
+    ``block`` must not decrease along ``order``. Keys must not be null. Without
+    a block, all rows are known to fit one, and a plain window does.
     """
+    if block is None:
+        flow = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({w.name: _plain(w, flow) for w in what})
     df = df.withColumn(BLOCK, block)
     group = [*keys, BLOCK]
     totals = df.groupBy(*group).agg(
@@ -66,7 +79,13 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Col
     return joined.select(*[c for c in df.columns if c != BLOCK], *out)
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
+def _plain(w: Running, flow: WindowSpec) -> Column:
+    value = _AGG[w.how](w.value).over(
+        flow.rowsBetween(Window.unboundedPreceding, 0 if w.inclusive else -1))
+    return F.coalesce(value, F.lit(0)) if w.how == "sum" else value
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None,
              name: str) -> DataFrame:
     """1-based position of each row among the rows with equal ``keys``."""
     return running(df, keys, order, block, [Running(name, "sum", F.lit(1))])

@@ -23,6 +23,7 @@ from wiresift.functions.bytestr import byte_text
 from wiresift.operators.carry import carry_first, carry_multi
 from wiresift.operators.datagrams import per_direction
 from wiresift.operators.matchers import first_hit, let, may_hit, reach
+from wiresift.operators.scan import Running, block_of, running
 from wiresift.operators.scope import needed_directions, scope_base, scope_end
 from wiresift.operators.signature_streams import signature_first
 from wiresift.spec import InspectSpec, Rule
@@ -259,10 +260,7 @@ def _multi(chunks: DataFrame, spec: InspectSpec, per_block: int, long_flows: boo
 
 def line_mode(chunks: DataFrame, per_block: int = CHUNKS_PER_BLOCK) -> DataFrame:
     """No rules: every delivered chunk with its place in its direction's stream."""
-    from wiresift.operators.scan import Running, running
-
     rows = chunks.withColumn("size", F.octet_length("payload").cast("bigint")).filter(F.col("size") > 0)
-    placed = running(rows, ["flow_id", "direction"], ["chunk_no"],
-                     F.floor(F.col("chunk_no") / per_block).cast("bigint"),
-                     [Running("end_off", "sum", F.col("size"))])
+    block = block_of(F.col("chunk_no"), per_block if is_long(chunks, per_block) else None)
+    placed = running(rows, ["flow_id", "direction"], ["chunk_no"], block, [Running("end_off", "sum", F.col("size"))])
     return placed.withColumn("start_off", F.col("end_off") - F.col("size"))

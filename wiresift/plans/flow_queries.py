@@ -11,11 +11,11 @@ from wiresift.functions import headers as H
 from wiresift.functions import text as X
 from wiresift.operators import assembly, extract, flows, summary
 from wiresift.operators.datagrams import inspect_datagrams
-from wiresift.operators.scan import block_of
+from wiresift.operators.scan import PACKETS_PER_BLOCK, block_of, block_rows
 from wiresift.operators.streams import inspect_streams
 from wiresift.plans.header_queries import encoded_tcp, encoded_udp
 from wiresift.plans.registry import TCP_FLOW, UDP, UDP_ENDS, UDP_FLOW, query, tcp_flow
-from wiresift.session import checkpoint_dir
+from wiresift.session import checkpoint_dir, cut
 from wiresift.sources import capture, sinks
 from wiresift.sources import tables as T
 from wiresift.spec import InspectSpec, Rule
@@ -27,8 +27,13 @@ SEVEN_SQL = r"""\{.k.: 7[0-9]?\}"""
 POST = 5
 
 
+def event_rows(spark: SparkSession, sf_dir: str) -> int | None:
+    return block_rows(T.table(spark, sf_dir, "events"), "event_id")
+
+
 def tracked_tcp(spark: SparkSession, sf_dir: str, idle: float | None = None) -> DataFrame:
-    return flows.tracked(flows.tcp_packets(T.tcp_headers(spark, sf_dir).drop("payload"), idle))
+    headers = T.tcp_headers(spark, sf_dir).drop("payload")
+    return cut(flows.tracked(flows.tcp_packets(headers, idle, event_rows(spark, sf_dir))))
 
 
 TCP_TABLE = """SELECT 'TCP' AS proto, open_seq, any_value(client) AS client, any_value(cport) AS cport,
@@ -73,15 +78,15 @@ def flow_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The UDP view stands for a capture that follows the TCP one."""
     both = ["proto", "client", "first_seq"]
     tcp = flows.tcp_flow_table(tracked_tcp(spark, sf_dir)).select(*both)
-    udp = flows.udp_flow_table(flows.udp_packets(T.udp_headers(spark, sf_dir).drop("payload")))
-    later = udp.withColumn("first_seq", F.col("first_seq") + 1_000_000_000).select(*both)
+    pairs = flows.udp_flow_table(udp(spark, sf_dir))
+    later = pairs.withColumn("first_seq", F.col("first_seq") + 1_000_000_000).select(*both)
     return flows.flow_ids(tcp.unionByName(later))
 
 
 @query(f"""WITH {TCP_FLOW} SELECT open_seq, pkt_seq, direction, len,
   row_number() OVER (PARTITION BY open_seq ORDER BY pkt_seq) AS pkt_no FROM tf WHERE open_seq IS NOT NULL""")
 def packet_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.number_packets(tracked_tcp(spark, sf_dir)).select(
+    return numbered_tcp(spark, sf_dir).select(
         "open_seq", "pkt_seq", "direction", "len", "pkt_no")
 
 
@@ -89,12 +94,12 @@ def packet_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM tf WHERE open_seq IS NOT NULL)
 SELECT open_seq, pkt_no, len FROM n WHERE direction = 'STC'""")
 def packet_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = flows.number_packets(tracked_tcp(spark, sf_dir))
+    numbered = numbered_tcp(spark, sf_dir)
     return flows.packet_lengths(numbered, "STC", ["open_seq"])
 
 
 def udp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.udp_packets(T.udp_headers(spark, sf_dir))
+    return flows.udp_packets(T.udp_headers(spark, sf_dir), event_rows(spark, sf_dir))
 
 
 @query(f"""WITH {UDP_FLOW} SELECT pkt_seq, src, sport, dst, dport, open_seq, direction FROM udpf""")
@@ -121,7 +126,7 @@ def udp_flow_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def udp_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = F.decode("payload", "ISO-8859-1").rlike(SEVEN.pattern)
     packets = udp(spark, sf_dir).withColumn("matched", matched).drop("payload")
-    return flows.udp_epochs(packets, F.col("matched")).select("pkt_seq", "open_seq", "flow_epoch")
+    return flows.udp_epochs(packets, F.col("matched"), event_rows(spark, sf_dir)).select("pkt_seq", "open_seq", "flow_epoch")
 
 
 SEGMENT, OVERLAP, LOST_EVERY = 1000, 200, 7
@@ -157,7 +162,8 @@ SELECT doc_id AS flow_id, CASE WHEN doc_id % 2 = 0 THEN 'CTS' ELSE 'STC' END AS
 FROM r WHERE end_off > start_off AND (doc_id % {LOST_EVERY} <> 0 OR i < 3)""")
 def stream_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = segments(spark, sf_dir)
-    ranges = assembly.assemble(packets.drop("payload"))
+    rows = block_rows(T.table(spark, sf_dir, "documents"), "doc_id", PACKETS_PER_BLOCK // 65536)
+    ranges = assembly.assemble(packets.drop("payload"), rows_per_block=rows and PACKETS_PER_BLOCK)
     return assembly.with_payload(ranges, packets).select(
         "flow_id", "direction", "chunk_no", "start_off", "end_off", F.hex("payload").alias("data"))
 
@@ -194,17 +200,16 @@ def open_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.number_packets(flows.tracked(flows.tcp_packets(T.tcp_headers(spark, sf_dir))))
-
+    return flows.flow_index(T.tcp_headers(spark, sf_dir), event_rows(spark, sf_dir))
 
-def tcp_chunks(packets: DataFrame) -> DataFrame:
-    """Data packets of numbered flows as stream chunks."""
-    return packets.filter(F.col("len") > 0).select(
-        F.col("open_seq").alias("flow_id"), "direction", F.col("pkt_no").alias("chunk_no"), "payload")
 
-
-def tcp_matches(packets: DataFrame, spec: InspectSpec) -> DataFrame:
-    return inspect_streams(tcp_chunks(packets), spec).select(
+def tcp_matches(spark: SparkSession, sf_dir: str, index: DataFrame, spec: InspectSpec) -> DataFrame:
+    """Matches in the data packets of numbered flows."""
+    payloads = T.tcp_headers(spark, sf_dir).filter(F.col("len") > 0).select("pkt_seq", "payload")
+    chunks = index.filter(F.col("len") > 0).select(
+        F.col("open_seq").alias("flow_id"), "direction", F.col("pkt_no").alias("chunk_no"), "pkt_seq",
+    ).join(payloads, "pkt_seq").drop("pkt_seq")
+    return inspect_streams(chunks, spec).select(
         F.col("flow_id").alias("open_seq"), F.col("chunk_no").alias("match_pkt"), "direction", "rule_id",
         "start_off", "end_off", "size")
 
@@ -217,8 +222,8 @@ hit AS (SELECT open_seq, min(pkt_no) AS match_pkt FROM n WHERE regexp_matches(pa
 @query(f"""WITH {TCP_NUMBERED} SELECT n.open_seq, n.pkt_seq, pkt_no, direction FROM n JOIN hit USING (open_seq)""")
 def extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = numbered_tcp(spark, sf_dir)
-    matches = tcp_matches(packets, InspectSpec(rules=(SEVEN,)))
-    return extract.extract_all(packets.drop("payload"), matches, ["open_seq"]).select(
+    matches = tcp_matches(spark, sf_dir, packets, InspectSpec(rules=(SEVEN,)))
+    return extract.extract_all(packets, matches, ["open_seq"]).select(
         "open_seq", "pkt_seq", "pkt_no", "direction")
 
 
@@ -226,8 +231,8 @@ def extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE pkt_no <= match_pkt + {POST}""")
 def extract_post_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = numbered_tcp(spark, sf_dir)
-    matches = tcp_matches(packets, InspectSpec(rules=(SEVEN,)))
-    return extract.extract_post(packets.drop("payload"), matches, ["open_seq"], POST).select(
+    matches = tcp_matches(spark, sf_dir, packets, InspectSpec(rules=(SEVEN,)))
+    return extract.extract_post(packets, matches, ["open_seq"], POST).select(
         "open_seq", "pkt_seq", "pkt_no", "direction")
 
 
@@ -243,10 +248,12 @@ c AS (SELECT open_seq, island, max(pkt_no) + {POST} AS cut_at FROM b GROUP BY AL
 SELECT n.open_seq, n.pkt_seq, n.pkt_no, min(island) AS extract_no
 FROM n JOIN c ON n.open_seq = c.open_seq AND n.pkt_no <= c.cut_at GROUP BY ALL""")
 def extract_udp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packets = flows.number_packets(udp(spark, sf_dir))
-    spec = InspectSpec(rules=(SEVEN,))
-    matches = inspect_datagrams(packets, spec, ["open_seq", "pkt_no"]).withColumnRenamed("pkt_no", "match_pkt")
-    return extract.extract_windows(packets.drop("payload"), matches, ["open_seq"], POST).select(
+    rows = event_rows(spark, sf_dir)
+    index = cut(flows.number_packets(udp(spark, sf_dir).drop("payload"), rows_per_block=rows))
+    payloads = T.udp_headers(spark, sf_dir).select("pkt_seq", "payload")
+    matches = inspect_datagrams(index.join(payloads, "pkt_seq"), InspectSpec(rules=(SEVEN,)), [
+        "open_seq", "pkt_no"]).withColumnRenamed("pkt_no", "match_pkt")
+    return extract.extract_windows(index, matches, ["open_seq"], POST, rows).select(
         "open_seq", "pkt_seq", "pkt_no", "extract_no")
 
 
@@ -261,7 +268,7 @@ def extract_linemode(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM n LEFT JOIN hit USING (open_seq) GROUP BY 1""")
 def flow_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = numbered_tcp(spark, sf_dir)
-    found = tcp_matches(packets, InspectSpec(rules=(SEVEN,))).select("open_seq", F.lit(True).alias("matched"))
+    found = tcp_matches(spark, sf_dir, packets, InspectSpec(rules=(SEVEN,))).select("open_seq", F.lit(True).alias("matched"))
     counts = packets.select("open_seq", F.lit(False).alias("matched")).unionByName(
         found.withColumn("matched", F.lit(True)))
     return summary.flow_packets(counts, ["open_seq"]).select(
@@ -288,35 +295,39 @@ def flow_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("direction")).alias("filter"))
 
 
-def named_packets(packets: DataFrame, table: DataFrame) -> DataFrame:
+def named_packets(packets: DataFrame, table: DataFrame, rows: int | None) -> DataFrame:
     """Packets with the capture file name of their flow."""
-    ids = flows.flow_ids(table)
+    ids = flows.flow_ids(table, rows)
     names = ids.select("open_seq", X.file_name(
         F.col("proto"), F.col("proto_no"), F.col("client"), F.col("cport"), F.col("server"),
         F.col("sport")).alias("file_name"))
     return packets.join(names, "open_seq")
 
 
-@query(f"""WITH {TCP_NUMBERED}, t AS (SELECT open_seq, row_number() OVER (ORDER BY open_seq) AS no,
-  any_value(client) AS client, any_value(cport) AS cport FROM n GROUP BY 1)
+@query(f"""WITH {TCP_NUMBERED}, t AS (SELECT open_seq, row_number() OVER (ORDER BY open_seq) AS no FROM n GROUP BY 1)
 SELECT format('TCP-{{:08d}}-{{}}.{{}}-192.168.0.1.80', no, client, cport) AS file_name, 0 AS part_no,
   24 + sum(16 + 14 + 40 + len) AS size
 FROM n JOIN hit USING (open_seq) JOIN t USING (open_seq) GROUP BY ALL""")
 def flow_capture_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = numbered_tcp(spark, sf_dir)
-    matches = tcp_matches(packets, InspectSpec(rules=(SEVEN,)))
-    kept = extract.extract_all(packets, matches, ["open_seq"])
-    named = named_packets(encoded_tcp(kept), flows.tcp_flow_table(packets))
-    images = sinks.flow_captures(named.select("file_name", "pkt_seq", "ts", "pkt"), block_of(F.col("pkt_seq")))
+    matches = tcp_matches(spark, sf_dir, packets, InspectSpec(rules=(SEVEN,)))
+    payloads = T.tcp_headers(spark, sf_dir).select("pkt_seq", "payload")
+    kept = extract.extract_all(packets, matches, ["open_seq"]).join(payloads, "pkt_seq")
+    rows = event_rows(spark, sf_dir)
+    named = named_packets(encoded_tcp(kept), flows.tcp_flow_table(packets), rows)
+    images = sinks.flow_captures(
+        named.select("file_name", "pkt_seq", "ts", "pkt"), block_of(F.col("pkt_seq"), rows))
     return images.select("file_name", "part_no", F.octet_length("content").alias("size"))
 
 
 @query(f"""WITH {UDP}, {UDP_ENDS} SELECT src, sport, dst, dport, props AS payload, len FROM udpe""")
 def capture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as capture files, one per flow, and read back."""
-    packets = encoded_udp(udp(spark, sf_dir).withColumn("client_isn", F.lit(None)))
-    named = named_packets(packets, flows.udp_flow_table(packets))
-    images = sinks.flow_captures(named.select("file_name", "pkt_seq", "ts", "pkt"), block_of(F.col("pkt_seq")))
+    packets = udp(spark, sf_dir)
+    rows = event_rows(spark, sf_dir)
+    named = named_packets(encoded_udp(packets), flows.udp_flow_table(packets), rows)
+    images = sinks.flow_captures(
+        named.select("file_name", "pkt_seq", "ts", "pkt"), block_of(F.col("pkt_seq"), rows))
     folder = f"{checkpoint_dir(spark)}/captures-{uuid.uuid4().hex}"
     sinks.write_captures(spark, images, folder)
     decoded = H.decode_packets(capture.read_capture(spark, folder))

@@ -108,7 +108,7 @@ fm AS (
 
 def multi_of_prefix(pattern: str) -> str:
     """SQL for multi-match mode with one context-free pattern, as ``mm``."""
-    return "RECURSIVE " + PREFIXES + f""", step(flow_id, direction, k, chunk_no, skip, hit, at, buf) AS (
+    return "RECURSIVE " + PREFIXES + f""", step(flow_id, direction, k, chunk_no, skip, hit, pos0, buf) AS (
   SELECT flow_id, direction, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR),
     CAST(0 AS BIGINT), '' FROM pre WHERE k = 1
   UNION ALL
@@ -123,6 +123,6 @@ def multi_of_prefix(pattern: str) -> str:
 mm AS (
   SELECT flow_id, direction, chunk_no,
     row_number() OVER (PARTITION BY flow_id, direction ORDER BY chunk_no) AS match_no,
-    strlen(substr(buf, 1, at)) AS start_off, strlen(substr(buf, 1, at)) + strlen(hit) AS end_off,
+    strlen(substr(buf, 1, pos0)) AS start_off, strlen(substr(buf, 1, pos0)) + strlen(hit) AS end_off,
     strlen(hit) AS size, hit
   FROM step WHERE hit IS NOT NULL)"""

@@ -24,7 +24,7 @@ def write_matches(matches: DataFrame, path: str, mode: str = "append") -> None:
     matches.write.mode(mode).partitionBy("proto", "direction").parquet(path)
 
 
-def file_parts(rows: DataFrame, key: Sequence[str], order: Sequence[str], block: Column,
+def file_parts(rows: DataFrame, key: Sequence[str], order: Sequence[str], block: Column | None,
                content: Column, part_bytes: int = PART_BYTES) -> DataFrame:
     """Join up the bytes of each ``key`` in order, in parts of about ``part_bytes``.
 
@@ -40,7 +40,7 @@ def file_parts(rows: DataFrame, key: Sequence[str], order: Sequence[str], block:
     return grouped.select(*key, "part_no", text_bytes(joined).alias("content"))
 
 
-def payload_log(matches: DataFrame, key: Sequence[str], order: Sequence[str], block: Column,
+def payload_log(matches: DataFrame, key: Sequence[str], order: Sequence[str], block: Column | None,
                 part_bytes: int = PART_BYTES) -> DataFrame:
     """Matched bytes per flow direction, in match order."""
     return file_parts(matches, key, order, block, F.col("data"), part_bytes)
@@ -60,7 +60,7 @@ def capture_record(pkt: Column, ts: Column) -> Column:
         be_bytes(size, 4), be_bytes(size, 4), F.unhex(F.lit(LINK_HEADER)), pkt)
 
 
-def flow_captures(packets: DataFrame, block: Column, part_bytes: int = PART_BYTES) -> DataFrame:
+def flow_captures(packets: DataFrame, block: Column | None, part_bytes: int = PART_BYTES) -> DataFrame:
     """Capture files of flows: (file_name, part_no, content).
 
     ``packets`` has file_name, pkt_seq, ts and pkt. Every part is a capture

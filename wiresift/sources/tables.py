@@ -23,8 +23,12 @@ def utf8(col: str) -> Column:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as stream chunks: a conversation is a flow, users are clients."""
+    return chunks_view(table(spark, sf_dir, "conversations"))
+
+
+def chunks_view(turns: DataFrame) -> DataFrame:
     role = F.col("role")
-    return table(spark, sf_dir, "conversations").filter(role.isin("user", "assistant")).select(
+    return turns.filter(role.isin("user", "assistant")).select(
         F.col("conv_id").alias("flow_id"),
         F.when(role == "user", "CTS").otherwise("STC").alias("direction"),
         F.col("turn").alias("chunk_no"), utf8("text").alias("payload"))
@@ -32,7 +36,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as datagrams: even ids from the client, odd ones from the server."""
-    return table(spark, sf_dir, "documents").select(
+    return documents_view(table(spark, sf_dir, "documents"))
+
+
+def documents_view(docs: DataFrame) -> DataFrame:
+    return docs.select(
         "doc_id", F.when(F.col("doc_id") % 2 == 0, "CTS").otherwise("STC").alias("direction"),
         utf8("text").alias("payload"))
 
@@ -43,10 +51,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.lit("STC").alias("direction"), utf8("html").alias("payload"))
 
 
-def plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with only their printable ASCII and line feeds."""
-    return documents(spark, sf_dir).withColumn("payload", F.encode(F.regexp_replace(
-        F.decode("payload", "ISO-8859-1"), r"[^ -~\n]", ""), "ISO-8859-1"))
+def plain_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as datagrams, with only their printable ASCII and line feeds."""
+    plain = F.regexp_replace("text", r"[^ -~\n]", "")
+    return table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("CTS").alias("direction"),
+        F.encode(plain, "UTF-8").alias("payload"))
 
 
 def _client() -> Column:
