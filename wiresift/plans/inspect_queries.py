@@ -149,9 +149,9 @@ def fuzzy_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_on_turns(spark, sf_dir, True)
 
 
-STRINGS = (SignatureString("a", "text", "track("), SignatureString("b", "hex", b"?page=".hex()),
+STRINGS = (SignatureString("a", "text", "track("), SignatureString("b", "hex", b"</p><p>".hex()),
            SignatureString("c", "regex", r"<h[1-3]>[A-Z]"))
-STRING_SQL = (r"track\(", r"\?page=", "<h[1-3]>[A-Z]")
+STRING_SQL = (r"track\(", "</p><p>", "<h[1-3]>[A-Z]")
 FOUND_SQL = " + ".join(f"regexp_matches(html, '{p}')::INT" for p in STRING_SQL)
 
 
