@@ -6,10 +6,17 @@ gives each byte its own character, so positions and lengths are in bytes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def byte_text(payload: Column) -> Column:
     """BINARY to a string with one character per byte."""
     return F.decode(payload, "ISO-8859-1")
@@ -20,11 +27,15 @@ def text_bytes(text: Column) -> Column:
     return F.encode(text, "ISO-8859-1")
 
 
-def uint(raw: Column, first: Column | int, width: int) -> Column:
-    """Big-endian unsigned number of ``width`` bytes starting at byte ``first`` (0-based)."""
-    start = F.lit(first) + 1 if isinstance(first, int) else first + 1
-    digits = F.hex(F.substring(raw, start, F.lit(width)))
-    return F.conv(digits, 16, 10).cast("bigint")
+def hex_digits(raw: Column, size: int) -> Column:
+    """Hex digits of the first ``size`` bytes, to read numbers from with :func:`uint`."""
+    return F.hex(F.substring(raw, 1, size))
+
+
+def uint(digits: Column, first: Column | int, width: int) -> Column:
+    """Big-endian unsigned number of ``width`` bytes from byte ``first`` (0-based) of hex digits."""
+    start = F.lit(first * 2 + 1) if isinstance(first, int) else first * 2 + 1
+    return F.conv(F.substring(digits, start, F.lit(width * 2)), 16, 10).cast("bigint")
 
 
 def be_bytes(value: Column, width: int) -> Column:
@@ -32,9 +43,10 @@ def be_bytes(value: Column, width: int) -> Column:
     return F.unhex(F.lpad(F.hex(value.cast("bigint")), width * 2, "0"))
 
 
-def dotted(raw: Column, first: int) -> Column:
-    """Dotted IPv4 address at byte ``first``."""
-    return F.concat_ws(".", *[uint(raw, first + i, 1).cast("string") for i in range(4)])
+def dotted(digits: Column, first: int) -> Column:
+    """Dotted IPv4 address at byte ``first`` of hex digits."""
+    return F.concat_ws(".", *[
+        F.conv(F.substring(digits, (first + i) * 2 + 1, 2), 16, 10) for i in range(4)])
 
 
 def dotted_bytes(address: Column) -> Column:

@@ -5,31 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wiresift.functions.bytestr import be_bytes, dotted, dotted_bytes, uint
+from wiresift.functions.bytestr import be_bytes, dotted, dotted_bytes, hex_digits, uint
 
 # Protocol numbers, and the letters of the TCP flag bits from
 # the lowest bit up (the two highest bits have no letter).
 TCP, UDP = 6, 17
 FLAG_LETTERS = "FSRPAU"
 UDP_HEADER = 8
+# Bytes of an IP header without options, and of the longest IP header plus the
+# fixed part of a TCP header.
+IP_HEADER, HEADERS = 20, 80
+
+
+def ip_fields(digits: Column) -> dict[str, Column]:
+    """IPv4 header fields from the header's hex digits; lengths and offsets in bytes."""
+    frag = uint(digits, 6, 2)
+    return {
+        "version": F.conv(F.substring(digits, 1, 1), 16, 10).cast("int"),
+        "ihl": (F.conv(F.substring(digits, 2, 1), 16, 10).cast("int") * 4),
+        "tos": uint(digits, 1, 1).cast("int"),
+        "total_len": uint(digits, 2, 2).cast("int"),
+        "ip_id": uint(digits, 4, 2).cast("int"),
+        "ttl": uint(digits, 8, 1).cast("int"),
+        "proto": uint(digits, 9, 1).cast("int"),
+        "src": dotted(digits, 12),
+        "dst": dotted(digits, 16),
+        "more_frags": F.shiftright(frag, 13).bitwiseAND(F.lit(1)).cast("int"),
+        "frag_off": (frag.bitwiseAND(F.lit(8191)) * 8).cast("int"),
+    }
+
+
+def _struct(fields: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
 def decode_ip(pkt: Column) -> Column:
     """IPv4 header fields as a struct."""
-    first = uint(pkt, 0, 1)
-    return F.struct(
-        F.shiftright(first, 4).cast("int").alias("version"),
-        (first.bitwiseAND(F.lit(15)) * 4).cast("int").alias("ihl"),
-        uint(pkt, 1, 1).cast("int").alias("tos"),
-        uint(pkt, 2, 2).cast("int").alias("total_len"),
-        uint(pkt, 4, 2).cast("int").alias("ip_id"),
-        uint(pkt, 8, 1).cast("int").alias("ttl"),
-        uint(pkt, 9, 1).cast("int").alias("proto"),
-        dotted(pkt, 12).alias("src"),
-        dotted(pkt, 16).alias("dst"),
-        F.shiftright(uint(pkt, 6, 2), 13).bitwiseAND(F.lit(1)).cast("int").alias("more_frags"),
-        (uint(pkt, 6, 2).bitwiseAND(F.lit(8191)) * 8).cast("int").alias("frag_off"),
-    )
+    return _struct(ip_fields(hex_digits(pkt, IP_HEADER)))
 
 
 def tcp_flags(bits: Column) -> Column:
@@ -48,28 +60,33 @@ def flag_bits(letters: Column) -> Column:
     return bits
 
 
+def tcp_fields(digits: Column, ihl: Column) -> dict[str, Column]:
+    """TCP header fields; ``hlen`` is the header length in bytes."""
+    return {
+        "sport": uint(digits, ihl, 2).cast("int"),
+        "dport": uint(digits, ihl + 2, 2).cast("int"),
+        "seq": uint(digits, ihl + 4, 4),
+        "ack": uint(digits, ihl + 8, 4),
+        "hlen": (F.shiftright(uint(digits, ihl + 12, 1), 4) * 4).cast("int"),
+        "flags": tcp_flags(uint(digits, ihl + 13, 1)),
+        "window": uint(digits, ihl + 14, 2).cast("int"),
+        "checksum": uint(digits, ihl + 16, 2).cast("int"),
+        "urgent": uint(digits, ihl + 18, 2).cast("int"),
+    }
+
+
 def decode_tcp(pkt: Column, ihl: Column) -> Column:
-    """TCP header fields as a struct; ``hlen`` is the header length in bytes."""
-    bits = uint(pkt, ihl + 13, 1).cast("int")
-    return F.struct(
-        uint(pkt, ihl, 2).cast("int").alias("sport"),
-        uint(pkt, ihl + 2, 2).cast("int").alias("dport"),
-        uint(pkt, ihl + 4, 4).alias("seq"),
-        uint(pkt, ihl + 8, 4).alias("ack"),
-        (F.shiftright(uint(pkt, ihl + 12, 1), 4) * 4).cast("int").alias("hlen"),
-        tcp_flags(bits).alias("flags"),
-        uint(pkt, ihl + 14, 2).cast("int").alias("window"),
-        uint(pkt, ihl + 16, 2).cast("int").alias("checksum"),
-        uint(pkt, ihl + 18, 2).cast("int").alias("urgent"),
-    )
+    """TCP header fields as a struct."""
+    return _struct(tcp_fields(hex_digits(pkt, HEADERS), ihl))
 
 
 def decode_udp(pkt: Column, ihl: Column) -> Column:
     """UDP header fields as a struct."""
+    digits = hex_digits(pkt, HEADERS)
     return F.struct(
-        uint(pkt, ihl, 2).cast("int").alias("sport"),
-        uint(pkt, ihl + 2, 2).cast("int").alias("dport"),
-        uint(pkt, ihl + 4, 2).cast("int").alias("length"),
+        uint(digits, ihl, 2).cast("int").alias("sport"),
+        uint(digits, ihl + 2, 2).cast("int").alias("dport"),
+        uint(digits, ihl + 4, 2).cast("int").alias("length"),
     )
 
 
@@ -86,26 +103,28 @@ def by_proto(packets: DataFrame) -> DataFrame:
 def decode_packets(raw: DataFrame) -> DataFrame:
     """Rows with a ``pkt`` column to flat header columns plus ``payload``.
 
-    One projection, no shuffle. TCP-only and UDP-only fields are null for the
-    other protocol.
+    One pass, no shuffle. The header's hex digits are made once per packet and
+    all fields read from them. TCP-only fields are null for UDP.
     """
-    ip = raw.withColumn("ip", decode_ip(F.col("pkt"))).filter(F.col("ip.proto").isin(TCP, UDP))
-    is_tcp = F.col("ip.proto") == TCP
-    both = ip.withColumns({
-        "tcp": F.when(is_tcp, decode_tcp(F.col("pkt"), F.col("ip.ihl"))),
-        "udp": F.when(~is_tcp, decode_udp(F.col("pkt"), F.col("ip.ihl"))),
+    digits = F.col("_digits")
+    wanted = ("proto", "ihl", "src", "dst", "ip_id", "ttl", "tos", "total_len")
+    ip = raw.withColumn("_digits", hex_digits(F.col("pkt"), HEADERS))
+    proto = ip.withColumn("proto", ip_fields(digits)["proto"])
+    fields = by_proto(proto).withColumns(
+        {n: c for n, c in ip_fields(digits).items() if n in wanted and n != "proto"})
+    is_tcp = F.col("proto") == TCP
+    tcp = tcp_fields(digits, F.col("ihl"))
+    ports = fields.withColumns({
+        "sport": tcp["sport"], "dport": tcp["dport"],
+        **{n: F.when(is_tcp, tcp[n]) for n in ("seq", "ack", "window")},
+        "_bits": F.when(is_tcp, uint(digits, F.col("ihl") + 13, 1)),
+        "_headers": F.col("ihl") + F.when(is_tcp, tcp["hlen"]).otherwise(UDP_HEADER),
     })
-    headers = F.col("ip.ihl") + F.when(is_tcp, F.col("tcp.hlen")).otherwise(UDP_HEADER)
     kept = [c for c in raw.columns if c != "pkt"]
-    return both.select(
-        *kept,
-        "ip.proto", "ip.src", "ip.dst", "ip.ip_id", "ip.ttl", "ip.tos", "ip.total_len",
-        F.coalesce("tcp.sport", "udp.sport").alias("sport"),
-        F.coalesce("tcp.dport", "udp.dport").alias("dport"),
-        "tcp.seq", "tcp.ack", "tcp.flags", "tcp.window",
-        payload_slice(F.col("pkt"), headers, F.col("ip.total_len")).alias("payload"),
-        "pkt",
-    )
+    return ports.select(
+        *kept, "proto", "src", "dst", "ip_id", "ttl", "tos", "total_len", "sport", "dport", "seq", "ack",
+        tcp_flags(F.col("_bits")).alias("flags"), "window",
+        payload_slice(F.col("pkt"), F.col("_headers"), F.col("total_len")).alias("payload"), "pkt")
 
 
 def encode_ip(proto: Column, src: Column, dst: Column, body: Column, ip_id: Column,

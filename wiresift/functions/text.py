@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wiresift.functions.bytestr import byte_text
+from wiresift.functions.bytestr import byte_text, let
 
 # The mark for a direction, bytes per dump line, and the report
 # and dump layouts.
@@ -71,16 +71,19 @@ def quiet_line(pattern: Column, start: Column, end: Column, size: Column) -> Col
 
 def hexdump(data: Column) -> Column:
     """Lines of 16 bytes: offset, hex digits, printable characters."""
-    shown = F.regexp_replace(byte_text(data), r"[^ -\[\]-~]", ".")
     size = F.octet_length(data)
+    # Digits and characters are made once for all lines.
+    spaced = F.regexp_replace(F.lower(F.hex(data)), "(..)", "$1 ")
+    shown = F.regexp_replace(byte_text(data), r"[^ -\[\]-~]", ".")
 
-    def line(at: Column) -> Column:
-        digits = F.lower(F.hex(F.substring(data, at + 1, F.lit(DUMP_WIDTH))))
-        spaced = F.rpad(F.regexp_replace(digits, "(..)", "$1 "), DUMP_WIDTH * 3, " ")
-        return F.format_string(DUMP_LINE, at, spaced, F.substring(shown, at + 1, F.lit(DUMP_WIDTH)))
+    def lines(made: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), size - 1, F.lit(DUMP_WIDTH)), lambda at: F.format_string(
+            DUMP_LINE, at,
+            F.rpad(F.substring(made["spaced"], at * 3 + 1, F.lit(DUMP_WIDTH * 3)), DUMP_WIDTH * 3, " "),
+            F.substring(made["shown"], at + 1, F.lit(DUMP_WIDTH))))
 
-    return F.when(size > 0, F.transform(
-        F.sequence(F.lit(0), size - 1, F.lit(DUMP_WIDTH)), line)).otherwise(F.array().cast("array<string>"))
+    made = F.struct(spaced.alias("spaced"), shown.alias("shown"))
+    return F.when(size > 0, let(made, lines)).otherwise(F.array().cast("array<string>"))
 
 
 def printable(data: Column) -> Column:

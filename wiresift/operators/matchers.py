@@ -8,11 +8,12 @@ relative to the buffer, ``whole`` marks spans that cover all of it.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wiresift.functions.bytestr import let
 from wiresift.spec import ANY, InspectSpec, Rule, SignatureString, context_free, widest_match
 
 # Piece lengths, from coarse to fine, by which long texts are taken apart.
@@ -20,11 +21,6 @@ SEGMENTS = (1 << 17, 1 << 11, 1 << 6)
 HIT = "struct<rule_id:int,mode:string,start:bigint,end:bigint,whole:boolean,detail:string>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def no_hit() -> Column:
     return F.lit(None).cast(HIT)
 

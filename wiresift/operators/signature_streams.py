@@ -11,7 +11,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiresift.operators.matchers import let, string_found, string_last, string_literal
+from wiresift.functions.bytestr import let
+from wiresift.operators.matchers import string_found, string_last, string_literal
 from wiresift.spec import CTS, STC, InspectSpec, Rule, SignatureString, widest_match
 
 

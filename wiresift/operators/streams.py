@@ -19,10 +19,10 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiresift.functions.bytestr import byte_text
+from wiresift.functions.bytestr import byte_text, let
 from wiresift.operators.carry import carry_first, carry_multi
 from wiresift.operators.datagrams import per_direction
-from wiresift.operators.matchers import first_hit, let, may_hit, reach
+from wiresift.operators.matchers import first_hit, may_hit, reach
 from wiresift.operators.scan import Running, block_of, running
 from wiresift.operators.scope import needed_directions, scope_base, scope_end
 from wiresift.operators.signature_streams import signature_first

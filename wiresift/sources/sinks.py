@@ -31,7 +31,7 @@ def file_parts(rows: DataFrame, key: Sequence[str], order: Sequence[str], block:
     A part, not a whole group, is what one task holds; most groups have one.
     """
     sized = rows.withColumn("_content", content)
-    sized = sized.withColumn("_size", F.octet_length("_content").cast("bigint"))
+    sized = sized.withColumn("_size", F.octet_length("_content").cast("bigint")).filter(F.col("_size") > 0)
     placed = running(sized, key, order, block, [Running("_at", "sum", F.col("_size"), inclusive=False)])
     parts = placed.withColumn("part_no", F.floor(F.col("_at") / part_bytes).cast("bigint"))
     piece = F.struct(*order, byte_text(F.col("_content")).alias("_text"))
