@@ -14,6 +14,9 @@ CASES = {
     "bounded": (Rule(1, pattern="a[bc]{1,3}d"),),
     "open": (Rule(1, pattern="ab[abc]*d"),),
     "gap": (Rule(1, pattern="add.*bb"),),
+    "gaps": (Rule(1, pattern="ab.*c[cd]a.*bb"),),
+    "lead": (Rule(1, pattern=".*dcd"),),
+    "trail": (Rule(1, pattern="dcd.*", direction="CTS"),),
     "dotstar": (Rule(1, pattern=".*"),),
     "lazy": (Rule(1, pattern="ac+?d|dd"),),
     "two": (Rule(1, pattern="dcba", priority=1), Rule(2, pattern="cc[ab]+d", priority=2)),

@@ -6,9 +6,10 @@ that a flow of any length is spread over many tasks. The first search of a
 block is one regex pass over its joined text; only a block that can hit is
 searched again prefix by prefix, up to its first hit.
 
-Flows longer than one block need what came before: a few bytes where the rules
-bound the length of a match, the still open part of a match otherwise
-(:mod:`wiresift.operators.carry`).
+Flows longer than one block need what came before. Where a rule bounds the
+length of a match, a few bytes are enough; the others are followed across
+blocks by :mod:`wiresift.operators.gaps`, :mod:`~wiresift.operators.carry` and
+:mod:`~wiresift.operators.signature_streams`.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 from wiresift.functions.bytestr import byte_text, let
 from wiresift.operators.carry import carry_first, carry_multi
 from wiresift.operators.datagrams import per_direction
+from wiresift.operators.gaps import gap_first, tail_bytes, takes_gaps
 from wiresift.operators.matchers import first_hit, may_hit, reach
 from wiresift.operators.scan import Running, block_of, running
 from wiresift.operators.scope import needed_directions, scope_base, scope_end
 from wiresift.operators.signature_streams import signature_first
-from wiresift.spec import InspectSpec, Rule
+from wiresift.spec import ANY, InspectSpec, Rule
 
 CHUNKS_PER_BLOCK = 256
 MATCH_COLUMNS = ["flow_id", "direction", "chunk_no", "match_no", "rule_id", "mode",
@@ -134,19 +136,19 @@ def _first_in_block(rules: Sequence[Rule], spec: InspectSpec) -> Column:
     return F.when(may_hit(text, rules, spec), folded)
 
 
-def _split_rules(spec: InspectSpec, long_flows: bool) -> tuple[list[Rule], list[Rule], list[Rule]]:
-    """Rules by how they cross blocks: bounded, open ended, signature."""
-    if not long_flows:
-        return list(spec.ordered), [], []
-    bounded, open_ended, signatures = [], [], []
+def _split_rules(spec: InspectSpec) -> dict[str, list[Rule]]:
+    """Rules by how they are followed across the blocks of a long flow."""
+    kinds: dict[str, list[Rule]] = {"bounded": [], "gaps": [], "open": [], "signature": []}
     for rule in spec.ordered:
         if rule.mode == "signature" and not spec.invert:
-            signatures.append(rule)
-        elif reach(rule, spec) is None:
-            open_ended.append(rule)
+            kinds["signature"].append(rule)
+        elif reach(rule, spec) is not None:
+            kinds["bounded"].append(rule)
+        elif takes_gaps(rule, spec):
+            kinds["gaps"].append(rule)
         else:
-            bounded.append(rule)
-    return bounded, open_ended, signatures
+            kinds["open"].append(rule)
+    return kinds
 
 
 def inspect_streams(chunks: DataFrame, spec: InspectSpec,
@@ -165,26 +167,55 @@ def inspect_streams(chunks: DataFrame, spec: InspectSpec,
 
 
 def _first(chunks: DataFrame, spec: InspectSpec, per_block: int, long_flows: bool) -> DataFrame:
-    bounded, open_ended, signatures = _split_rules(spec, long_flows)
-    parts = []
-    if bounded:
-        parts.append(_bounded_first(chunks, replace(spec, rules=tuple(bounded)), per_block, long_flows))
-    if open_ended:
-        parts.append(carry_first(chunks, replace(spec, rules=tuple(open_ended)), per_block))
-    if signatures:
-        parts.append(signature_first(chunks, replace(spec, rules=tuple(signatures)), per_block))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+    found = []
+    if long_flows:
+        kinds = _split_rules(spec)
+        if kinds["bounded"]:
+            found.append(_bounded_first(chunks, _only(spec, kinds["bounded"]), per_block, True))
+        rest = _only(spec, [r for r in spec.ordered if r not in kinds["bounded"]])
+        if rest.rules:
+            beyond, short = split_long(chunks, per_block)
+            found.append(_bounded_first(short, rest, per_block, False))
+            found.extend(_across_blocks(beyond, spec, kinds, per_block))
+    else:
+        found.append(_bounded_first(chunks, spec, per_block, False))
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
     rank = F.create_map(*[F.lit(x).cast("int") for i, r in enumerate(spec.ordered) for x in (r.rule_id, i)])
     row = F.struct("direction", "chunk_no", "rule_id", "mode", "start_off", "end_off", "detail")
     order = F.struct(F.col("chunk_no"), F.element_at(rank, F.col("rule_id")))
-    best = found.groupBy("flow_id").agg(F.min_by(row, order).alias("m"))
+    best = hits.groupBy("flow_id").agg(F.min_by(row, order).alias("m"))
     return best.select("flow_id", "m.*").withColumns({
         "match_no": F.lit(1).cast("bigint"), "size": F.col("end_off") - F.col("start_off"),
     }).select(*MATCH_COLUMNS)
 
 
+def _only(spec: InspectSpec, rules: Sequence[Rule]) -> InspectSpec:
+    return replace(spec, rules=tuple(rules))
+
+
+def split_long(chunks: DataFrame, per_block: int) -> tuple[DataFrame, DataFrame]:
+    """Chunks of flows beyond one block, and of all others."""
+    ids = chunks.filter(F.col("chunk_no") >= per_block).select("flow_id").distinct()
+    return chunks.join(ids, "flow_id", "left_semi"), chunks.join(ids, "flow_id", "left_anti")
+
+
+def _across_blocks(chunks: DataFrame, spec: InspectSpec, kinds: dict[str, list[Rule]],
+                   per_block: int) -> list[DataFrame]:
+    """First hits in long flows of rules without a length bound."""
+    found = []
+    for rule in kinds["gaps"]:
+        mine = chunks if rule.direction == ANY else chunks.filter(F.col("direction") == rule.direction)
+        blocks = with_context(stream_blocks(mine, per_block), mine, per_block, tail_bytes(rule), True)
+        found.append(gap_first(blocks, rule))
+    if kinds["open"]:
+        found.append(carry_first(chunks, _only(spec, kinds["open"]), per_block))
+    if kinds["signature"]:
+        found.append(signature_first(chunks, _only(spec, kinds["signature"]), per_block))
+    return found
+
+
 def _bounded_first(chunks: DataFrame, spec: InspectSpec, per_block: int, long_flows: bool) -> DataFrame:
     """First hit of each block; the caller keeps the earliest."""
     reaches = [reach(r, spec) or 1 for r in spec.rules]
@@ -204,7 +235,7 @@ def first_per_direction(chunks: DataFrame, spec: InspectSpec, per_block: int) ->
     """Earliest chunk per (flow, direction) after which the single rule of ``spec`` hits."""
     rule, = spec.rules
     if reach(rule, spec) is None:
-        found = carry_first(chunks, spec, per_block)
+        found, *_ = _across_blocks(chunks, spec, _split_rules(spec), per_block)
     else:
         found = _bounded_first(chunks, spec, per_block, True)
     return found.groupBy("flow_id", "direction").agg(F.min("chunk_no").alias("chunk_no"))
@@ -245,9 +276,8 @@ def _multi(chunks: DataFrame, spec: InspectSpec, per_block: int, long_flows: boo
     short = chunks
     found = None
     if long_flows:
-        beyond = chunks.filter(F.col("chunk_no") >= per_block).select("flow_id").distinct()
-        short = chunks.join(beyond, "flow_id", "left_anti")
-        found = carry_multi(chunks.join(beyond, "flow_id", "left_semi"), spec, per_block)
+        beyond, short = split_long(chunks, per_block)
+        found = carry_multi(beyond, spec, per_block)
     blocks = with_context(stream_blocks(short, per_block), short, per_block, 0, False)
     hits = per_direction(spec, lambda rules: _multi_in_block(rules, spec))
     rows = blocks.select("flow_id", "direction", F.posexplode(hits).alias("_pos", "_h")).select(
