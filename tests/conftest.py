@@ -12,7 +12,8 @@ def spark(tmp_path_factory):
 
     session = build_session(
         "wiresift-tests", "local[8]",
-        spark__sql__shuffle__partitions="8",
+        spark__sql__shuffle__partitions="4",
+        spark__sql__codegen__wholeStage="false",
         spark__driver__memory="4g",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoint")),
     )

@@ -53,7 +53,8 @@ def found(df):
     return {(r.flow_id, r.direction, r.chunk_no, r.rule_id, r.start_off, r.end_off) for r in df.collect()}
 
 
-SHORT = [(name, opts) for name in CASES for opts in ({}, {"multi_match": True}, {"offset": 5, "depth": 9})]
+SHORT = [(name, opts) for name in CASES for opts in ({}, {"multi_match": True})]
+SHORT += [(name, {"offset": 5, "depth": 9}) for name in ("literal", "open", "mixed", "all", "fuzzy", "cr")]
 SHORT += [(n, {"invert": True}) for n in ("literal", "bounded", "bytesig", "fuzzy", "any", "two")]
 SHORT += [("dotstar", {"multi_match": True, "offset": 4}), ("bounded", {"multi_match": True, "depth": 7})]
 
