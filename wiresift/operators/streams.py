@@ -159,6 +159,8 @@ def inspect_streams(chunks: DataFrame, spec: InspectSpec,
     direction, after which a rule hits. Multi-match mode gives every hit, with
     the bytes up to the end of a hit skipped from then on.
     """
+    if not spec.rules:
+        raise ValueError("no rules to look for; line_mode shows chunks as they come")
     chunks = needed_directions(chunks, spec)
     long_flows = is_long(chunks, per_block)
     if spec.multi_match:
