@@ -38,7 +38,7 @@ def test_other_protocols_are_dropped(spark):
     assert H.decode_packets(df).count() == 0
 
 
-README_DUMP = [
+HTTP_DUMP = [
     "00000000:  48 54 54 50 2f 31 2e 31 20 32 30 30 20 4f 4b 0d   |HTTP/1.1 200 OK.|",
     "00000010:  0a 44 61 74 65 3a 20 54 68 75 2c 20 31 33 20 4d   |.Date: Thu, 13 M|",
 ]
@@ -46,7 +46,7 @@ README_DUMP = [
 
 def test_hexdump(spark):
     raw = b"HTTP/1.1 200 OK\r\nDate: Thu, 13 M"
-    assert one(spark, raw, X.hexdump(F.col("b")).alias("d")).d == README_DUMP
+    assert one(spark, raw, X.hexdump(F.col("b")).alias("d")).d == HTTP_DUMP
     assert one(spark, b"", X.hexdump(F.col("b")).alias("d")).d == []
     assert one(spark, b"a\\~\xff'", X.hexdump(F.col("b")).alias("d")).d == [
         "00000000:  61 5c 7e ff 27" + " " * 34 + "  |a.~.'|"]

@@ -81,7 +81,7 @@ def test_flows_longer_than_a_block(spark, name, opts):
     assert found(inspect_streams(frame(spark, rows), spec, per_block=5)) == streams(rows, spec)
 
 
-def test_readme_multi_match_vector(spark):
+def test_multi_match_vector(spark):
     sizes = [1380] * 13 + [424]
     rows = [(1, "STC", i, b"x" * n) for i, n in enumerate(sizes)]
     spec = InspectSpec(rules=(Rule(1, pattern=".*", direction="STC"),), multi_match=True)
