@@ -28,9 +28,9 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a temporary folder: a machine-local path on a cluster would be
-    lost with its executor.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session whose
+    executors are threads of the driver may fall back to a temporary folder: a
+    machine-local path on a cluster would be lost with its executor.
     """
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
@@ -38,7 +38,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return known
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="wiresift-checkpoint-")
     sc.setCheckpointDir(named)
