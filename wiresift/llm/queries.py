@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import packing, simhash
+from wiresift.llm import html_extract, line_dedup, packing, quality, simhash
 from wiresift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query()
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query(line_dedup.ORACLE)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "text", "n_lines", "n_dropped")
+
+
+@query()
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learn_from(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select(
+        "doc_id", "statistics.n_words", "statistics.word_chars", "statistics.n_symbols",
+        "statistics.n_dup_lines", "statistics.n_repeat_words", "base_failed", "kept")
