@@ -38,3 +38,12 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 def long_id(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("long")
+
+
+#: Rows up to which a stored side of a join is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 250_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """``rows``, which are stored and narrow, with a broadcast hint if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

@@ -21,20 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wiresift.llm.common import small
 from wiresift.session import cut
 
 MIN_CHARS = 20
 MAX_EDITS = 1
-#: Rows up to which a side is broadcast, of some 40 bytes each; beyond, joins shuffle.
-BROADCAST_ROWS = 250_000
 _BLANK = " \t\r\x0b\x0c"
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """``rows``, which are stored, broadcast where their number is small."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")]
 
@@ -81,7 +75,7 @@ def _near(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
         .groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half"))
     texts = (
         lines.select("h1", "h2", "line", F.explode(_halves()).alias("half"))
-        .join(_small(shared), "half", "left_semi").select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
+        .join(small(shared), "half", "left_semi").select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
     )
     texts = cut(texts.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]))
 
@@ -97,7 +91,7 @@ def _near(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     shared_blocks = cut(
         blocks.groupBy("block").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("block"))
     inner = (
-        blocks.join(_small(shared_blocks), "block", "left_semi").join(texts, ["h1", "h2"])
+        blocks.join(small(shared_blocks), "block", "left_semi").join(texts, ["h1", "h2"])
         .withColumn("mid", F.expr("substring(line, before + 1, char_length(line) - before - after)"))
         .withColumn("longer", F.expr("char_length(line) > size"))
     )
@@ -141,7 +135,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
             .where("near OR n > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
     marked = cut(marked)
     return (
-        lines.select("doc", "pos", "h1", "h2", _place().alias("place")).join(_small(marked), ["h1", "h2"])
+        lines.select("doc", "pos", "h1", "h2", _place().alias("place")).join(small(marked), ["h1", "h2"])
         .where("near OR place <> first").groupBy("doc").agg(F.collect_set("pos").alias("dropped"))
     )
 
@@ -187,9 +181,9 @@ WITH l AS (
       generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
 f AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line),
 v AS (
-  SELECT line, first, 0 AS at, hash(line) AS h FROM f
-  UNION ALL SELECT line, first, at, hash(left(line, at - 1) || substr(line, at + 1)) FROM (
-    SELECT line, first, unnest(range(1, length(line) + 1)) AS at FROM f)),
+  SELECT line, first, 0 AS k, hash(line) AS h FROM f
+  UNION ALL SELECT line, first, k, hash(left(line, k - 1) || substr(line, k + 1)) FROM (
+    SELECT line, first, unnest(range(1, length(line) + 1)) AS k FROM f)),
 c AS (SELECT h FROM v GROUP BY h HAVING count(DISTINCT line) > 1),
 s AS (SELECT DISTINCT line, first, h FROM v WHERE h IN (SELECT h FROM c)),
 near AS (SELECT DISTINCT b.line FROM s a JOIN s b ON a.h = b.h AND a.first < b.first

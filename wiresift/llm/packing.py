@@ -24,8 +24,6 @@ from wiresift.llm.tokens import word_encoder
 from wiresift.session import cut
 
 CAPACITY = 2048
-#: Rows of a length that one task ranks, about.
-ROWS_PER_BUCKET = 200_000
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0,
@@ -145,7 +143,9 @@ def assign(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut_pieces.sparkSession
     by_length = {r[0]: r[1] for r in cut_pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     places = _places(plan_bins(by_length, capacity))
-    buckets = 1 + max(by_length.values(), default=0) // ROWS_PER_BUCKET
+    # A length that more than a task's share of rows has is ranked in so many buckets.
+    share = max(1, sum(by_length.values()) // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 1 + max(by_length.values(), default=0) // share
     spread = cut_pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     counts = spread.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("length", "bucket", (F.sum("n").over(

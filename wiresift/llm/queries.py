@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import html_extract, line_dedup, packing, quality, simhash
+from wiresift.llm import chat, fingerprint, html_extract, line_dedup, packing, quality, sentencepiece_codec, simhash, warc
 from wiresift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,50 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select(
         "doc_id", "statistics.n_words", "statistics.word_chars", "statistics.n_symbols",
         "statistics.n_dup_lines", "statistics.n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_LENGTH = "length(replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<|turn|>', '<\\|turn|>'), " \
+    "'</s>', '<\\/s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]'))"
+
+
+@query(f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(8 + {_LENGTH.format("role")} + length(role) - length(replace(role, chr(10), '')) + 1
+    + {_LENGTH.format("text")} + 5) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""")
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(both).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_conversations(turns))
+
+
+@query()
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = str(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), model)
+    return sentencepiece_codec.digests(sentencepiece_codec.decode_documents(encoded, model))
+
+
+@query()
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
