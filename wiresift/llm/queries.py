@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import chat, fingerprint, html_extract, line_dedup, packing, quality, sentencepiece_codec, simhash, warc
+from wiresift.llm import chat, fingerprint, html_extract, line_dedup, lm, packing, quality, sentencepiece_codec, simhash, warc
 from wiresift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
