@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wiresift.llm.common import long_id, pieces
+from wiresift.llm.common import long_id, pieces, small
 from wiresift.llm.components import components
 from wiresift.session import cut
 
@@ -170,7 +171,7 @@ def _meeting_points(crowd: DataFrame, max_bits: int) -> DataFrame:
 
 def classes(found: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = SEGMENT_BITS,
             crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, fp, component_id) from (doc_id, fp).
+    """(doc_id, fp, component_id, root) from (doc_id, fp); ``root`` is the class's smallest fingerprint.
 
     ``component_id`` is the smallest doc_id that links of at most ``max_bits``
     differing bits reach, itself included; null only where no doc_id of the class
@@ -183,14 +184,59 @@ def classes(found: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = SEGM
     grown = nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = grown.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = grown.join(least, "root").select("fp", "component_id")
-    return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = grown.join(least, "root").select("fp", "component_id", "root")
+    return found.join(of_fp, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, fp, component_id, root) of every row of ``docs`` (doc_id, text)."""
     return classes(fingerprints(docs, shingle), max_bits)
 
 
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) without near-duplicates: one of each class stays.
+
+    That is the row with the smallest doc_id; of a class without any id, the one
+    with the smallest fingerprint. Of rows with equal id and fingerprint one stays.
+    What goes is looked up by id. Only ids that are null or stand in several rows
+    are looked up with their fingerprint.
+    """
+    found = cut(near_duplicates(docs, max_bits, shingle))
+    ids = found.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    single = F.col("doc_id").isNotNull() & (F.col("n") == 1)
+    odd = cut(ids.where(~single).select("doc_id"))
+    gone = cut(ids.where(single & (F.col("doc_id") != F.col("component_id"))).select("doc_id").union(odd))
+    names = docs.columns
+    here = docs.withColumn("__id", long_id("doc_id"))
+    out = here.join(small(gone.withColumnRenamed("doc_id", "__gone")),
+                    F.col("__id").eqNullSafe(F.col("__gone")), "left_anti").select(*names)
+    if odd.isEmpty():
+        return out
+    rows = here.join(small(odd.withColumnRenamed("doc_id", "__odd")),
+                     F.col("__id").eqNullSafe(F.col("__odd")), "left_semi")
+    known = found.where("component_id = doc_id").select(F.col("doc_id").alias("__key"), F.col("fp").alias("__fp"))
+    unknown = found.where("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("__fp")) \
+        .select(F.lit(None).cast("long").alias("__key"), "__fp")
+    # An id may stand in its class more than once, with linked fingerprints: the smallest stays.
+    keys = known.groupBy("__key").agg(F.min("__fp").alias("__fp")).union(unknown)
+    mine = _with_fingerprint(rows, shingle)
+    kept = mine.join(keys, [
+        mine["__id"].eqNullSafe(F.col("__key")), mine["__print"] == F.col("__fp")], "left_semi")
+    return out.unionByName(kept.dropDuplicates(["__id", "__print"]).select(*names))
+
+
+def _with_fingerprint(rows: DataFrame, shingle: int) -> DataFrame:
+    at = rows.columns.index("text")
+    names = [*rows.columns, "__print"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=names)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__print", T.LongType())]))
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
