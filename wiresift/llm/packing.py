@@ -160,12 +160,13 @@ def assign(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = shared.value
-        # Ranks stay below 2**52 rows a length, so length and rank make one sorted key.
-        keys = where["length"] * (1 << 52) + where["rank"]
+        # Length and rank as one sorted key: the length in the top bits, below the sign.
+        unit = 1 << 62 - capacity.bit_length()
+        keys = where["length"] * unit + where["rank"]
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False)
             rank = batch.column("rank").to_numpy(zero_copy_only=False)
-            at = np.searchsorted(keys, length * (1 << 52) + rank, side="right") - 1
+            at = np.searchsorted(keys, length * unit + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names]
                 + [pa.array(where["sequence"][at] + rank - where["rank"][at]), pa.array(where["offset"][at])],
