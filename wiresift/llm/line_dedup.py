@@ -34,12 +34,12 @@ def _hashes(line: Column) -> list[Column]:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, pos, line, h1, h2) of the lines that count; ``pos`` is from 0."""
+    """(doc, whole, pos, line, h1, h2) of the lines that count; ``pos`` is from 0, ``whole`` the text's hash."""
     return (
-        docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        .select("doc", "pos", F.trim("line", F.lit(_BLANK)).alias("line"))
+        docs.select("doc", F.xxhash64("text").alias("whole"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        .select("doc", "whole", "pos", F.trim("line", F.lit(_BLANK)).alias("line"))
         .where(F.char_length("line") >= min_chars)
-        .select("doc", "pos", "line", *_hashes(F.col("line")))
+        .select("doc", "whole", "pos", "line", *_hashes(F.col("line")))
     )
 
 
@@ -122,7 +122,10 @@ def _near(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(doc, dropped) per document of ``docs`` (doc, text) that loses lines: their places from 0."""
+    """(doc, whole, dropped) per document of ``docs`` (doc, text) that loses lines: their places from 0.
+
+    An id may stand in several rows, so a document is known by its id and its text's hash.
+    """
     if max_edits not in (0, 1):
         raise ValueError("lines are compared up to 0 edits or 1")
     lines = _lines(docs, min_chars)
@@ -135,8 +138,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
             .where("near OR n > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
     marked = cut(marked)
     return (
-        lines.select("doc", "pos", "h1", "h2", _place().alias("place")).join(small(marked), ["h1", "h2"])
-        .where("near OR place <> first").groupBy("doc").agg(F.collect_set("pos").alias("dropped"))
+        lines.select("doc", "whole", "pos", "h1", "h2", _place().alias("place")).join(small(marked), ["h1", "h2"])
+        .where("near OR place <> first").groupBy("doc", "whole").agg(F.collect_set("pos").alias("dropped"))
     )
 
 
@@ -158,11 +161,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
     docs = docs.drop("n_lines", "n_dropped")
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     drops = repeated_lines(named, min_chars, max_edits).select(
-        F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped"))
+        F.col("doc").alias("__doc"), F.col("whole").alias("__whole"), F.col("dropped").alias("__dropped"))
     split = F.split(F.col(text_col), "\n", -1)
     kept = F.concat_ws("\n", F.filter(F.col("__lines"), lambda _, i: ~F.array_contains("__dropped", i)))
     return (
-        docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left")
+        docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("__doc"))
+                  & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__whole")), "left")
         .withColumn("__lines", F.when(F.col("__dropped").isNotNull(), split))
         .select(*(F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
                   if c == text_col else F.col(f"`{c}`") for c in docs.columns),
