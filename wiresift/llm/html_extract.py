@@ -181,7 +181,8 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
         return ""
     ratios = _smooth(np.log1p([len(t) / max(1, n) for t, n, _ in lines]), sigma)
     filled = np.array([bool(t) for t, _, _ in lines])
-    chosen = filled & (ratios > _threshold(ratios))
+    threshold = _threshold(ratios)
+    chosen = filled & (ratios > threshold)
     if not chosen.any():
         chosen = filled
     whole: dict[int, int] = {}
@@ -196,8 +197,16 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
         return found
 
     groups = np.array([whole[h] if h in whole else whole.setdefault(h, article(h)) for _, _, h in lines])
-    with_article = {int(g) for g in groups[chosen] if int(g) in parser.articles}
-    wanted = with_article or {int(g) for g in groups[chosen]}
+    found = {int(g) for g in groups[chosen]}
+    wanted = {g for g in found if g in parser.articles}
+    if not wanted:
+        # Smoothing lifts what stands beside the text; a section's own ratio tells them apart.
+        sizes: dict[int, list[int]] = {g: [0, 0] for g in found}
+        for (text, tags, _), g in zip(lines, groups, strict=True):
+            if int(g) in sizes:
+                sizes[int(g)][0] += len(text)
+                sizes[int(g)][1] += tags
+        wanted = {g for g, (chars, tags) in sizes.items() if math.log1p(chars / max(1, tags)) > threshold} or found
     return " ".join(t for (t, _, _), g in zip(lines, groups, strict=True) if t and int(g) in wanted)
 
 

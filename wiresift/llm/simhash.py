@@ -157,8 +157,11 @@ def _meeting_points(crowd: DataFrame, max_bits: int) -> DataFrame:
     two = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(
         F.slice(one, i + 2, F.lit(63) - i), lambda y: F.element_at(one, i + 1).bitwiseXOR(y))))
     rings = [F.array(F.lit(0).cast("long")), one, two]
-    shells = F.concat(*(F.transform(rings[r], lambda x, r=r: F.struct(x.alias("flip"), F.lit(r).alias("r")))
-                        for r in range(far + 1)))
+
+    def shell(r: int) -> Column:
+        return F.transform(rings[r], lambda x: F.struct(x.alias("flip"), F.lit(r).alias("r")))
+
+    shells = F.concat(*(shell(r) for r in range(far + 1)))
     met = (
         crowd.select("fp", F.explode(shells).alias("s"))
         .select("fp", F.col("fp").bitwiseXOR(F.col("s.flip")).alias("pattern"), F.col("s.r").alias("r"))
@@ -215,11 +218,12 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE)
         return out
     rows = here.join(small(odd.withColumnRenamed("doc_id", "__odd")),
                      F.col("__id").eqNullSafe(F.col("__odd")), "left_semi")
-    known = found.where("component_id = doc_id").select(F.col("doc_id").alias("__key"), F.col("fp").alias("__fp"))
+    known = found.where("component_id = doc_id")
     unknown = found.where("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("__fp")) \
         .select(F.lit(None).cast("long").alias("__key"), "__fp")
-    # An id may stand in its class more than once, with linked fingerprints: the smallest stays.
-    keys = known.groupBy("__key").agg(F.min("__fp").alias("__fp")).union(unknown)
+    # An id may stand in a class more than once, with linked fingerprints: the smallest stays.
+    keys = known.groupBy("doc_id", "root").agg(F.min("fp").alias("__fp")) \
+        .select(F.col("doc_id").alias("__key"), "__fp").union(unknown)
     mine = _with_fingerprint(rows, shingle)
     kept = mine.join(keys, [
         mine["__id"].eqNullSafe(F.col("__key")), mine["__print"] == F.col("__fp")], "left_semi")
