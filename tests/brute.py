@@ -76,6 +76,10 @@ def streams(chunks, spec):
             piece = bufs[direction][low:stop]
             for rule in rules:
                 hit = rule_hit(piece, rule, spec)
+                if hit and spec.invert and rule.mode == "signature" and not all(
+                        rule_hit(piece, r, spec) for r in rules
+                        if r.mode == "signature" and r.source_file == rule.source_file):
+                    hit = None
                 if hit:
                     break
             else:

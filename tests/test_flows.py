@@ -164,9 +164,22 @@ def test_fragments(spark):
     ]
     df = spark.createDataFrame(rows, "src string, dst string, proto int, ip_id int, pkt_seq long, ts timestamp, "
                                      "frag_off int, more_frags int, payload binary")
-    for block in (None, 2):
-        got = sorted(bytes(r.payload) for r in assembly.defragment(df, rows_per_block=block).collect())
-        assert got == [b"1234567890", b"abcdefghij", b"whole"]
+    got = sorted(bytes(r.payload) for r in assembly.defragment(df).collect())
+    assert got == [b"1234567890", b"abcdefghij", b"whole"]
+
+
+def test_fragment_ids_used_again_at_once(spark):
+    rows = []
+    for n in range(6):
+        parts = [(0, 1, b"%08d" % n), (8, 1, b"abcdefgh"), (16, 0, b"end")]
+        if n % 2:
+            parts.reverse()
+        rows += [("a", "b", 17, 1, 10 * n + i, START, *p) for i, p in enumerate(parts)]
+        rows.append(("a", "b", 17, 2, 10 * n + 9, START, 0, 1, b"%08d" % n))  # never complete
+    df = spark.createDataFrame(rows, "src string, dst string, proto int, ip_id int, pkt_seq long, ts timestamp, "
+                                     "frag_off int, more_frags int, payload binary")
+    got = {r.pkt_seq: (bytes(r.payload), r.ts) for r in assembly.defragment(df).collect()}
+    assert got == {10 * n: (b"%08dabcdefghend" % n, START) for n in range(6)}
 
 
 def windows(n, hits, post):

@@ -30,6 +30,12 @@ CASES = {
               Rule(3, "signature", strings=(S("a", "text", "bbbb"),))),
     "anchor": (Rule(1, pattern="^bd"),),
     "cr": (Rule(1, pattern="a$"),),
+    "end": (Rule(1, pattern=r"ab\Z"),),
+    "word": (Rule(1, pattern=r"\bab\b"),),
+    "reference": (Rule(1, "signature", strings=(S("a", "regex", r"([a-d])\1"),)),),
+    "widening": (Rule(1, "signature", strings=(S("a", "regex", "ab.*c"),)),),
+    "file": (Rule(1, "signature", strings=(S("a", "text", "aa"),), source_file="f"),
+             Rule(2, "signature", strings=(S("a", "text", "cd"),), source_file="f")),
 }
 
 
@@ -56,6 +62,8 @@ def found(df):
 SHORT = [(name, opts) for name in CASES for opts in ({}, {"multi_match": True})]
 SHORT += [(name, {"offset": 5, "depth": 9}) for name in ("literal", "open", "mixed", "all", "fuzzy", "cr")]
 SHORT += [(n, {"invert": True}) for n in ("literal", "bounded", "bytesig", "fuzzy", "any", "two")]
+SHORT += [(n, {"invert": True, "multi_match": True}) for n in ("literal", "bounded", "any", "two", "file", "fuzzy")]
+SHORT += [("file", {"invert": True}), ("reference", {"offset": 3, "depth": 12})]
 SHORT += [("dotstar", {"multi_match": True, "offset": 4}), ("bounded", {"multi_match": True, "depth": 7})]
 
 
@@ -71,6 +79,10 @@ LONG = [(n, {}) for n in CASES] + [
     ("fuzzy", {"multi_match": True}), ("two", {"multi_match": True, "offset": 6}),
     ("bounded", {"offset": 11}), ("bounded", {"offset": 11, "depth": 9}), ("open", {"offset": 11, "depth": 9}),
     ("literal", {"invert": True}), ("fuzzy", {"invert": True}), ("any", {"invert": True, "offset": 9}),
+    ("any", {"depth": 9}), ("all", {"offset": 5, "depth": 30}), ("reference", {"depth": 7}), ("widening", {"depth": 20}),
+    ("file", {"invert": True}), ("file", {"invert": True, "multi_match": True}),
+    ("literal", {"invert": True, "multi_match": True}), ("two", {"invert": True, "multi_match": True}),
+    ("end", {"multi_match": True}), ("word", {"multi_match": True}),
 ]
 
 

@@ -72,18 +72,16 @@ def quiet_line(pattern: Column, start: Column, end: Column, size: Column) -> Col
 def hexdump(data: Column) -> Column:
     """Lines of 16 bytes: offset, hex digits, printable characters."""
     size = F.octet_length(data)
-    # Digits and characters are made once for all lines.
-    spaced = F.regexp_replace(F.lower(F.hex(data)), "(..)", "$1 ")
-    shown = F.regexp_replace(byte_text(data), r"[^ -\[\]-~]", ".")
-
-    def lines(made: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), size - 1, F.lit(DUMP_WIDTH)), lambda at: F.format_string(
-            DUMP_LINE, at,
-            F.rpad(F.substring(made["spaced"], at * 3 + 1, F.lit(DUMP_WIDTH * 3)), DUMP_WIDTH * 3, " "),
-            F.substring(made["shown"], at + 1, F.lit(DUMP_WIDTH))))
-
-    made = F.struct(spaced.alias("spaced"), shown.alias("shown"))
-    return F.when(size > 0, let(made, lines)).otherwise(F.array().cast("array<string>"))
+
+    def line(at: Column, piece: Column) -> Column:
+        spaced = F.regexp_replace(F.lower(F.hex(piece)), "(..)", "$1 ")
+        shown = F.regexp_replace(byte_text(piece), r"[^ -\[\]-~]", ".")
+        return F.format_string(DUMP_LINE, at, F.rpad(spaced, DUMP_WIDTH * 3, " "), shown)
+
+    # Each line takes its own bytes, so the work is in proportion to the data.
+    lines = F.transform(F.sequence(F.lit(0), size - 1, F.lit(DUMP_WIDTH)), lambda at: let(
+        F.substring(data, at + 1, F.lit(DUMP_WIDTH)), lambda piece: line(at, piece)))
+    return F.when(size > 0, lines).otherwise(F.array().cast("array<string>"))
 
 
 def printable(data: Column) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wiresift.functions.bytestr import be_bytes, hex_digits
+from wiresift.functions.headers import IP_HEADER, ip_fields, payload_slice
 from wiresift.operators.scan import PACKETS_PER_BLOCK, Running, block_of, numbered, running
 from wiresift.session import cut
 
@@ -85,31 +90,81 @@ def with_payload(ranges: DataFrame, packets: DataFrame) -> DataFrame:
         "payload", F.substring(F.col("_bytes"), (F.col("skip") + 1).cast("int"), size)).drop("_bytes", "skip")
 
 
-def defragment(packets: DataFrame, timeout: float = FRAGMENT_TIMEOUT,
-               rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
+FRAGMENT_KEY = ["src", "dst", "proto", "ip_id"]
+
+
+def _uses(parts: DataFrame, timeout: float) -> DataFrame:
+    """(pkt_seq, use): which of the datagrams that reuse an id a fragment belongs to.
+
+    A use ends when its bytes are complete, or after ``timeout`` seconds of
+    silence. Fragments of an id are walked in order of arrival; all that is kept
+    of them is which bytes the current use has.
+    """
+    order = [*FRAGMENT_KEY, "pkt_seq", "at", "frag_off", "len", "more_frags"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, use, last, have, total = None, 0, None, [], None
+        for batch in batches:
+            out = []
+            for *key, seq, at, low, size, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    now, use, last, have, total = key, 0, None, [], None
+                elif last is not None and at is not None and at - last > timeout or _covers(have, total):
+                    use, have, total = use + 1, [], None
+                last = at
+                have = _joined_ranges([*have, (low, low + size)])
+                if not more:
+                    total = low + size
+                out.append((seq, use))
+            if out:
+                seqs, uses = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seqs, pa.int64()), pa.array(uses, pa.int64())], names=["pkt_seq", "_use"])
+
+    heads = parts.select(
+        *FRAGMENT_KEY, F.col("pkt_seq").cast("long").alias("pkt_seq"), F.col("ts").cast("double").alias("at"),
+        "frag_off", F.octet_length("payload").alias("len"), "more_frags").select(*order)
+    return heads.repartition(*FRAGMENT_KEY).sortWithinPartitions(*FRAGMENT_KEY, "pkt_seq").mapInArrow(
+        walk, "pkt_seq long, _use long")
+
+
+def _joined_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(ranges):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _covers(have: list[tuple[int, int]], total: int | None) -> bool:
+    return total is not None and bool(have) and have[0][0] == 0 and have[0][1] >= total
+
+
+def defragment(packets: DataFrame, timeout: float = FRAGMENT_TIMEOUT) -> DataFrame:
     """Whole datagrams: complete packets as they are, fragments merged.
 
-    Fragments meet by (src, dst, proto, ip_id); an id used again after
-    ``timeout`` seconds of silence starts another datagram. Copies go first, so
-    a group holds at most one datagram's worth of bytes. Incomplete groups are
-    dropped.
+    Fragments meet by (src, dst, proto, ip_id). An id stands for another datagram
+    once the one before is complete, or after ``timeout`` seconds of silence.
+    Copies go first, so a group holds at most one datagram's worth of bytes.
+    Incomplete groups are dropped. A merged datagram takes the number and the
+    other columns of its earliest fragment.
     """
-    key = ["src", "dst", "proto", "ip_id"]
+    key = FRAGMENT_KEY
+    extra = [c for c in packets.columns if c not in {*key, "pkt_seq", "payload", "frag_off", "more_frags"}]
     lone = (F.col("frag_off") == 0) & (F.col("more_frags") == 0)
-    whole = packets.filter(lone).select(*key, "pkt_seq", "payload")
-    block = block_of(F.col("pkt_seq"), rows_per_block)
-    parts = running(packets.filter(~lone), key, ["pkt_seq"], block,
-                    [Running("_last", "max", F.col("ts"), inclusive=False)])
-    silent = F.coalesce(F.col("ts").cast("double") - F.col("_last").cast("double") > timeout, F.lit(False))
-    parts = running(parts.withColumn("_new", silent.cast("bigint")), key, ["pkt_seq"], block,
-                    [Running("_use", "sum", F.col("_new"))])
+    whole = packets.filter(lone).select(*key, "pkt_seq", "payload", *extra)
+    parts = packets.filter(~lone)
+    parts = parts.join(_uses(parts, timeout), "pkt_seq")
+    others = F.struct(*extra) if extra else F.lit(None)
     single = parts.groupBy(*key, "_use", "frag_off", F.octet_length("payload").alias("len")).agg(
         F.min_by("payload", "pkt_seq").alias("payload"), F.min("more_frags").alias("more_frags"),
-        F.min("pkt_seq").alias("pkt_seq"))
+        F.min("pkt_seq").alias("pkt_seq"), F.min_by(others, "pkt_seq").alias("others"))
     grouped = single.groupBy(*key, "_use").agg(
         F.sort_array(F.collect_list(F.struct("frag_off", "len", "payload"))).alias("parts"),
         F.max(F.when(F.col("more_frags") == 0, F.col("frag_off") + F.col("len"))).alias("total"),
-        F.min("pkt_seq").alias("pkt_seq"))
+        F.min("pkt_seq").alias("pkt_seq"), F.min_by("others", "pkt_seq").alias("others"))
 
     def join(state: Column, part: Column) -> Column:
         end = F.octet_length(state)
@@ -119,4 +174,27 @@ def defragment(packets: DataFrame, timeout: float = FRAGMENT_TIMEOUT,
 
     merged = grouped.withColumn("payload", F.aggregate("parts", F.lit(b""), join))
     done = merged.filter(F.octet_length("payload") == F.col("total"))
-    return whole.unionByName(done.select(*key, "pkt_seq", "payload"))
+    return whole.unionByName(done.select(*key, "pkt_seq", "payload", *[F.col(f"others.{c}").alias(c) for c in extra]))
+
+
+def whole_packets(raw: DataFrame, timeout: float = FRAGMENT_TIMEOUT) -> DataFrame:
+    """``raw`` (pkt_seq, ts, pkt, any others) with fragments merged to whole datagrams in ``pkt``.
+
+    Packets that are no fragments pass as they are. A merged datagram has its first
+    fragment's header, with its own length and no fragment field, and stands at
+    the place of the fragment that came first.
+    """
+    digits = hex_digits(F.col("pkt"), IP_HEADER)
+    heads = raw.withColumn("_ip", F.struct(*[c.alias(n) for n, c in ip_fields(digits).items()]))
+    lone = (F.col("_ip.frag_off") == 0) & (F.col("_ip.more_frags") == 0)
+    whole = heads.filter(lone).drop("_ip")
+    names = [c for c in raw.columns if c != "pkt"]
+    body = payload_slice(F.col("pkt"), F.col("_ip.ihl"), F.col("_ip.total_len"))
+    parts = heads.filter(~lone).select(
+        *names, *[F.col(f"_ip.{c}").alias(c) for c in (*FRAGMENT_KEY, "frag_off", "more_frags")],
+        F.substring("pkt", F.lit(1), F.col("_ip.ihl")).alias("_head"), body.alias("payload"))
+    merged = defragment(parts, timeout)
+    size = F.octet_length("_head") + F.octet_length("payload")
+    pkt = F.concat(F.substring("_head", 1, 2), be_bytes(size, 2), F.substring("_head", 5, 2), F.unhex(F.lit("0000")),
+                   F.substring("_head", F.lit(9), F.octet_length("_head") - 8), F.col("payload"))
+    return whole.unionByName(merged.withColumn("pkt", pkt).select(*raw.columns))

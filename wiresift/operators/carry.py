@@ -64,13 +64,13 @@ class BlockSearch:
             if rule.mode == "regex":
                 flags = sum(f for k, f in {"s": regex.S, "m": regex.M, "i": regex.I}.items()
                             if k in rule.flags)
-                out.append((rule, [regex.compile(rule.pattern.encode("latin-1"), flags)]))
+                out.append((rule, [regex.compile(rule.pattern.encode("utf-8"), flags)]))
             elif rule.mode == "bytesig":
                 out.append((rule, [regex.compile(regex.escape(bytes.fromhex(rule.pattern)))]))
             elif rule.mode == "signature":
                 out.append((rule, [_string_search(s) for s in rule.strings]))
             else:
-                out.append((rule, [rule.pattern.encode("latin-1")]))
+                out.append((rule, [rule.pattern.encode("utf-8")]))
         return out
 
     def run(self, direction: str, rules: list, base_off: int, parts: list[tuple[int, bytes]],
@@ -86,6 +86,10 @@ class BlockSearch:
             found = None
             for rule, searches in rules:
                 found = _hit(rule, searches, view, spec)
+                if found and spec.invert and rule.mode == "signature":
+                    # A file hits when none of its rules holds.
+                    found = all(_hit(r, s, view, spec) for r, s in rules
+                                if r.mode == "signature" and r.source_file == rule.source_file) and found
                 if found:
                     break
             if found:
@@ -129,7 +133,7 @@ def _string_search(string):
     import regex
 
     if string.kind == "regex":
-        return regex.compile(string.pattern.encode("latin-1"), regex.S)
+        return regex.compile(string.pattern.encode("utf-8"), regex.S)
     raw = bytes.fromhex(string.pattern) if string.kind == "hex" else string.pattern.encode("utf-8")
     return regex.compile(regex.escape(raw))
 

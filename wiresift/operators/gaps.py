@@ -8,13 +8,11 @@ brought together.
 
 from __future__ import annotations
 
-from re import _parser as re_parser
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wiresift import dialect
 from wiresift.functions.bytestr import let
-from wiresift.operators.matchers import java_regex
 from wiresift.session import cut
 from wiresift.spec import InspectSpec, Rule, context_free
 
@@ -62,7 +60,7 @@ def gap_pieces(pattern: str) -> list[str] | None:
 
 
 def _width(piece: str) -> int | None:
-    low, high = re_parser.parse(piece).getwidth()
+    low, high = dialect.parsed(piece).getwidth()
     return int(low) if low == high else None
 
 
@@ -110,7 +108,7 @@ def gap_first(blocks: DataFrame, rule: Rule) -> DataFrame:
         state = state.withColumn("first_start", zero)
     for piece in pieces:
         if piece:
-            pattern, width = java_regex(piece, rule.flags), _width(piece)
+            pattern, width = dialect.java(piece, rule.flags), _width(piece)
             hit = _first_from(blocks, state, pattern, width)
             state = hit.select(*FLOW, (F.col("place") + width).alias("at"),
                                F.coalesce("first_start", "place").alias("first_start"))
@@ -131,7 +129,7 @@ def gap_first(blocks: DataFrame, rule: Rule) -> DataFrame:
     prefix = F.substring("text", F.lit(1), (F.col("_c.end") - F.col("origin")).cast("int"))
     last = pieces[-1]
     end = F.col("_c.end") if not last else let(prefix, lambda p: _last_end(
-        p, F.col("origin"), java_regex(last, rule.flags)))
+        p, F.col("origin"), dialect.java(last, rule.flags)))
     return found.select(
         *FLOW, F.col("_c.chunk_no").alias("chunk_no"), F.lit(rule.rule_id).cast("int").alias("rule_id"),
         F.lit("regex").alias("mode"), F.col("first_start").alias("start_off"), end.alias("end_off"),

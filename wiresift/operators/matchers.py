@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wiresift import dialect
 from wiresift.functions.bytestr import let
 from wiresift.spec import ANY, InspectSpec, Rule, SignatureString, context_free, widest_match
 
@@ -37,14 +38,9 @@ def _hit(rule: Rule, start: Column, end: Column, whole: bool = False,
     )
 
 
-def java_regex(pattern: str, flags: str) -> str:
-    """Pattern with its flags; ``d`` keeps line feed the only line end."""
-    return f"(?d{''.join(f for f in flags if f in 'smi')}){pattern}"
-
-
 def regex_hit(buf: Column, rule: Rule, invert: bool = False, drop_empty: bool = False) -> Column:
     """Leftmost regex match, or (invert) the whole of a buffer without one."""
-    pattern = java_regex(rule.pattern, rule.flags)
+    pattern = dialect.java(rule.pattern, rule.flags)
     if invert:
         return F.when(~buf.rlike(pattern), _hit(rule, F.lit(0), F.length(buf), whole=True))
     start = F.regexp_instr(buf, F.lit(pattern)) - 1
@@ -127,7 +123,7 @@ def _has_piece(text: Column, pattern: str, threshold: int) -> Column:
 
 def maybe_fuzzy(buf: Column, rule: Rule) -> Column:
     """Cheap test that keeps every buffer able to reach the threshold."""
-    return (F.length(buf) < len(rule.pattern)) | _has_piece(buf, rule.pattern, rule.threshold)
+    return (F.length(buf) < len(rule.byte_pattern)) | _has_piece(buf, rule.byte_pattern, rule.threshold)
 
 
 def fuzzy_hit(buf: Column, rule: Rule, invert: bool = False) -> Column:
@@ -139,8 +135,8 @@ def fuzzy_hit(buf: Column, rule: Rule, invert: bool = False) -> Column:
         return F.when(passed, _hit(rule, F.lit(0), F.length(buf), whole=True, detail=detail))
 
     if invert:
-        return let(partial_ratio(buf, rule.pattern), judged)
-    return F.when(maybe_fuzzy(buf, rule), let(partial_ratio(buf, rule.pattern, rule.threshold), judged))
+        return let(partial_ratio(buf, rule.byte_pattern), judged)
+    return F.when(maybe_fuzzy(buf, rule), let(partial_ratio(buf, rule.byte_pattern, rule.threshold), judged))
 
 
 def hex_text(digits: str) -> str:
@@ -157,7 +153,7 @@ def bytesig_hit(buf: Column, rule: Rule, invert: bool = False) -> Column:
 
 
 def _string_regex(string: SignatureString) -> str:
-    return java_regex(string.pattern, "s")
+    return dialect.java(string.pattern, "s")
 
 
 def string_found(buf: Column, string: SignatureString) -> Column:
@@ -169,13 +165,13 @@ def string_found(buf: Column, string: SignatureString) -> Column:
 def string_literal(string: SignatureString) -> str:
     if string.kind == "hex":
         return hex_text(string.pattern)
-    return string.pattern.encode("utf-8").decode("latin-1")
+    return dialect.byte_pattern(string.pattern)
 
 
 def string_last(buf: Column, string: SignatureString) -> Column:
     """Struct (start, end) of the last instance of a string that does occur."""
     if string.kind == "regex":
-        start = F.length(F.regexp_extract(buf, f"(?s)^(.*)(?:{string.pattern})", 1))
+        start = F.length(F.regexp_extract(buf, f"(?s)\\A(.*)(?:{dialect.java(string.pattern, 's', 1)})", 1))
         size = F.length(F.regexp_substr(
             F.substring(buf, start + 1, F.length(buf)), F.lit(_string_regex(string))))
         return F.struct(start.cast("bigint").alias("start"),
@@ -256,7 +252,7 @@ def reach(rule: Rule, spec: InspectSpec) -> int | None:
             return 1 if context_free(rule.pattern) else None
         return widest_match(rule.pattern)
     if rule.mode == "fuzzy":
-        return len(rule.pattern)
+        return len(rule.byte_pattern)
     if spec.invert:
         return 1
     if rule.mode == "signature":
@@ -271,7 +267,7 @@ def may_hit(buf: Column, rules: Sequence[Rule], spec: InspectSpec) -> Column:
         if spec.invert:
             return F.lit(True)
         if rule.mode == "regex" and context_free(rule.pattern):
-            some = some | buf.rlike(java_regex(rule.pattern, rule.flags))
+            some = some | buf.rlike(dialect.java(rule.pattern, rule.flags))
         elif rule.mode == "bytesig":
             some = some | buf.contains(F.lit(hex_text(rule.pattern)))
         elif rule.mode == "signature" and all(

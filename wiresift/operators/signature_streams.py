@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiresift.functions.bytestr import let
 from wiresift.operators.matchers import string_found, string_last, string_literal
+from wiresift.operators.scope import scope_base, scope_end
 from wiresift.spec import CTS, STC, InspectSpec, Rule, SignatureString, widest_match
 
 
@@ -49,25 +50,38 @@ def signature_first(chunks: DataFrame, spec: InspectSpec, per_block: int) -> Dat
 
 def _last_instance(chunks: DataFrame, held: DataFrame, rule: Rule, spec: InspectSpec,
                    per_block: int) -> DataFrame:
-    """Span of the last instance, up to the deciding chunk, of the rule's last string."""
+    """Span of the last instance, up to the deciding chunk, of the rule's last string.
+
+    Only the bytes within offset and depth count. A string without a length bound
+    can reach over all of them, so they then meet in one row; a depth bounds it.
+    """
     from wiresift.operators import streams
 
     hit = held.select("flow_id", "direction", F.col("chunk_no").alias("at"), "ord")
     seen = chunks.join(hit, ["flow_id", "direction"]).filter(F.col("chunk_no") <= F.col("at")).select(
         "flow_id", "direction", "chunk_no", "payload")
+    sizes = seen.groupBy("flow_id", "direction").agg(F.sum(F.octet_length("payload")).cast("bigint").alias("bytes"))
     widths = [widest_match(s.pattern) if s.kind == "regex" else len(string_literal(s))
               for s in rule.strings]
     if any(w is None for w in widths):
-        raise ValueError("signature strings without a length bound need a depth on long flows")
-    tail = max(max(widths) - 1, 0)
-    blocks = streams.with_context(streams.stream_blocks(seen, per_block), seen, per_block, tail, True)
-    text = F.col("text")
-    per_string = F.coalesce(*[
-        F.when((F.col("ord") == i) & string_found(text, s), string_last(text, s))
-        for i, s in enumerate(rule.strings)])
+        blocks = streams.with_context(streams.stream_blocks(seen, 1 << 40), seen, 1 << 40, 0, False)
+    else:
+        tail = max(max(widths) - 1, 0)
+        blocks = streams.with_context(streams.stream_blocks(seen, per_block), seen, per_block, tail, True)
+    base = scope_base(F.col("bytes"), spec)
+    stop = scope_end(base, F.col("bytes"), spec)
     origin = F.col("base_off") - F.length("tail")
-    spans = blocks.join(hit, ["flow_id", "direction"]).withColumn("_s", let(per_string, lambda s: F.when(
-        s.isNotNull(), F.struct((origin + s["start"]).alias("start_off"), (origin + s["end"]).alias("end_off")))))
+    low = F.greatest(base, origin)
+    piece = F.substring("text", (low - origin + 1).cast("int"), F.greatest(stop - low, F.lit(0)).cast("int"))
+
+    def last(text: Column) -> Column:
+        return F.coalesce(*[
+            F.when((F.col("ord") == i) & string_found(text, s), string_last(text, s))
+            for i, s in enumerate(rule.strings)])
+
+    found = let(let(piece, last), lambda s: F.when(s.isNotNull(), F.struct(
+        (low + s["start"]).alias("start_off"), (low + s["end"]).alias("end_off"))))
+    spans = blocks.join(hit, ["flow_id", "direction"]).join(sizes, ["flow_id", "direction"]).withColumn("_s", found)
     return spans.filter(F.col("_s").isNotNull()).groupBy("flow_id", "direction").agg(
         F.max("at").alias("chunk_no"), F.max("_s").alias("_s")).select(
         "flow_id", "direction", "chunk_no",

@@ -247,7 +247,8 @@ def _multi_in_block(rules: Sequence[Rule], spec: InspectSpec) -> Column:
     """All hits of a flow direction that fits one block, in chunk order."""
     text = F.col("text")
     bounds = [reach(r, spec) for r in rules]
-    plain = spec.offset == 0 and spec.depth == 0 and all(
+    # Whether a rule misses follows from all bytes, not from the newest ones.
+    plain = not spec.invert and spec.offset == 0 and spec.depth == 0 and all(
         b is not None and r.mode != "fuzzy" for b, r in zip(bounds, rules))
     tail = max([b or 0 for b in bounds], default=0)
     zero = F.lit(0).cast("bigint")

@@ -172,10 +172,10 @@ FRAGMENT = 160
 
 
 @query(f"""SELECT '10.' || ((conv_id // 65536) % 256) || '.' || ((conv_id // 256) % 256) || '.' || (conv_id % 256) AS src,
-  turn AS ip_id, text FROM conversations
+  CASE WHEN (conv_id + turn) % {LOST_EVERY} = 0 THEN 1000 + turn ELSE turn % 2 END AS ip_id, text FROM conversations
 WHERE strlen(text) <= {FRAGMENT} OR (conv_id + turn) % {LOST_EVERY} <> 0""")
 def defragment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as fragmented datagrams; some lack their last fragment."""
+    """Conversation turns as fragmented datagrams in one second: ids are soon used again, some lack their last fragment."""
     size = F.octet_length("payload")
     turns = T.table(spark, sf_dir, "conversations").withColumn("payload", T.utf8("text"))
     last = F.greatest(F.floor((size - 1) / FRAGMENT).cast("int"), F.lit(0))
@@ -183,7 +183,9 @@ def defragment(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = (F.col("i") == F.col("last")) & (F.col("i") > 0) & ((F.col("conv_id") + F.col("turn")) % LOST_EVERY == 0)
     packets = cut.filter(~lost).select(
         F.expr("concat('10.', (conv_id div 65536) % 256, '.', (conv_id div 256) % 256, '.', conv_id % 256)").alias("src"),
-        F.lit(T.SERVER).alias("dst"), F.lit(H.UDP).alias("proto"), F.col("turn").alias("ip_id"),
+        F.lit(T.SERVER).alias("dst"), F.lit(H.UDP).alias("proto"),
+        F.when((F.col("conv_id") + F.col("turn")) % LOST_EVERY == 0, F.col("turn") + 1000)
+        .otherwise(F.col("turn") % 2).alias("ip_id"),
         (F.col("conv_id") * 65536 + F.col("turn") * 1024 + F.col("last") - F.col("i")).alias("pkt_seq"),
         F.timestamp_seconds(F.col("conv_id")).alias("ts"),
         (F.col("i") * FRAGMENT).alias("frag_off"),

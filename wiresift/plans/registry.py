@@ -83,9 +83,9 @@ tf AS (SELECT *, CASE WHEN coalesce(dead, -1) < 2 * opened THEN opened END AS op
 
 TCP_FLOW = tcp_flow()
 CHUNKS = """ch AS (
-  SELECT conv_id AS flow_id, turn AS chunk_no, CASE role WHEN 'user' THEN 'CTS' ELSE 'STC' END AS direction,
+  SELECT conv_id AS flow_id, turn AS chunk_no, CASE role WHEN 'assistant' THEN 'STC' ELSE 'CTS' END AS direction,
     text, strlen(text) AS len
-  FROM conversations WHERE role IN ('user', 'assistant'))"""
+  FROM conversations)"""
 PREFIXES = CHUNKS + """, pre AS (
   SELECT *, string_agg(text, '') OVER w AS buf, sum(len) OVER w AS end_off,
     row_number() OVER w AS k

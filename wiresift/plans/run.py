@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiresift.functions.headers import TCP, UDP
+from wiresift.functions.headers import TCP, UDP, decode_packets
 from wiresift.operators import annotate, assembly, extract, flows, scope, summary
 from wiresift.operators.datagrams import inspect_datagrams
 from wiresift.operators.scan import Running, block_of, block_rows, running
@@ -37,7 +37,7 @@ class Inspection:
 
     def summary(self) -> DataFrame:
         """Inspected datagrams and completed handshakes, matched ones, shortest and longest."""
-        tcp = self.flow_table.filter((F.col("proto") == "TCP") & F.col("established")).select("proto")
+        tcp = _ready(self.flow_table, self.spec).select("proto")
         udp = self.packets.filter(F.col("proto") == "UDP")
         udp = scope.limit_datagrams(udp, self.spec.max_datagrams).select("proto")
         numbers = self.matches.limit(0) if self.spec.linemode else self.matches
@@ -71,7 +71,7 @@ class Inspection:
 
 
 def inspect(packets: DataFrame, spec: InspectSpec, idle_seconds: float | None = None) -> Inspection:
-    """Inspect decoded packets (``decode_packets`` with ``pkt_seq`` and ``ts``).
+    """Inspect decoded packets (``packets_of`` raw ones with ``pkt_seq`` and ``ts``).
 
     Flow ids are the ``pkt_seq`` of a flow's first packet. The packets are read
     several times, headers and payloads apart, so give it a stored table rather
@@ -92,9 +92,7 @@ def inspect(packets: DataFrame, spec: InspectSpec, idle_seconds: float | None =
     pairs = cut(flows.number_packets(flows.udp_packets(udp, rows), rows_per_block=rows))
     table = cut(flows.flow_ids(tcp_table.unionByName(flows.udp_flow_table(pairs)), rows))
 
-    ready = table.filter((F.col("proto") == "TCP") & F.col("established"))
-    if spec.max_streams:
-        ready = ready.orderBy("first_seq").limit(spec.max_streams)
+    ready = _ready(table, spec)
     isn = F.when(F.col("direction") == "CTS", F.col("client_isn")).otherwise(F.col("server_syn.seq"))
     segments = index.join(ready.select("open_seq"), "open_seq", "left_semi").select(
         F.col("open_seq").alias("flow_id"), "direction", "pkt_seq", "seq", isn.alias("isn"),
@@ -124,6 +122,17 @@ def inspect(packets: DataFrame, spec: InspectSpec, idle_seconds: float | None =
     return Inspection(spec, both, chunks, table, matches.select(*MATCHES))
 
 
+def packets_of(raw: DataFrame) -> DataFrame:
+    """Decoded packets of raw ones (pkt_seq, ts, pkt): fragments are merged first."""
+    return decode_packets(assembly.whole_packets(raw))
+
+
+def _ready(table: DataFrame, spec: InspectSpec) -> DataFrame:
+    """TCP flows that are inspected: established ones, up to the limit in order of their start."""
+    ready = table.filter((F.col("proto") == "TCP") & F.col("established"))
+    return ready.orderBy("first_seq").limit(spec.max_streams) if spec.max_streams else ready
+
+
 def _lines(chunks: DataFrame, datagrams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Line mode: every chunk and datagram as it comes."""
     none = {"rule_id": F.lit(None).cast("int"), "mode": F.lit("line"), "detail": F.lit(None).cast("string")}

@@ -22,18 +22,25 @@ def utf8(col: str) -> Column:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as stream chunks: a conversation is a flow, users are clients."""
+    """Conversation turns as stream chunks: a conversation is a flow, the assistant its server."""
     return chunks_view(table(spark, sf_dir, "conversations"))
 
 
 def chunks_view(turns: DataFrame) -> DataFrame:
     role = F.col("role")
-    return turns.filter(role.isin("user", "assistant")).select(
+    return turns.select(
         F.col("conv_id").alias("flow_id"),
-        F.when(role == "user", "CTS").otherwise("STC").alias("direction"),
+        F.when(role == "assistant", "STC").otherwise("CTS").alias("direction"),
         F.col("turn").alias("chunk_no"), utf8("text").alias("payload"))
 
 
+def long_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as stream chunks: all events of a kind are one long flow, numbered by their ids."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("flow_id"), F.when(F.col("event_id") % 3 == 0, "STC").otherwise("CTS").alias("direction"),
+        F.col("event_id").alias("chunk_no"), utf8("props").alias("payload"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as datagrams: even ids from the client, odd ones from the server."""
     return documents_view(table(spark, sf_dir, "documents"))

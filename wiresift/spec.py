@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from re import _parser as re_parser
 
+from wiresift import dialect
+
 # Direction names, and the order in which modes are tried.
 CTS, STC, ANY = "CTS", "STC", "ANY"
 MODE_ORDER = {"regex": 0, "fuzzy": 1, "bytesig": 2, "signature": 3}
@@ -29,6 +30,13 @@ class SignatureString:
     def __post_init__(self) -> None:
         if self.kind not in ("text", "hex", "regex"):
             raise ValueError(f"unknown signature string kind {self.kind!r}")
+        if self.kind == "regex":
+            re.compile(self.pattern)
+            dialect.java(self.pattern, "s")
+        elif self.kind == "hex":
+            bytes.fromhex(self.pattern)
+        if not self.pattern:
+            raise ValueError("a signature string is empty")
 
 
 @dataclass(frozen=True)
@@ -36,8 +44,9 @@ class Rule:
     """One content rule.
 
     ``pattern`` holds the regex, the fuzzy text, or (bytesig) hex digits.
-    ``flags`` uses the inline regex letters: ``s`` and ``m`` are on unless the
-    caller drops them, ``i`` ignores case. A signature rule names its strings
+    Patterns are Python's, over bytes: text beyond ASCII stands for its UTF-8
+    bytes. ``flags`` uses the inline regex letters: ``s`` and ``m`` are on unless
+    the caller drops them, ``i`` ignores case. A signature rule names its strings
     and a condition: ``any``, ``all`` or a count.
     """
 
@@ -62,6 +71,7 @@ class Rule:
             raise ValueError(f"unknown direction {self.direction!r}")
         if self.mode == "regex":
             re.compile(self.pattern)
+            dialect.java(self.pattern, self.flags)
         if self.mode == "fuzzy" and not (self.pattern and 1 <= self.threshold <= 100):
             raise ValueError("a fuzzy rule needs a text and a threshold from 1 to 100")
         if self.mode == "bytesig":
@@ -69,7 +79,13 @@ class Rule:
         if self.mode == "signature":
             if not self.strings:
                 raise ValueError("a signature rule needs strings")
-            self.needed_strings()
+            if not 1 <= self.needed_strings() <= len(self.strings):
+                raise ValueError(f"the condition {self.condition!r} does not fit {len(self.strings)} strings")
+
+    @property
+    def byte_pattern(self) -> str:
+        """The pattern's UTF-8 bytes, one character each, as buffers are searched."""
+        return dialect.byte_pattern(self.pattern)
 
     def needed_strings(self) -> int:
         """How many distinct strings must occur for a signature rule to hold."""
@@ -147,7 +163,7 @@ def widest_match(pattern: str) -> int | None:
     look-around, back references) also give None: whether they hold cannot be
     decided from the matched characters alone.
     """
-    parsed = re_parser.parse(pattern)
+    parsed = dialect.parsed(pattern)
     if not context_free(pattern):
         return None
     widest = parsed.getwidth()[1]
@@ -156,7 +172,7 @@ def widest_match(pattern: str) -> int | None:
 
 def context_free(pattern: str) -> bool:
     """Whether matches depend on the matched characters alone."""
-    return not _looks_around(re_parser.parse(pattern))
+    return not _looks_around(dialect.parsed(pattern))
 
 
 def _looks_around(node: object) -> bool:
@@ -165,8 +181,3 @@ def _looks_around(node: object) -> bool:
     if isinstance(node, (tuple, list)):
         return any(_looks_around(item) for item in node)
     return str(node) in CONTEXT_NODES
-
-
-def expand_any(rules: Iterable[Rule]) -> list[tuple[Rule, str]]:
-    """(rule, direction) pairs; a rule for ANY appears once per direction."""
-    return [(r, d) for r in rules for d in (CTS, STC) if r.covers(d)]
