@@ -193,6 +193,17 @@ def _first(chunks: DataFrame, spec: InspectSpec, per_block: int, long_flows: boo
     }).select(*MATCH_COLUMNS)
 
 
+def first_hits(chunks: DataFrame, spec: InspectSpec, per_block: int = CHUNKS_PER_BLOCK) -> DataFrame:
+    """The first match of each rule in each flow, for expressions over rules."""
+    found = None
+    for rule in spec.ordered:
+        one = inspect_streams(chunks, replace(spec, rules=(rule,), multi_match=False), per_block)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        raise ValueError("no rules to look for")
+    return found
+
+
 def _only(spec: InspectSpec, rules: Sequence[Rule]) -> InspectSpec:
     return replace(spec, rules=tuple(rules))
 

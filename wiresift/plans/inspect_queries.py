@@ -11,8 +11,10 @@ from wiresift.functions import text as X
 from wiresift.operators import scope as S
 from wiresift.operators.annotate import match_pieces, packet_span as spans, rule_expr, with_rule_meta
 from wiresift.operators.datagrams import inspect_all_rules, inspect_datagrams
-from wiresift.operators.streams import inspect_streams, line_mode as lines
-from wiresift.plans.registry import CHUNKS, DOCS, PREFIXES, first_of_prefix, multi_of_prefix, query
+from wiresift.operators.streams import first_hits, inspect_streams, line_mode as lines
+from wiresift.plans.registry import (
+    CHUNKS, DOCS, LONG_PREFIXES, PREFIXES, first_of_prefix, multi_of_prefix, query)
+from wiresift.session import cut
 from wiresift.sources import tables as T
 from wiresift.spec import InspectSpec, Rule, SignatureString
 
@@ -52,6 +54,32 @@ def datagram_regex_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regex_on_documents(spark, sf_dir, WORD, invert=True).select("doc_id", "direction", *SPAN)
 
 
+NAMED = "(?P<start>th[a-z]+)(?P<end>ing|ed)"
+UTF8 = "[a-z]+(?:ción|ère|ü)"
+BRACES = '{"k": [1-4]?7}'
+
+
+@query(f"WITH {DOCS}, {span_sql(NAMED)} SELECT * FROM sp")
+def datagram_regex_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named groups, as Python writes them."""
+    return regex_on_documents(spark, sf_dir, NAMED).select("doc_id", "direction", *SPAN, as_text())
+
+
+@query(f"WITH {DOCS}, {span_sql(UTF8)} SELECT * FROM sp")
+def datagram_regex_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters beyond ASCII, found as their bytes."""
+    return regex_on_documents(spark, sf_dir, UTF8).select("doc_id", "direction", *SPAN, as_text())
+
+
+@query(f"""SELECT event_id, instr(props, regexp_extract(props, '{BRACES}')) - 1 AS start_off,
+  strlen(regexp_extract(props, '{BRACES}')) AS size FROM events WHERE regexp_matches(props, '{BRACES}')""")
+def datagram_regex_braces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brace that opens no repeat is a brace, and a repeat may lack its lower bound."""
+    rows = T.table(spark, sf_dir, "events").select("event_id", F.lit("CTS").alias("direction"), T.utf8("props").alias("payload"))
+    rule = Rule(1, pattern=BRACES.replace("?", "{,1}"))
+    return inspect_datagrams(rows, InspectSpec(rules=(rule,)), ["event_id"]).select("event_id", "start_off", "size")
+
+
 ICASE = "(?:the|de) [a-z]+(?:ing|eau)"
 
 
@@ -332,6 +360,52 @@ def stream_multi_dotstar(spark: SparkSession, sf_dir: str) -> DataFrame:
         "flow_id", "direction", "chunk_no", "start_off", "end_off", "match_no")
 
 
+LONG_BOUNDED = '7}{"k": 91}{"k": [2-4]'
+LONG_OPEN = '"k": 91}{"k": 3.*"k": 92}{"k": 4.*"k": 93}'
+
+
+@query(f"""WITH {first_of_prefix(LONG_BOUNDED, prefixes=LONG_PREFIXES)}
+SELECT flow_id, direction, chunk_no, start_off, end_off, size FROM fm""")
+def stream_long_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of thousands of chunks, with matches across chunks."""
+    spec = InspectSpec(rules=(Rule(1, pattern=LONG_BOUNDED),))
+    return inspect_streams(T.long_chunks(spark, sf_dir), spec).select(*PLACE)
+
+
+@query(f"""WITH {first_of_prefix('(?s)' + LONG_OPEN, prefixes=LONG_PREFIXES)}
+SELECT flow_id, direction, chunk_no, start_off, end_off, size FROM fm""")
+def stream_long_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = InspectSpec(rules=(Rule(1, pattern=LONG_OPEN),))
+    return inspect_streams(T.long_chunks(spark, sf_dir), spec).select(*PLACE)
+
+
+LONG_STRINGS = ('91}{"k": 2', '92}{"k": 1')
+LONG_DEPTH = 6000
+
+
+@query(f"""WITH {LONG_PREFIXES}, w AS (SELECT *, substr(buf, 1, {LONG_DEPTH}) AS view FROM pre),
+h AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY chunk_no) AS rn FROM w
+  WHERE contains(view, '{LONG_STRINGS[0]}') AND contains(view, '{LONG_STRINGS[1]}'))
+SELECT flow_id, direction, chunk_no,
+  length(view) - strpos(reverse(view), reverse('{LONG_STRINGS[1]}')) - length('{LONG_STRINGS[1]}') + 1 AS start_off,
+  length(view) - strpos(reverse(view), reverse('{LONG_STRINGS[1]}')) + 1 AS end_off FROM h WHERE rn = 1""")
+def stream_long_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last instance of a rule's last string, within the depth."""
+    rule = Rule(1, "signature", condition="all", strings=tuple(
+        SignatureString(str(i), "text", x) for i, x in enumerate(LONG_STRINGS)))
+    return inspect_streams(T.long_chunks(spark, sf_dir), InspectSpec(rules=(rule,), depth=LONG_DEPTH)).select(
+        "flow_id", "direction", "chunk_no", "start_off", "end_off")
+
+
+@query(f"""WITH {PREFIXES} SELECT flow_id FROM pre GROUP BY 1
+HAVING bool_or(regexp_matches(buf, '[a-z]tion[^a-z]')) AND (bool_or(regexp_matches(buf, 'ing[.]\nThe')) OR NOT bool_or(contains(buf, ' the ')))""")
+def stream_rule_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expression over rules that hit in different chunks of a flow's streams."""
+    rules = (Rule(1, pattern="[a-z]tion[^a-z]"), Rule(2, pattern="ing[.]\nThe"), Rule(3, pattern=" the "))
+    hits = first_hits(T.chunks(spark, sf_dir), InspectSpec(rules=rules))
+    return rule_expr(hits, ["flow_id"], {"m01": 1, "m02": 2, "m03": 3}, "m01 and (m02 or not m03)").select("flow_id")
+
+
 @query(f"""WITH {CHUNKS} SELECT flow_id, bool_or(contains(text, ' the ')) AS has_the FROM ch GROUP BY 1
 HAVING bool_or(contains(text, ' the ')) AND (bool_or(regexp_matches(text, 'tion[^a-z]'))
   OR NOT bool_or(contains(text, 'ing')))""")
@@ -382,6 +456,7 @@ FROM fm ORDER BY flow_id LIMIT 15""")
 def report_limit_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report is cut short, the count is not."""
     matches = stream_matches(spark, sf_dir, Rule(1, pattern=FIRST)).select("flow_id", "chunk_no", "start_off")
+    matches = cut(matches)
     return S.limit_report(matches, 15, ("flow_id",)).withColumn("matched", F.lit(matches.count()))
 
 

@@ -86,17 +86,24 @@ CHUNKS = """ch AS (
   SELECT conv_id AS flow_id, turn AS chunk_no, CASE role WHEN 'assistant' THEN 'STC' ELSE 'CTS' END AS direction,
     text, strlen(text) AS len
   FROM conversations)"""
-PREFIXES = CHUNKS + """, pre AS (
+# Events as chunks: a few flows of thousands of chunks each.
+LONG_CHUNKS = """ch AS (
+  SELECT event_type AS flow_id, event_id AS chunk_no, CASE WHEN event_id % 3 = 0 THEN 'STC' ELSE 'CTS' END AS direction,
+    props AS text, strlen(props) AS len
+  FROM events)"""
+_PREFIX = """, pre AS (
   SELECT *, string_agg(text, '') OVER w AS buf, sum(len) OVER w AS end_off,
     row_number() OVER w AS k
   FROM ch WHERE len > 0
   WINDOW w AS (PARTITION BY flow_id, direction ORDER BY chunk_no))"""
+PREFIXES = CHUNKS + _PREFIX
+LONG_PREFIXES = LONG_CHUNKS + _PREFIX
 DOCS = """docs AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'CTS' ELSE 'STC' END AS direction, text FROM documents)"""
 
 
-def first_of_prefix(pattern: str, where: str = "true") -> str:
+def first_of_prefix(pattern: str, where: str = "true", prefixes: str = PREFIXES) -> str:
     """SQL for first-match mode with one context-free pattern, as ``fm``."""
-    return PREFIXES + f""", hits AS (
+    return prefixes + f""", hits AS (
   SELECT *, regexp_extract(buf, '{pattern}') AS hit,
     row_number() OVER (PARTITION BY flow_id ORDER BY chunk_no) AS rn
   FROM pre WHERE regexp_matches(buf, '{pattern}') AND {where}),
