@@ -100,8 +100,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = str(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), model)
-    return sentencepiece_codec.digests(sentencepiece_codec.decode_documents(encoded, model))
+    return sentencepiece_codec.digests(
+        sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), model, decode=True))
 
 
 @query()

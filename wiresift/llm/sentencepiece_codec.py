@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,9 @@ SPACE = "▁"
 #: Below the lowest score of a piece, what a character outside the vocabulary costs.
 UNKNOWN_COST = 10.0
 #: Remembered words of a worker; at the bound it forgets all and goes on.
-MEMO = 400_000
+MEMO = 1_500_000
+#: Remembered answers on neighbouring pieces.
+PAIRS = 1_000_000
 
 
 class Codec:
@@ -56,19 +59,23 @@ class Codec:
                 scores[piece] = (model.get_score(i), i)
                 self.out.append(piece.replace(SPACE, " ").encode())
         self.scores = scores
-        self.allowed: dict[tuple[str, str], bool] = {}
+        # By piece, whether the ones after it stand.
+        self.allowed: dict[str, dict[str, bool]] = {}
+        self.answers = 0
         if self.merges:
             self._learn_halves()
         self.unknown_id = model.unk_id()
         self.longest = max(map(len, scores), default=1)
         self.unknown = min((s for s, _ in scores.values()), default=0.0) - UNKNOWN_COST
-        # A tree of characters; the key "" holds the piece that ends there.
-        self.tree: dict = {}
+        # A tree of characters: each leads to the (piece, score, id) that ends there, or
+        # nothing, and to the characters that go on.
+        self.tree: dict[str, list] = {}
         for piece, found in scores.items():
-            node = self.tree
+            node, last = self.tree, None
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = found
+                last = node.setdefault(c, [None, {}])
+                node = last[1]
+            last[0] = piece, *found
         # Characters that stand next to each other in some piece; between others every path parts.
         self.touching = {p[i:i + 2] for p in scores for i in range(len(p) - 1)}
         # Spaces only lead pieces, and line feeds are in none, so every path parts there.
@@ -124,14 +131,14 @@ class Codec:
         The merges that made the two are undone, the latest first. The pieces that
         meet at the border in between must not have a merge that comes earlier.
         """
-        if not before:
-            return piece in self.rank or len(piece) == 1
-        key = (before, piece)
-        known = self.allowed.get(key)
+        known = self.allowed.setdefault(before, {}).get(piece)
         if known is None:
-            if len(self.allowed) >= MEMO:
+            if self.answers >= PAIRS:
                 self.allowed.clear()
-            known = self.allowed[key] = self._stands(before, piece)
+                self.answers = 0
+            known = self._stands(before, piece) if before else piece in self.rank or len(piece) == 1
+            self.allowed.setdefault(before, {})[piece] = known
+            self.answers += 1
         return known
 
     def _stands(self, left: str, right: str) -> bool:
@@ -160,10 +167,11 @@ class Codec:
         return self._words
 
     def _ids(self, text: str) -> bytes:
-        search = self.stream()
-        out = search.push(text)
-        out += search.finish()
-        return np.array(out, "<u4").tobytes()
+        if not hasattr(self, "_search"):
+            self._search = self.stream()
+        out = self._search.push(text)
+        out += self._search.finish()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -174,6 +182,7 @@ class Codec:
         return data.decode("utf-8", "replace")
 
 
+_NONE: dict[str, bool] = {}
 # A word with the spaces before it, spaces before a line end, or a line feed.
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
@@ -245,16 +254,20 @@ class Viterbi:
 
     def _begin(self) -> None:
         self.text = ""
-        # By boundary: the path's score or nothing, and its last piece with its start and id.
-        self.best: list[float | None] = [0.0]
-        self.back: list[tuple[int, int, str]] = [(-1, -1, "")]
-        self.at = 0
+        # By boundary, for the path to it: the score, and the last piece with its start and
+        # id. Where there is no path yet, the piece is None.
+        self.score: list[float] = [0.0]
+        self.piece: list[str | None] = [""]
+        self.start: list[int] = [-1]
+        self.id: list[int] = [-1]
+        self.at = self.reach = 0
         self.most_held = 1
 
     def push(self, text: str) -> list[int]:
         """Takes more text; gives the ids that have become final."""
-        self.text += text
-        return self._run(len(self.text) - self.codec.longest + 1)
+        self._take(text)
+        until = len(self.text) - self.codec.longest + 1
+        return self._run(until) if until > self.at else []
 
     def finish(self) -> list[int]:
         """The rest of the ids; the search is then at its start again."""
@@ -264,81 +277,131 @@ class Viterbi:
         self._begin()
         return out
 
+    def _take(self, text: str) -> None:
+        self.text += text
+        more = len(text)
+        self.score += [0.0] * more
+        self.piece += [None] * more
+        self.start += [-1] * more
+        self.id += [-1] * more
+
     def _run(self, until: int) -> list[int]:
         out: list[int] = []
-        codec = self.codec
-        tree, merges, unknown, longest = codec.tree, codec.merges, codec.unknown, codec.longest
+        longest = self.codec.longest
+        extend = self._extend_merges if self.codec.merges else self._extend_scores
         i = self.at
         while i < until:
-            text, here = self.text, self.best[i]
-            if here is not None:
-                before = self.back[i][2]
-                node, j, n, single = tree, i, len(text), False
-                while j < n:
-                    node = node.get(text[j])
-                    if node is None:
-                        break
-                    j += 1
-                    found = node.get("")
-                    if found is not None:
-                        single |= j == i + 1
-                        if not merges:
-                            self._offer(j, here + found[0], (i, found[1], ""))
-                        elif (j >= len(self.best) or self.best[j] is None) and codec.stands(before, text[i:j]):
-                            self._offer(j, 0.0, (i, found[1], text[i:j]))
-                if not single and (not merges or codec.stands(before, text[i])):
-                    self._offer(i + 1, 0.0 if merges else here + unknown, (i, -1, text[i]))
-            i += 1
-            # Nothing reaches beyond this boundary, or it is time to see where paths meet.
+            # Up to where nothing reaches beyond, or where it is time to see where paths meet.
+            i = extend(i, min(until, i + longest))
             meet = 0
-            if len(self.best) - 1 == i:
+            if self.reach == i:
                 meet = i
-            elif i >= 2 * longest and i % longest == 0:
+            elif i >= 2 * longest:
                 meet = self._meeting(i)
+            self.most_held = max(self.most_held, len(self.piece))
             if meet:
                 out += self._commit(meet)
                 until -= meet
                 i -= meet
-            self.most_held = max(self.most_held, len(self.best))
         self.at = i
         return out
 
-    def _offer(self, j: int, score: float, step: tuple[int, int, str]) -> None:
-        best, back = self.best, self.back
-        while len(best) <= j:
-            best.append(None)
-            back.append((-1, -1, ""))
-        known = best[j]
-        if known is None or score > known:
-            best[j] = score
-            back[j] = step
+    def _extend_merges(self, i: int, to: int) -> int:
+        """Paths from the boundaries from ``i`` on to others without one, by pieces that merging leaves beside the last.
+
+        Stops at ``to`` or where all paths end at one boundary, and gives the place.
+        """
+        codec, text, known, start, ids, reach = self.codec, self.text, self.piece, self.start, self.id, self.reach
+        tree, allowed, scores, stands, longest = codec.tree, codec.allowed, codec.scores, codec.stands, codec.longest
+        while i < to:
+            before = known[i]
+            if before is not None:
+                node, j, after = tree, i, allowed.get(before, _NONE)
+                for c in text[i:i + longest]:
+                    step = node.get(c)
+                    if step is None:
+                        break
+                    found, node = step
+                    j += 1
+                    if found is not None and known[j] is None:
+                        piece = found[0]
+                        fits = after.get(piece)
+                        if fits or fits is None and stands(before, piece):
+                            known[j] = piece
+                            start[j] = i
+                            ids[j] = found[2]
+                            if j > reach:
+                                reach = j
+                if known[i + 1] is None and text[i] not in scores and stands(before, text[i]):
+                    known[i + 1] = text[i]
+                    start[i + 1] = i
+                    ids[i + 1] = -1
+                    reach = max(reach, i + 1)
+            i += 1
+            if reach == i:
+                break
+        self.reach = reach
+        return i
+
+    def _extend_scores(self, i: int, to: int) -> int:
+        """The same, by better scores than those known."""
+        codec, text = self.codec, self.text
+        while i < to:
+            if self.piece[i] is not None:
+                node, j, here = codec.tree, i, self.score[i]
+                steps = []
+                for c in text[i:i + codec.longest]:
+                    step = node.get(c)
+                    if step is None:
+                        break
+                    found, node = step
+                    j += 1
+                    if found is not None:
+                        steps.append((j, here + found[1], found[2]))
+                if text[i] not in codec.scores:
+                    steps.append((i + 1, here + codec.unknown, -1))
+                for j, score, piece_id in steps:
+                    if self.piece[j] is None or score > self.score[j]:
+                        self.piece[j], self.score[j], self.start[j], self.id[j] = text[i:j], score, i, piece_id
+                        self.reach = max(self.reach, j)
+            i += 1
+            if self.reach == i:
+                break
+        return i
 
     def _meeting(self, i: int) -> int:
         """The last boundary that all paths to boundaries from ``i`` on pass through."""
-        live = {j for j in range(i, len(self.best)) if self.best[j] is not None}
+        live = {j for j in range(i, self.reach + 1) if self.piece[j] is not None}
         while len(live) > 1:
             last = max(live)
             live.discard(last)
-            live.add(self.back[last][0])
+            live.add(self.start[last])
         return live.pop()
 
     def _commit(self, to: int) -> list[int]:
+        """Ids up to a boundary, which becomes the first."""
         ids: list[int] = []
         j = to
         while j > 0:
-            i, piece, _ = self.back[j]
-            if piece >= 0:
-                ids.append(piece)
+            i, piece_id = self.start[j], self.id[j]
+            if piece_id >= 0:
+                ids.append(piece_id)
             elif self.codec.byte_ids:
                 ids += [self.codec.byte_ids[b] for b in reversed(self.text[i:j].encode("utf-8", "surrogatepass"))]
             else:
                 ids.append(self.codec.unknown_id)
             j = i
         ids.reverse()
-        base = self.best[to]
-        self.text = self.text[to:]
-        self.best = [None if b is None else b - base for b in self.best[to:]]
-        self.back = [(-1, -1, self.back[to][2]), *((i - to, p, t) for i, p, t in self.back[to + 1:])]
+        if to < len(self.text):
+            self.text = self.text[to:]
+            base = self.score[to]
+            self.score = [x - base for x in self.score[to:]]
+            self.piece, self.id = self.piece[to:], self.id[to:]
+            self.start = [x - to for x in self.start[to:]]
+        else:
+            self.text = ""
+            self.score, self.piece, self.start, self.id = [0.0], [self.piece[to]], [-1], [-1]
+        self.reach -= to
         self.at = 0
         return ids
 
@@ -348,19 +411,26 @@ def codec(path: str) -> Codec:
     return worker_memo(f"sentencepiece {path}", lambda: Codec(path))
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, ids): each row's whole text, null as empty, and its packed ids.
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text",
+                     decode: bool = False) -> DataFrame:
+    """(doc_id, text, ids[, decoded]): each row's whole text, null as empty, and its packed ids.
 
-    Other columns are not read; repeated rows are encoded each. No shuffle.
+    ``decode`` adds the text that the ids give, in the same pass. Other columns are
+    not read; repeated rows are encoded each. No shuffle.
     """
+    names = ["doc_id", "text", "ids"] + ["decoded"] * decode
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(model).encode
+        here = codec(model)
         for batch in pieces(batches, 256):
-            ids = [encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
+            ids = [here.encode(t) for t in batch.column(1).to_pylist()]
+            columns = [*batch.columns, pa.array(ids, pa.binary())]
+            if decode:
+                columns.append(pa.array([here.decode(i) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(long_id(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")) \
-        .mapInArrow(run, "doc_id long, text string, ids binary")
+        .mapInArrow(run, "doc_id long, text string, ids binary" + ", decoded string" * decode)
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
