@@ -143,6 +143,33 @@ def test_assembly(spark, isn, block):
         assert [s for _, s in mine] == sorted(s for _, s in mine)
 
 
+@pytest.mark.parametrize("block", [None, 8])
+def test_partial_retransmissions(spark, block):
+    """Overlaps to either side and around; each byte comes from what delivered it first."""
+    rng = random.Random(5)
+    rows, want, seq = [], set(), 0
+    for flow in range(12):
+        cuts = [0, *sorted(rng.sample(range(1, 80), 9)), 80]
+        segs = list(zip(cuts, cuts[1:], strict=False))
+        if flow == 0:
+            segs = [(0, 30), (30, 60), (15, 45), (60, 80)]
+        else:
+            for _ in range(flow):
+                a = rng.randrange(79)
+                segs.insert(rng.randrange(len(segs)), (a, rng.randint(a + 1, 80)))
+            for _ in range(flow // 2):
+                i, j = rng.randrange(len(segs)), rng.randrange(len(segs))
+                segs[i], segs[j] = segs[j], segs[i]
+        numbered = [(seq + i, a, b) for i, (a, b) in enumerate(segs)]
+        seq += len(segs)
+        rows += [(flow, "CTS", n, 101 + a, 100, b - a) for n, a, b in numbered]
+        want |= {(flow, no, a, b) for no, a, b in deliver(numbered)}
+    df = spark.createDataFrame(rows, "flow_id long, direction string, pkt_seq long, seq long, isn long, len long")
+    got = assembly.assemble(df, assembly.BYTES_PER_BLOCK if block is None else 16, block).collect()
+    assert {(r.flow_id, r.pkt_seq, r.start_off, r.end_off) for r in got} == want
+    assert [(r.pkt_seq, r.delivered_at) for r in sorted(got, key=lambda r: r.start_off) if r.flow_id == 0] == [(0, 0), (1, 1), (3, 3)]
+
+
 def test_sequence_numbers_wrap_many_times(spark, monkeypatch):
     monkeypatch.setattr(assembly, "HALF", 1 << 7)
     monkeypatch.setattr(assembly, "FULL", 1 << 8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,22 +55,33 @@ def assemble(segments: DataFrame, bytes_per_block: int = BYTES_PER_BLOCK,
     """Which bytes of which segments make up each stream, in delivery order.
 
     ``segments`` has flow_id, direction, pkt_seq, seq, isn and len, no payload.
-    Copies are dropped, overlaps trimmed, and nothing past the first gap is
-    delivered. Rows give the accepted range ``[start_off, end_off)``, the bytes
-    to ``skip`` at the front of the segment, and ``chunk_no`` (0-based, dense
-    per flow, in the order of delivery).
+    Copies are dropped, bytes that were delivered before are trimmed, and nothing
+    past the first gap is delivered. Rows give the accepted range
+    ``[start_off, end_off)``, the bytes to ``skip`` at the front of the segment, and
+    ``chunk_no`` (0-based, dense per flow, in the order of delivery).
+
+    By offset, a segment gives way to those that begin before it. That is the order
+    of arrival, too, unless a segment overlaps one that begins later and came
+    earlier, as partial retransmissions do. Only streams with such segments are
+    walked in order of arrival.
     """
     data = segments.filter(F.col("len") > 0)
     longest = longest_stream(data)
     placed = stream_offsets(data, longest, rows_per_block).withColumn("hi", F.col("lo") + F.col("len"))
     distinct = cut(placed.groupBy(*STREAM, "lo", "hi").agg(F.min("pkt_seq").alias("pkt_seq")))
     block = None if longest < bytes_per_block else F.floor(F.col("lo") / bytes_per_block).cast("bigint")
-    covered = running(distinct, STREAM, ["lo", "pkt_seq"], block,
-                      [Running("_covered", "max", F.col("hi"), inclusive=False)])
+    covered = running(distinct, STREAM, ["lo", "pkt_seq"], block, [
+        Running("_covered", "max", F.col("hi"), inclusive=False),
+        Running("_late", "max", F.col("pkt_seq"), inclusive=False)])
+    late = cut(covered.filter((F.col("_covered") > F.col("lo")) & (F.col("_late") > F.col("pkt_seq")))
+               .select(*STREAM).distinct())
+    mixed = not late.isEmpty()
+    if mixed:
+        covered = covered.join(late, STREAM, "left_anti")
     edge = F.greatest(F.coalesce(F.col("_covered"), F.lit(0)), F.lit(0))
     fresh = covered.withColumns({
         "start_off": F.greatest(F.col("lo"), edge), "gap": (F.col("lo") > edge).cast("bigint"),
-    }).filter(F.col("hi") > F.col("start_off")).drop("_covered")
+    }).filter(F.col("hi") > F.col("start_off")).drop("_covered", "_late")
     if block is not None:
         fresh = cut(fresh)
     ready = running(fresh, STREAM, ["lo", "pkt_seq"], block, [
@@ -77,11 +89,51 @@ def assemble(segments: DataFrame, bytes_per_block: int = BYTES_PER_BLOCK,
     kept = ready.filter(F.col("_gaps") == 0).select(
         *STREAM, "pkt_seq", "start_off", F.col("hi").alias("end_off"),
         (F.col("start_off") - F.col("lo")).alias("skip"), "delivered_at")
+    if mixed:
+        kept = kept.unionByName(_by_arrival(distinct.join(late, STREAM, "left_semi")))
     ordered = numbered(kept, ["flow_id"], ["delivered_at", "start_off"],
                        block_of(F.col("delivered_at"), rows_per_block), "_no")
     return ordered.withColumn("chunk_no", F.col("_no") - 1).drop("_no")
 
 
+def _by_arrival(segments: DataFrame) -> DataFrame:
+    """Accepted ranges of streams walked in order of arrival.
+
+    What is kept of a stream is how far it was delivered, and the segments that
+    wait beyond a gap.
+    """
+    names = [*STREAM, "pkt_seq", "start_off", "end_off", "skip", "delivered_at"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, edge, waiting = None, 0, []
+        for batch in batches:
+            out = []
+            for flow, direction, seq, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (flow, direction) != now:
+                    now, edge, waiting = (flow, direction), 0, []
+                if low > edge:
+                    heapq.heappush(waiting, (low, seq, high))
+                    continue
+                came = seq
+                while True:
+                    if high > edge:
+                        out.append((flow, direction, came, edge, high, edge - low, seq))
+                        edge = high
+                    if not waiting or waiting[0][0] > edge:
+                        break
+                    low, came, high = heapq.heappop(waiting)
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.string()),
+                     *(pa.array(c, pa.int64()) for c in columns[2:])], names=names)
+
+    flow = segments.schema["flow_id"].dataType.simpleString()
+    schema = f"flow_id {flow}, direction string, " + ", ".join(f"{n} long" for n in names[2:])
+    rows = segments.select(*STREAM, *(F.col(c).cast("long").alias(c) for c in ("pkt_seq", "lo", "hi")))
+    return rows.repartition(*STREAM).sortWithinPartitions(*STREAM, "pkt_seq").mapInArrow(walk, schema)
+
+
 def with_payload(ranges: DataFrame, packets: DataFrame) -> DataFrame:
     """Chunks: the accepted bytes of each segment, fetched by packet."""
     bytes_ = packets.select("pkt_seq", F.col("payload").alias("_bytes"))

@@ -146,11 +146,18 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = copies.filter((F.col("doc_id") % LOST_EVERY != 0) | (F.col("i") != 3))
     isn = 4294967000 + F.col("doc_id") % 500
     payload = F.substring("payload", F.col("i") * SEGMENT + 1, F.lit(SEGMENT + OVERLAP))
-    return kept.select(
+    first = kept.select(
         "flow_id", "direction",
         (F.col("doc_id") * 65536 + (F.col("i") * 2 + F.col("copy")).bitwiseXOR(F.lit(2))).alias("pkt_seq"),
         ((isn + 1 + F.col("i") * SEGMENT) % 4294967296).alias("seq"), isn.alias("isn"),
         F.octet_length(payload).cast("bigint").alias("len"), payload.alias("payload"))
+    # Long after, bytes of two neighbours are sent again in one segment.
+    again = F.substring("payload", F.lit(SEGMENT // 2 + 1), F.lit(SEGMENT))
+    late = docs.filter((F.col("i") == 0) & (F.col("n") > 2 * SEGMENT)).select(
+        "flow_id", "direction", (F.col("doc_id") * 65536 + 65000).alias("pkt_seq"),
+        ((isn + 1 + SEGMENT // 2) % 4294967296).alias("seq"), isn.alias("isn"),
+        F.octet_length(again).cast("bigint").alias("len"), again.alias("payload"))
+    return first.unionByName(late)
 
 
 @query(f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE strlen(text) > 0),
