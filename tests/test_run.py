@@ -99,3 +99,25 @@ def test_no_handshake_no_streams(spark, without):
     packets = [p for i, p in enumerate(conversation()) if i != without and i < 10 and not (without == 2 and i > 2)]
     run = inspect(decoded(spark, packets), InspectSpec(rules=(Rule(1, pattern="needle"),)))
     assert run.matches.count() == 0
+
+
+def test_fragments_are_merged_before_flows(spark):
+    from wiresift.plans.run import packets_of
+
+    whole = udp((b"\x0a\0\0\x07", 53), (b"\x0a\0\0\x08", 9000), b"x" * 12 + b"a needle across both")
+
+    def piece(low, high, more):
+        body = whole[20 + low:20 + high]
+        return struct.pack("!BBHHHBBH4s4s", 0x45, 0, 20 + len(body), 7, more << 13 | low // 8, 64, 17, 0, *(
+            whole[12:16], whole[16:20])) + body
+
+    packets = [piece(24, len(whole), 0), piece(0, 24, 1), whole]
+    rows = [(i, T0, bytearray(p)) for i, p in enumerate(packets)]
+    merged = packets_of(spark.createDataFrame(rows, "pkt_seq long, ts timestamp, pkt binary"))
+    assert sorted((r.pkt_seq, bytes(r.payload)[12:], r.sport) for r in merged.collect()) == [
+        (0, b"a needle across both", 53), (2, b"a needle across both", 53)]
+    run = inspect(merged, InspectSpec(rules=(Rule(1, pattern="needle"),)))
+    assert [(r.flow_id, r.start_off) for r in run.matches.orderBy("match_no").collect()] == [(0, 14), (0, 14)]
+    lines = [r.line2 for r in run.report().orderBy("found_at").collect()]
+    assert len(lines) == 2 and lines[0].startswith("[MATCH] (00000001/00000001)") and "[14:20] (6B)" in lines[0]
+    assert [bytes(r.content) for r in run.payloads().collect()] == [b"needleneedle"]

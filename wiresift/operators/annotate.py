@@ -110,4 +110,5 @@ def shown_matches(matches: DataFrame, spec: InspectSpec, order: Sequence[str]) -
 
     tcp = limit_report(matches.filter(F.col("proto") == "TCP"), spec.max_disp_streams, tuple(order))
     udp = limit_report(matches.filter(F.col("proto") == "UDP"), spec.max_disp_datagrams, tuple(order))
-    return tcp.unionByName(udp).withColumn("data", clip(F.col("data"), spec.max_disp_bytes))
+    shown = tcp.unionByName(udp)
+    return shown.withColumn("data", clip(F.col("data"), spec.max_disp_bytes)) if "data" in shown.columns else shown

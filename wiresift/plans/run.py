@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wiresift.functions import text
 from wiresift.functions.headers import TCP, UDP, decode_packets
 from wiresift.operators import annotate, assembly, extract, flows, scope, summary
 from wiresift.operators.datagrams import inspect_datagrams
 from wiresift.operators.scan import Running, block_of, block_rows, running
 from wiresift.operators.streams import inspect_streams, line_mode
 from wiresift.session import cut
+from wiresift.sources import sinks
 from wiresift.spec import InspectSpec, normalise
 
 FLOW = ["flow_id"]
 STREAM = ["flow_id", "direction"]
-MATCHES = ["proto", "flow_id", "direction", "match_no", "rule_id", "mode", "start_off", "end_off", "size",
+MATCHES = ["proto", "flow_id", "direction", "chunk_no", "match_no", "rule_id", "mode", "start_off", "end_off", "size",
            "detail", "found_at", "match_pkt"]
 
 
@@ -26,7 +28,8 @@ class Inspection:
     """Results of one run, all lazy.
 
     ``packets`` holds the numbered packets of all flows, headers only;
-    ``chunks`` the delivered TCP stream pieces.
+    ``chunks`` the delivered TCP stream pieces, and ``datagrams`` the inspected
+    UDP payloads. ``rows`` is the block size of packet numbers.
     """
 
     spec: InspectSpec
@@ -34,6 +37,8 @@ class Inspection:
     chunks: DataFrame
     flow_table: DataFrame
     matches: DataFrame
+    datagrams: DataFrame
+    rows: int | None
 
     def summary(self) -> DataFrame:
         """Inspected datagrams and completed handshakes, matched ones, shortest and longest."""
@@ -55,6 +60,77 @@ class Inspection:
         tcp = self.matches.filter(F.col("proto") == "TCP")
         return annotate.match_pieces(tcp, self.chunks, STREAM, [*STREAM, "match_no"])
 
+    def report(self) -> DataFrame:
+        """The two report lines of each match: (proto, flow_id, direction, match_no, found_at, line1, line2).
+
+        Counters run over what was inspected, chunk by chunk and datagram by
+        datagram; the chunks of a stream count up to its first match, unless all are
+        sought. Display limits hold back later matches.
+        """
+        flow = self.flow_table.select(
+            "proto", F.col("open_seq").alias("flow_id"), "flow_no", "proto_no", "client", "cport", "server", "sport")
+        order = ["found_at", "start_off"]
+        block = block_of(F.col("found_at"), self.rows)
+        tcp = self.with_packet_span().withColumnRenamed("start_off", "match_start")
+        chunks = self.chunks.select(*STREAM, "chunk_no", "start_off", F.col("delivered_at").alias("found_at"))
+        if not (self.spec.multi_match or self.spec.linemode):
+            until = tcp.select("flow_id", F.col("chunk_no").alias("_until"))
+            chunks = chunks.join(until, "flow_id", "left").where("_until IS NULL OR chunk_no <= _until").drop("_until")
+        seen = chunks.join(tcp.drop("found_at", "direction"), ["flow_id", "chunk_no"], "left")
+        seen = annotate.match_counters(seen, order, block, F.col("match_no").isNotNull())
+        udp = self.matches.filter(F.col("proto") == "UDP").withColumnRenamed("start_off", "match_start")
+        grams = self.datagrams.select(F.col("pkt_seq").alias("found_at"), *STREAM, F.lit(0).alias("start_off"))
+        grams = grams.join(udp.drop("flow_id", "direction"), "found_at", "left")
+        grams = annotate.match_counters(grams, order, block, F.col("match_no").isNotNull())
+        columns = ["proto", *STREAM, "match_no", "found_at", "rule_id", "mode", "detail", "match_start", "end_off",
+                   "size", "inspected", "matched_so_far"]
+        none = F.lit(None).cast("bigint")
+        both = seen.filter(F.col("proto").isNotNull()).select(*columns, "first_pkt", "last_pkt").unionByName(
+            grams.filter(F.col("proto").isNotNull()).select(*columns, none.alias("first_pkt"), none.alias("last_pkt")))
+        if self.spec.rules:
+            both = annotate.with_rule_meta(both, self.spec.rules)
+        else:
+            both = both.withColumns({c: F.lit("") for c in ("pattern", "rule_name", "source_file")})
+        shown = annotate.shown_matches(both, self.spec, ["found_at"]).join(flow, ["proto", "flow_id"])
+        what = text.describe(F.col("mode"), F.col("pattern"), F.col("detail"), F.col("match_start"), F.col("rule_name"),
+                             F.col("source_file"), self.spec.invert)
+
+        def lines(first: Column | None, last: Column | None) -> Column:
+            reply = (F.col("proto") == "UDP") & (F.col("direction") == "STC")
+            ends = [F.when(reply, b).otherwise(a) for a, b in (
+                (F.col("client"), F.col("server")), (F.col("cport"), F.col("sport")),
+                (F.col("server"), F.col("client")), (F.col("sport"), F.col("cport")))]
+            return text.meta_lines(
+                F.col("inspected"), F.col("matched_so_far"), F.col("flow_no"), F.col("proto"), F.col("proto_no"), ends[0],
+                ends[1], F.col("direction"), ends[2], ends[3], what, F.col("match_start"), F.col("end_off"), F.col("size"),
+                first, last)
+
+        made = F.when(F.col("first_pkt").isNull(), lines(None, None)).otherwise(lines(F.col("first_pkt"), F.col("last_pkt")))
+        return shown.withColumn("_lines", made).select(
+            "proto", *STREAM, "match_no", "found_at", F.get("_lines", F.lit(0)).alias("line1"),
+            F.get("_lines", F.lit(1)).alias("line2"))
+
+    def payloads(self) -> DataFrame:
+        """Matched bytes per flow direction, in parts: (proto, flow_id, direction, part_no, content)."""
+        tcp = self.matched_bytes().withColumn("proto", F.lit("TCP"))
+        grams = self.datagrams.select(F.col("pkt_seq").alias("found_at"), "payload")
+        udp = self.matches.filter(F.col("proto") == "UDP").join(grams, "found_at").select(
+            *STREAM, "match_no", F.lit(0).cast("bigint").alias("piece_off"),
+            F.substring("payload", (F.col("start_off") + 1).cast("int"), F.col("size").cast("int")).alias("data"),
+            F.lit("UDP").alias("proto"))
+        return sinks.payload_log(tcp.unionByName(udp), ["proto", *STREAM], ["match_no", "piece_off"],
+                                 block_of(F.col("match_no"), self.rows))
+
+    def captures(self, raw: DataFrame) -> DataFrame:
+        """Capture files of the extracted packets of ``raw`` (pkt_seq, ts, pkt): (file_name, part_no, content)."""
+        flow = self.flow_table.select(
+            "proto", F.col("open_seq").alias("flow_id"), text.file_name(
+                F.col("proto"), F.col("proto_no"), F.col("client"), F.col("cport"), F.col("server"),
+                F.col("sport")).alias("file_name"))
+        kept = self.extracted().select("proto", *FLOW, "pkt_seq").join(flow, ["proto", *FLOW])
+        images = kept.join(raw.select("pkt_seq", "ts", "pkt"), "pkt_seq")
+        return sinks.flow_captures(images.select("file_name", "pkt_seq", "ts", "pkt"), block_of(F.col("pkt_seq"), self.rows))
+
     def extracted(self) -> DataFrame:
         """Packets of matched flows, whole or up to the quota after a match."""
         post = self.spec.post_packets
@@ -98,7 +174,8 @@ def inspect(packets: DataFrame, spec: InspectSpec, idle_seconds: float | None =
         F.col("open_seq").alias("flow_id"), "direction", "pkt_seq", "seq", isn.alias("isn"),
         F.col("len").cast("bigint").alias("len")).filter(F.col("isn").isNotNull())
     ranges = cut(assembly.assemble(scope.needed_directions(segments, spec), rows_per_block=rows))
-    chunks = assembly.with_payload(ranges, bytes_)
+    # Read several times: searched, annotated and logged.
+    chunks = cut(assembly.with_payload(ranges, bytes_))
 
     numbers = index.select("pkt_seq", "pkt_no").unionByName(pairs.select("pkt_seq", "pkt_no"))
     datagrams = pairs.withColumn("flow_id", F.col("open_seq"))
@@ -119,7 +196,7 @@ def inspect(packets: DataFrame, spec: InspectSpec, idle_seconds: float | None =
               "dst", "dport"]
     both = index.select(F.lit("TCP").alias("proto"), *common).unionByName(
         pairs.select(F.lit("UDP").alias("proto"), *common))
-    return Inspection(spec, both, chunks, table, matches.select(*MATCHES))
+    return Inspection(spec, both, chunks, table, matches.select(*MATCHES), datagrams, rows)
 
 
 def packets_of(raw: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wiresift.functions import headers as H
 from wiresift.operators.streams import line_mode
 from wiresift.plans.registry import first_of_prefix, query
-from wiresift.plans.run import inspect
+from wiresift.plans.run import inspect, packets_of
 from wiresift.session import cut
 from wiresift.sources import tables as T
 from wiresift.spec import InspectSpec, Rule
@@ -64,3 +64,59 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = inspect(packets, InspectSpec(rules=(Rule(1, pattern=LITERAL),)))
     return run.summary().select("proto", "processed", "matched", "shortest", "longest",
                                 F.floor(F.col("longest_id") / 65536).alias("latest_id"))
+
+
+def literal_run(spark: SparkSession, sf_dir: str, **opts):
+    raw = cut(conversation_packets(spark, sf_dir))
+    return raw, inspect(cut(packets_of(raw)), InspectSpec(rules=(Rule(1, pattern=LITERAL),), **opts))
+
+
+# Deliveries in the order of arrival: a turn's segments one by one, up to the flow's match.
+SEGMENTS = f"""sg AS (SELECT flow_id, direction, chunk_no, i, {SEGMENT} * i AS at, least({SEGMENT}, len - {SEGMENT} * i) AS size,
+    before + {SEGMENT} * i AS start_off
+  FROM (SELECT *, unnest(range(0, (len - 1) // {SEGMENT} + 1)) AS i FROM (
+    SELECT *, sum(len) OVER (PARTITION BY flow_id, direction ORDER BY chunk_no) - len AS before FROM ch WHERE len > 0)))"""
+
+
+@query(f"""WITH {first_of_prefix(LITERAL)}, {SEGMENTS},
+pk AS (SELECT *, 3 + row_number() OVER (PARTITION BY flow_id ORDER BY chunk_no, i) AS pkt_no FROM sg),
+h AS (SELECT f.flow_id, f.direction, f.start_off, f.end_off, f.size, p.pkt_no AS last_pkt, p.chunk_no, p.i,
+    (SELECT q.pkt_no FROM pk q WHERE q.flow_id = f.flow_id AND q.direction = f.direction
+      AND q.start_off <= f.start_off AND f.start_off < q.start_off + q.size) AS first_pkt
+  FROM fm f JOIN pk p ON p.flow_id = f.flow_id AND p.direction = f.direction
+    AND p.start_off < f.end_off AND f.end_off <= p.start_off + p.size),
+c AS (SELECT p.*, h.last_pkt IS NOT NULL AND h.last_pkt = p.pkt_no AS hit FROM pk p LEFT JOIN h USING (flow_id)
+  WHERE h.last_pkt IS NULL OR p.pkt_no <= h.last_pkt),
+k AS (SELECT *, row_number() OVER w AS inspected, sum(hit::INT) OVER w AS matched FROM c
+  WINDOW w AS (ORDER BY flow_id, pkt_no)),
+ids AS (SELECT flow_id, row_number() OVER (ORDER BY flow_id) AS no FROM (SELECT DISTINCT flow_id FROM pk)),
+o AS (SELECT h.*, k.inspected, k.matched, ids.no, format('[MATCH] ({{:08d}}/{{:08d}}) [IP#{{:d}}.TCP#{{:d}}] ', k.inspected,
+    CAST(k.matched AS BIGINT), no, no) AS head FROM h JOIN ids USING (flow_id) JOIN k ON k.flow_id = h.flow_id AND k.hit)
+SELECT flow_id, head || '10.' || ((flow_id // 65536) % 256) || '.' || ((flow_id // 256) % 256) || '.' || (flow_id % 256) || ':20000 '
+    || CASE direction WHEN 'CTS' THEN '->' ELSE '<-' END || ' 192.168.0.1:80 matches regex: ''{LITERAL}''' AS line1,
+  head || 'match @ ' || direction || '[' || start_off || ':' || end_off || '] (' || size || 'B | packet[' || first_pkt
+    || '] - packet[' || last_pkt || '])' AS line2 FROM o""")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a whole run over TCP, with the packets that hold each match."""
+    _, run = literal_run(spark, sf_dir)
+    return run.report().select(F.floor(F.col("flow_id") / 65536).alias("flow_id"), "line1", "line2")
+
+
+@query(f"""WITH {first_of_prefix(LITERAL)} SELECT 'TCP' AS proto, flow_id, direction, 0 AS part_no, hit AS content FROM fm""")
+def run_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matched bytes of a whole run."""
+    _, run = literal_run(spark, sf_dir)
+    return run.payloads().select("proto", F.floor(F.col("flow_id") / 65536).alias("flow_id"), "direction", "part_no",
+                                 F.decode("content", "UTF-8").alias("content"))
+
+
+@query(f"""WITH {first_of_prefix(LITERAL)},
+n AS (SELECT flow_id, 3 + sum((len - 1) // {SEGMENT} + 1) AS packets, sum(len) AS bytes, row_number() OVER (ORDER BY flow_id) AS no
+  FROM ch WHERE len > 0 GROUP BY 1)
+SELECT format('TCP-{{:08d}}-10.{{}}.{{}}.{{}}.20000-192.168.0.1.80', no, (flow_id // 65536) % 256, (flow_id // 256) % 256, flow_id % 256)
+    AS file_name, 0 AS part_no, CAST(24 + 70 * packets + bytes AS BIGINT) AS size
+FROM n WHERE flow_id IN (SELECT flow_id FROM fm)""")
+def run_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture files of the flows that match in a whole run."""
+    raw, run = literal_run(spark, sf_dir, extract=True)
+    return run.captures(raw).select("file_name", "part_no", F.octet_length("content").cast("bigint").alias("size"))
