@@ -46,6 +46,8 @@ PROBES = 5
 BITS_PER_EVENT = 10
 #: The filter's size, at most. All events go in at any size; beyond this, errors grow.
 MAX_BITS = 1 << 31
+#: Bytes of the filter that the driver fetches at a time.
+FETCH = 16 << 20
 _WORD, _REST, _STORED = (np.uint64(x) for x in (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C, 0x5A5A5A5AC3C3C3C3))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -395,7 +397,9 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, int]:
     n_events = events.agg(F.coalesce(F.sum("events"), F.lit(0))).first()[0]
     region_bits = max(512, min(MAX_BITS, BITS_PER_EVENT * n_events) // segments // 64 * 64)
     bits = np.zeros(segments * region_bits // 8, np.uint8)
-    for row in _build(events, segments, region_bits).toLocalIterator():  # MAX_BITS in all, at most
+    # Built in parallel, then fetched a few megabytes at a time: MAX_BITS in all, at most.
+    built = cut(_build(events, segments, region_bits))
+    for row in built.coalesce(1 + len(bits) // FETCH).toLocalIterator():
         at = row.seg * (region_bits // 8)
         bits[at:at + region_bits // 8] = np.frombuffer(row.bits, np.uint8)
     return Model(Filter(bits, region_bits, segments), tokens, types, frequent, counts), words, lowest
