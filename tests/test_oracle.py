@@ -20,7 +20,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     rows = df.collect()
