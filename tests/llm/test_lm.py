@@ -111,3 +111,21 @@ def test_query(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     seen = [r for r in rows if not r.held_out]
     assert sum(r.score for r in seen) > 0.95 * sum(r.base_score for r in seen)
+
+
+def test_large_filters_stay_in_regions(spark, monkeypatch):
+    """The bits per event do not depend on the size, nor do the scores on where the filter lies."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(awkward(spark).select("doc_id", "text"))
+    monkeypatch.setattr(lm, "_SCORE_TOKENS", 5000)
+
+    def found():
+        return sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6)), r.score)
+                      for r in lm.score(rows).collect())
+
+    small = found()
+    monkeypatch.setattr(lm, "BROADCAST_BITS", 1000)
+    monkeypatch.setattr(lm, "MAX_BITS", 1000, raising=False)
+    large = found()
+    assert [a for a, _ in small] == [a for a, _ in large]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for (_, a), (_, b) in zip(small, large, strict=True))
+    assert not lm.learn(rows).fits

@@ -19,8 +19,8 @@ Words are known by 64-bit hashes of their bytes. Among n distinct words some n**
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,9 @@ SEGMENT = 4_000_000
 BASE = 1.5
 PROBES = 5
 BITS_PER_EVENT = 10
-#: The filter's size, at most. All events go in at any size; beyond this, errors grow.
-MAX_BITS = 1 << 31
+#: The size up to which every worker holds the filter. A larger one stays in its
+#: regions, and the n-grams to look up are shuffled to them.
+BROADCAST_BITS = 1 << 28
 #: Bytes of the filter that the driver fetches at a time.
 FETCH = 16 << 20
 _WORD, _REST, _STORED = (np.uint64(x) for x in (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C, 0x5A5A5A5AC3C3C3C3))
@@ -345,40 +346,75 @@ def _build(events: DataFrame, regions: int, region_bits: int) -> DataFrame:
 
 @dataclass
 class Model:
-    """What workers need to score: the filter, totals, and exact counts of the frequent words."""
+    """What workers need to score: totals, exact counts of the frequent words, and the filter if it is small."""
 
-    filter: Filter
+    filter: Filter | None
     tokens: int
     types: int
     frequent: np.ndarray
     counts: np.ndarray
 
-    def word_probability(self, words: np.ndarray) -> np.ndarray:
-        count = typical(self.filter.level(mixed(words ^ _WORD)))
-        return (count + 1) / (self.tokens + self.types + 1)
+    def log10(self, tokens: np.ndarray, firsts: np.ndarray, level: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """log10 P of each token after the one before; ``firsts`` are the places where documents begin.
 
-    def log10(self, tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before; ``firsts`` are the places where documents begin."""
-        before = np.append(START, tokens[:-1])
-        before[firsts] = START
-        word, at = np.unique(tokens, return_inverse=True)
-        single = self.word_probability(word)[at]
-        context, of = np.unique(before, return_inverse=True)
-        stored = typical(self.filter.level(mixed(context ^ _STORED)))
-        rest = np.ones(len(context))
-        some = stored > 0
-        rest[some] = np.maximum(typical(self.filter.level(mixed(context[some] ^ _REST))), 1)
+        ``level`` gives the levels of sorted distinct keys; by default the filter does.
+        """
+        level = level or self.filter.level
+        (word, at), (context, of), (pair, back) = _ngrams(tokens, firsts)
+        single = ((typical(level(mixed(word ^ _WORD))) + 1) / (self.tokens + self.types + 1))[at]
+        stored = typical(level(mixed(context ^ _STORED)))
+        rest = np.where(stored > 0, np.maximum(typical(level(mixed(context ^ _REST))), 1), 1)
         stored, rest = stored[of], rest[of]
-        pairs = np.zeros(len(tokens))
-        some = np.flatnonzero(stored > 0)
-        key, back = np.unique(pair_keys(before[some], tokens[some]), return_inverse=True)
-        pairs[some] = typical(self.filter.level(key))[back]
+        pairs = typical(level(pair))[back]
         return np.log10((np.minimum(pairs, stored) + rest * single) / (stored + rest))
 
 
+def _ngrams(tokens: np.ndarray, firsts: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """The distinct words, contexts and pair keys, each with the place of every token's own among them."""
+    before = np.append(START, tokens[:-1])
+    before[firsts] = START
+    return tuple(np.unique(x, return_inverse=True) for x in (tokens, before, pair_keys(before, tokens)))
+
+
+def _wanted(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The distinct keys that ``Model.log10`` looks up, sorted, and so in the order of their regions."""
+    (word, _), (context, _), (pair, _) = _ngrams(tokens, firsts)
+    return np.unique(np.concatenate([mixed(word ^ _WORD), mixed(context ^ _STORED), mixed(context ^ _REST), pair]))
+
+
+@dataclass
+class Trained:
+    """A model without its filter, the filter's regions as rows, and the stored word counts."""
+
+    model: Model
+    regions: int
+    region_bits: int
+    built: DataFrame
+    words: DataFrame
+    #: The count from which on words are among the frequent ones.
+    lowest: int
+
+    @property
+    def fits(self) -> bool:
+        return self.regions * self.region_bits <= BROADCAST_BITS
+
+    def fetched(self) -> Model:
+        """The model with its filter, fetched a few megabytes at a time."""
+        bits = np.zeros(self.regions * self.region_bits // 8, np.uint8)
+        for row in self.built.coalesce(1 + len(bits) // FETCH).toLocalIterator():
+            at = row.seg * (self.region_bits // 8)
+            bits[at:at + self.region_bits // 8] = np.frombuffer(row.bits, np.uint8)
+        return replace(self.model, filter=Filter(bits, self.region_bits, self.regions))
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame, int]:
-    """A model of the training documents of ``docs`` (doc_id, text), the stored word
-    counts, and the count from which on words are in ``frequent``."""
+    """A model of the training documents of ``docs`` (doc_id, text) with its filter, the
+    stored word counts, and the count from which on words are in ``frequent``."""
+    found = learn(docs)
+    return found.fetched(), found.words, found.lowest
+
+
+def learn(docs: DataFrame) -> Trained:
     spark = docs.sparkSession
     words = cut(count_words(docs))
     tokens, types = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
@@ -395,14 +431,9 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, int]:
     counted = cut(count_pairs(docs, hot, segments))
     events = cut(_events(words, counted, segments))
     n_events = events.agg(F.coalesce(F.sum("events"), F.lit(0))).first()[0]
-    region_bits = max(512, min(MAX_BITS, BITS_PER_EVENT * n_events) // segments // 64 * 64)
-    bits = np.zeros(segments * region_bits // 8, np.uint8)
-    # Built in parallel, then fetched a few megabytes at a time: MAX_BITS in all, at most.
+    region_bits = max(512, BITS_PER_EVENT * n_events // segments // 64 * 64)
     built = cut(_build(events, segments, region_bits))
-    for row in built.coalesce(1 + len(bits) // FETCH).toLocalIterator():
-        at = row.seg * (region_bits // 8)
-        bits[at:at + region_bits // 8] = np.frombuffer(row.bits, np.uint8)
-    return Model(Filter(bits, region_bits, segments), tokens, types, frequent, counts), words, lowest
+    return Trained(Model(None, tokens, types, frequent, counts), segments, region_bits, built, words, lowest)
 
 
 # Scoring.
@@ -410,6 +441,11 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, int]:
 SCORED = ("row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
           "rare array<long>, rare_n array<long>")
 _SCORE_TOKENS = 200_000
+#: Rows of three kinds: scored documents without a score, chunks of their tokens, and keys to look up.
+_LOOKUP = f"kind int, seg int, chunk long, a binary, b binary, {SCORED}"
+_LOOKUP_NAMES = [f.split()[0] for f in _LOOKUP.split(", ")]
+_LOOKUP_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+_DOCUMENT, _CHUNK, _KEYS, _LEVELS = range(4)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -423,9 +459,12 @@ def score(docs: DataFrame) -> DataFrame:
     0 give them.
     """
     named = docs.select(long_id("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model, words, lowest = train(named)
+    trained = learn(named)
+    fits = trained.fits
+    model, words, lowest = trained.fetched() if fits else trained.model, trained.words, trained.lowest
+    regions = trained.regions
     # Plain arrays and numbers: workers need not have this package to load them.
-    shared = docs.sparkSession.sparkContext.broadcast({**vars(model), "filter": vars(model.filter)})
+    shared = docs.sparkSession.sparkContext.broadcast({**vars(model), "filter": fits and vars(model.filter)})
     total = model.tokens + model.types + 1
     types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(),
              pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -435,7 +474,7 @@ def score(docs: DataFrame) -> DataFrame:
         tokens = np.concatenate([t for _, _, t in held])
         sizes = np.array([len(t) for _, _, t in held])
         firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        scores = np.add.reduceat(here.log10(tokens, firsts), firsts)
+        scores = np.add.reduceat(here.log10(tokens, firsts), firsts) if fits else np.zeros(len(held))
         if len(here.frequent):
             at = np.minimum(np.searchsorted(here.frequent, tokens), len(here.frequent) - 1)
             known = here.frequent[at] == tokens
@@ -448,8 +487,25 @@ def score(docs: DataFrame) -> DataFrame:
             yield (row_id, doc, held_out(doc), len(mine), int(n_known[i]), float(base[i]), float(scores[i]),
                    rare.view(np.int64), n)
 
+    def lookups(held: list[tuple]) -> Iterator[tuple]:
+        tokens, sizes = np.concatenate([t for _, _, t in held]), np.array([len(t) for _, _, t in held])
+        chunk = held[0][0]
+        word, at = np.unique(tokens, return_inverse=True)
+        yield (_CHUNK, 0, chunk, word.tobytes(), np.concatenate(([len(sizes)], sizes, at)).astype(np.uint32).tobytes())
+        keys = _wanted(tokens, np.concatenate(([0], np.cumsum(sizes)[:-1])))
+        for seg, mine in _split(region_of(keys, regions), keys):
+            yield (_KEYS, seg, chunk, mine.tobytes(), b"")
+
+    def batch_of(here: Model, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if fits:
+            yield _table(rows(here, held), names, types)
+            return
+        yield _table(((_DOCUMENT, *(None,) * 4, *r) for r in rows(here, held)), _LOOKUP_NAMES, _LOOKUP_TYPES + types)
+        yield _table((r + (None,) * len(names) for r in lookups(held)), _LOOKUP_NAMES, _LOOKUP_TYPES + types)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = Model(**{**shared.value, "filter": Filter(**shared.value["filter"])})
+        value = shared.value
+        here = Model(**{**value, "filter": Filter(**value["filter"]) if value["filter"] else None})
         next_id = TaskContext.get().partitionId() << 33
         held, size = [], 0
         for batch in pieces(batches):
@@ -458,12 +514,16 @@ def score(docs: DataFrame) -> DataFrame:
                 next_id += 1
                 size += len(held[-1][2])
                 if size >= _SCORE_TOKENS:
-                    yield _table(rows(here, held), names, types)
+                    yield from batch_of(here, held)
                     held, size = [], 0
         if held:
-            yield _table(rows(here, held), names, types)
+            yield from batch_of(here, held)
 
-    scored = cut(named.mapInArrow(run, SCORED))
+    scored = cut(named.mapInArrow(run, SCORED if fits else _LOOKUP))
+    if not fits:
+        found = _looked_up(scored.where(F.col("kind") != _DOCUMENT), trained)
+        scored = scored.where(F.col("kind") == _DOCUMENT).select(*(n for n in names if n != "score")) \
+            .join(found, "row_id")
     rare = (
         scored.select("row_id", F.explode(F.arrays_zip("rare", "rare_n")).alias("r"))
         .select("row_id", F.col("r.rare").alias("token"), F.col("r.rare_n").alias("n"))
@@ -478,6 +538,66 @@ def score(docs: DataFrame) -> DataFrame:
         .alias("base_score"), "score")
 
 
+def _looked_up(wanted: DataFrame, trained: Trained) -> DataFrame:
+    """(row_id, score) of the documents in the chunks of ``wanted``: each key is looked up in its region."""
+    schema, names = "kind int, seg int, chunk long, a binary, b binary", _LOOKUP_NAMES[:5]
+    bare, region_bits, regions = vars(trained.model), trained.region_bits, trained.regions
+    bare = {**bare, "frequent": np.empty(0, np.uint64), "counts": np.empty(0, np.int64)}
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sorted by region, its bits (kind -1) first.
+        now, here = None, None
+        for batch in batches:
+            out = []
+            for kind, seg, chunk, a in zip(*(batch.column(c).to_pylist() for c in names[:4]), strict=True):
+                if kind == -1:
+                    now, here = seg, Filter(np.frombuffer(a, np.uint8), region_bits, 1)
+                    continue
+                keys = np.frombuffer(a, np.uint64)
+                level = here.level(keys) if now == seg else np.zeros(len(keys), np.int64)
+                out.append((_LEVELS, seg, chunk, level.astype(np.uint8).tobytes(), b""))
+            if out:
+                yield _table(iter(out), names, _LOOKUP_TYPES)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sorted by chunk, kind and region: the tokens, then the levels in the order of the sorted keys.
+        here, now, tokens, sizes, levels_of = Model(**bare), None, None, None, []
+
+        def done() -> pa.RecordBatch:
+            firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            keys, level = _wanted(tokens, firsts), np.frombuffer(b"".join(levels_of), np.uint8).astype(np.int64)
+            scores = np.add.reduceat(
+                here.log10(tokens, firsts, lambda some: level[np.searchsorted(keys, some)]), firsts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(now + np.arange(len(sizes))), pa.array(scores)], names=["row_id", "score"])
+
+        for batch in batches:
+            for kind, chunk, a, b in zip(*(batch.column(c).to_pylist() for c in ("kind", "chunk", "a", "b")), strict=True):
+                if kind == _CHUNK:
+                    if now is not None:
+                        yield done()
+                    word, rest = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32).astype(np.int64)
+                    n = 1 + rest[0]
+                    now, sizes, tokens, levels_of = chunk, rest[1:n], word[rest[n:]], []
+                else:
+                    levels_of.append(a)
+        if now is not None:
+            yield done()
+
+    bits = trained.built.select(
+        F.lit(-1).alias("kind"), "seg", F.lit(0).cast("long").alias("chunk"), F.col("bits").alias("a"), F.lit(b"").alias("b"))
+    keys = wanted.where(F.col("kind") == _KEYS).select(*names)
+    found = (
+        keys.union(bits).repartition(regions, "seg").sortWithinPartitions("seg", "kind")
+        .mapInArrow(probe, schema)
+    )
+    return (
+        wanted.where(F.col("kind") == _CHUNK).select(*names).union(found)
+        .repartition(regions, "chunk").sortWithinPartitions("chunk", "kind", "seg")
+        .mapInArrow(finish, "row_id long, score double")
+    )
+
+
 def _table(rows: Iterator[tuple], names: list[str], types: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
