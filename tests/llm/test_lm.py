@@ -129,3 +129,17 @@ def test_large_filters_stay_in_regions(spark, monkeypatch):
     assert [a for a, _ in small] == [a for a, _ in large]
     assert all(math.isclose(a, b, rel_tol=1e-9) for (_, a), (_, b) in zip(small, large, strict=True))
     assert not lm.learn(rows).fits
+
+
+def test_pairs_seen_once_count(spark):
+    """All pairs below occur once: each is likelier than the same word after another context."""
+    table = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(60) if not out(i)]
+    model, _, _ = lm.train(docs(spark, table).select("doc_id", "text"))
+    _, text = table[0]
+    word = lm.word_hashes(text.encode())
+    seen = model.log10(word, np.array([0]))[1:]
+    unseen = model.log10(np.stack([word[2:], word[:-2]], axis=1).ravel(), np.array([0]))[1::2]
+    assert seen.min() > math.log10((1 - lm.DISCOUNT) / 2) and np.median(unseen) < seen.min() - 1
+    held = next(i for i in range(100) if out(i))
+    rows = lm.score(docs(spark, [*table, (held, text)])).collect()
+    assert all(r.score > 0.6 * r.base_score for r in rows)

@@ -4,13 +4,13 @@ Counts of words and of word pairs are quantised to levels of a logarithmic scale
 An n-gram of level q puts the q events (n-gram, 1) to (n-gram, q) into a Bloom
 filter. A worker reads a count back by probing for the events in turn until one is
 missing. Probabilities interpolate pairs with single words by absolute discounting,
-with one taken off each pair's count and Witten and Bell's extra mass for novelty:
+with D taken off each pair's count and Witten and Bell's extra mass for novelty:
 
-    P(w | v) = (max(c(v, w) - 1, 0) + R(v) P(w)) / (S(v) + R(v)),
-    S(v) = sum of max(c(v, .) - 1, 0),  R(v) = c(v) + successors of v - S(v),
+    P(w | v) = (max(c(v, w) - D, 0) + R(v) P(w)) / (S(v) + R(v)),
+    S(v) = c(v) - D T(v),  R(v) = (1 + D) T(v),  T(v) = successors of v,
     P(w) = (c(w) + 1) / (N + V + 1).
 
-A pair seen once thus counts only in R, and need not be held.
+All pairs are held, those seen once too, and of all contexts T(v) and c(v) - T(v).
 
 Words are known by 64-bit hashes of their bytes. Among n distinct words some n**2 /
 2**65 pairs share a hash: none is to be expected below a billion.
@@ -42,14 +42,16 @@ FREQUENT = 1 << 20
 #: Tokens a counting segment is for, about.
 SEGMENT = 4_000_000
 BASE = 1.5
+#: What is taken off each pair's count.
+DISCOUNT = 0.75
 PROBES = 5
 BITS_PER_EVENT = 10
 #: The size up to which every worker holds the filter. A larger one stays in its
 #: regions, and the n-grams to look up are shuffled to them.
-BROADCAST_BITS = 1 << 28
+BROADCAST_BITS = 1 << 31
 #: Bytes of the filter that the driver fetches at a time.
 FETCH = 16 << 20
-_WORD, _REST, _STORED = (np.uint64(x) for x in (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C, 0x5A5A5A5AC3C3C3C3))
+_WORD, _SUCCESSORS, _AGAIN = (np.uint64(x) for x in (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C, 0x5A5A5A5AC3C3C3C3))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -218,13 +220,12 @@ def count_pairs(docs: DataFrame, hot: np.ndarray, segments: int) -> DataFrame:
         keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
         n = np.bincount(back, n).astype(np.int64)
         context, back = np.unique(before[at], return_inverse=True)
-        stored = np.bincount(back, n - 1)
-        rest = np.bincount(back, n) + np.bincount(back) - stored
+        again = np.bincount(back, n - 1).astype(np.int64)
+        successors = np.bincount(back)
         crowded = _among(context, hot)
-        rows = [(seg, _PAIRS, keys[n > 1].tobytes(), (n[n > 1] - 1).tobytes(), b"")]
-        for kind, some in ((_CONTEXTS, ~crowded & (stored > 0)), (_HOT, crowded)):
-            rows.append((seg, kind, context[some].tobytes(), rest[some].astype(np.int64).tobytes(),
-                         stored[some].astype(np.int64).tobytes()))
+        rows = [(seg, _PAIRS, keys.tobytes(), _level_bytes(n), b"")]
+        for kind, some, as_ in ((_CONTEXTS, ~crowded, _level_bytes), (_HOT, crowded, np.ndarray.tobytes)):
+            rows.append((seg, kind, context[some].tobytes(), as_(successors[some].astype(np.int64)), as_(again[some])))
         return _packed(rows)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +247,11 @@ def count_pairs(docs: DataFrame, hot: np.ndarray, segments: int) -> DataFrame:
     )
 
 
+def _level_bytes(counts: np.ndarray) -> bytes:
+    """The levels of counts, 0 for 0, a byte each."""
+    return np.where(counts > 0, levels(counts), 0).astype(np.uint8).tobytes()
+
+
 def _among(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(len(values), bool)
@@ -254,15 +260,15 @@ def _among(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _hot_sums(counted: DataFrame) -> DataFrame:
-    """(context, rest, stored) of the hot contexts, a bounded list, from their parts."""
+    """(context, successors, again) of the hot contexts, a bounded list, from their parts."""
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, a, b in zip(*(batch.column(c).to_pylist() for c in ("keys", "a", "b")), strict=True):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(x, np.int64)) for x in (keys, a, b)], names=["context", "rest", "stored"])
+                    [pa.array(np.frombuffer(x, np.int64)) for x in (keys, a, b)], names=["context", "successors", "again"])
 
-    return counted.where(F.col("kind") == _HOT).mapInArrow(unpack, "context long, rest long, stored long") \
-        .groupBy("context").agg(F.sum("rest").alias("rest"), F.sum("stored").alias("stored")).where("stored > 0")
+    return counted.where(F.col("kind") == _HOT).mapInArrow(unpack, "context long, successors long, again long") \
+        .groupBy("context").agg(F.sum("successors").alias("successors"), F.sum("again").alias("again"))
 
 
 def _events(words: DataFrame, counted: DataFrame, regions: int) -> DataFrame:
@@ -291,22 +297,29 @@ def _events(words: DataFrame, counted: DataFrame, regions: int) -> DataFrame:
         if held:
             yield from pack(held)
 
-    def of_contexts(context: np.ndarray, rest: np.ndarray, stored: np.ndarray) -> list[tuple]:
-        return [(mixed(context ^ _REST), levels(rest)), (mixed(context ^ _STORED), levels(stored))]
+    def of_contexts(context: np.ndarray, successors: bytes, again: bytes) -> list[tuple]:
+        successors, again = np.frombuffer(successors, np.uint8), np.frombuffer(again, np.uint8)
+        some = again > 0
+        return [(mixed(context ^ _SUCCESSORS), successors), (mixed(context[some] ^ _AGAIN), again[some])]
 
     def of_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for kind, keys, a, b in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "a", "b")), strict=True):
-                key, a = np.frombuffer(keys, np.uint64), np.frombuffer(a, np.int64)
-                parts = [(key, levels(a))] if kind == _PAIRS else of_contexts(key, a, np.frombuffer(b, np.int64))
-                if len(key):
-                    yield from pack(parts)
+                key = np.frombuffer(keys, np.uint64)
+                held += [(key, np.frombuffer(a, np.uint8))] if kind == _PAIRS else of_contexts(key, a, b)
+                size += len(key)
+                if size > CHUNK // 4:
+                    yield from pack(held)
+                    held, size = [], 0
+        if size:
+            yield from pack(held)
 
     def of_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                context, rest, stored = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                yield from pack(of_contexts(context.astype(np.int64).view(np.uint64), rest, stored))
+                context, successors, again = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                yield from pack(of_contexts(context.astype(np.int64).view(np.uint64), _level_bytes(successors), _level_bytes(again)))
 
     return (
         words.mapInArrow(of_words, schema)
@@ -362,11 +375,12 @@ class Model:
         level = level or self.filter.level
         (word, at), (context, of), (pair, back) = _ngrams(tokens, firsts)
         single = ((typical(level(mixed(word ^ _WORD))) + 1) / (self.tokens + self.types + 1))[at]
-        stored = typical(level(mixed(context ^ _STORED)))
-        rest = np.where(stored > 0, np.maximum(typical(level(mixed(context ^ _REST))), 1), 1)
-        stored, rest = stored[of], rest[of]
-        pairs = typical(level(pair))[back]
-        return np.log10((np.minimum(pairs, stored) + rest * single) / (stored + rest))
+        successors = typical(level(mixed(context ^ _SUCCESSORS)))
+        again = np.where(successors > 0, typical(level(mixed(context ^ _AGAIN))), 0)
+        held = (again + (1 - DISCOUNT) * successors)[of]
+        rest = np.where(successors > 0, (1 + DISCOUNT) * successors, 1)[of]
+        pairs = np.maximum(typical(level(pair))[back] - DISCOUNT, 0)
+        return np.log10((np.minimum(pairs, held) + rest * single) / (held + rest))
 
 
 def _ngrams(tokens: np.ndarray, firsts: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
@@ -379,7 +393,7 @@ def _ngrams(tokens: np.ndarray, firsts: np.ndarray) -> tuple[tuple[np.ndarray, n
 def _wanted(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """The distinct keys that ``Model.log10`` looks up, sorted, and so in the order of their regions."""
     (word, _), (context, _), (pair, _) = _ngrams(tokens, firsts)
-    return np.unique(np.concatenate([mixed(word ^ _WORD), mixed(context ^ _STORED), mixed(context ^ _REST), pair]))
+    return np.unique(np.concatenate([mixed(word ^ _WORD), mixed(context ^ _SUCCESSORS), mixed(context ^ _AGAIN), pair]))
 
 
 @dataclass
@@ -429,7 +443,8 @@ def learn(docs: DataFrame) -> Trained:
     hot = frequent[counts * 8 * segments > tokens]
     hot = np.sort(np.append(hot, START)) if END in hot else hot
     counted = cut(count_pairs(docs, hot, segments))
-    events = cut(_events(words, counted, segments))
+    # Packed twice, for their number and for the filter: that is cheaper than to store them.
+    events = _events(words, counted, segments)
     n_events = events.agg(F.coalesce(F.sum("events"), F.lit(0))).first()[0]
     region_bits = max(512, BITS_PER_EVENT * n_events // segments // 64 * 64)
     built = cut(_build(events, segments, region_bits))
