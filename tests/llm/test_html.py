@@ -55,3 +55,18 @@ def test_query(spark):
         inner = re.sub(r"<(?!/?b>)[^<>]*>", " ", inner)
         assert r.text == " ".join(html.unescape(re.sub(r"</?b>", "", inner)).split())
         assert r.n_chars == len(r.text)
+
+
+def test_furniture_words_on_articles_and_modifiers():
+    p = " ".join(PARAGRAPH.split())
+    for start, end in (('<article class="post comments-open">', "article"), ('<main class="content has-sidebar">', "main"),
+                       ('<div id="content" class="with-sidebar">', "div"), ('<article class="tag-search">', "article"),
+                       ('<div role="main" class="no-banner share">', "div"), ('<div class="hasSidebar">', "div")):
+        page = f"""<body><nav><a>x</a></nav>{start}<p>{PARAGRAPH}</p><div class="share">Share {PARAGRAPH}</div>
+          <p>{PARAGRAPH}</p></{end}><div class="sidebar">{PARAGRAPH}</div></body>"""
+        assert html_extract.extract(page) == f"{p} {p}", start
+    assert html_extract.extract(f"<article hidden>{PARAGRAPH}</article><p>seen") == "seen"
+    nested = f'<article><p>{PARAGRAPH}</p><article class="comment">No {PARAGRAPH}</article></article>'
+    assert html_extract.extract(nested) == p
+    assert html_extract.extract(f'<div class="sidebar"><main>{PARAGRAPH}</main>No</div><p>x</p>') == p
+    assert html_extract.extract(f'<div class="sidebar-layout"><article>{PARAGRAPH}</article></div>') == p

@@ -40,19 +40,23 @@ _FURNITURE = frozenset(
     "promoted promotion related reply replies respond search share sharing sidebar sidebars signup social "
     "sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# Names that tell what an element has or how it is set, and not what it is: has-sidebar, comments-open.
+_MODIFIER = re.compile(r"(?:has|with|without|no|is|not)(?:[-_]|(?=[A-Z])).*|.*[-_](?:open|closed|enabled|disabled|on|off)")
 
 
 class _Lines(HTMLParser):
     """Blocks of a page with their text, tags, and whether furniture or an article holds them."""
 
-    def __init__(self) -> None:
+    def __init__(self, names: bool = True) -> None:
+        """``names``: whether names of elements tell furniture."""
+        self.names = names
         super().__init__(convert_charrefs=True)
         self.texts: list[list[str]] = [[]]
         self.tags = [0]
         self.holders: list[int] = [0]
         self.off = [False]
-        # Open sections: (tag, number of the section, within furniture, within an article).
-        self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        # Open sections: (tag, number of the section, within furniture, within an article, within what is never shown).
+        self.open: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
         self.sections = 1
         self.articles: set[int] = set()
         self.parents = [0]
@@ -78,10 +82,14 @@ class _Lines(HTMLParser):
             # A head that is never closed ends here.
             while len(self.open) > 1 and self.open[-1][0] in ("head", "title"):
                 self.open.pop()
-        if tag in _NEVER or attrs and tag not in _VOID and tag not in ("html", "body") and self._furniture(attrs):
-            self._push(tag, True, False)
+        article = tag in _ARTICLE or tag in _SECTION and any(k == "role" and v in _ARTICLE for k, v in attrs)
+        # Articles within one may be comments: their names count.
+        exempt = article and not self.open[-1][3]
+        if tag in _NEVER or attrs and tag not in _VOID and tag not in ("html", "body") and self._furniture(attrs, exempt):
+            self._push(tag, True, False, tag in _NEVER or self._furniture(attrs, True))
         elif tag in _SECTION:
-            self._push(tag, False, tag in _ARTICLE or any(k == "role" and v in _ARTICLE for k, v in attrs))
+            main = exempt and (tag == "main" or any(k == "role" and v == "main" for k, v in attrs))
+            self._push(tag, False, article, main=main)
         else:
             self._line()
         self.tags[-1] += 1
@@ -105,21 +113,25 @@ class _Lines(HTMLParser):
                 self._line()
         self.tags[-1] += 1
 
-    def _push(self, tag: str, off: bool, article: bool) -> None:
+    def _push(self, tag: str, off: bool, article: bool, never: bool = False, main: bool = False) -> None:
         above = self.open[-1]
+        if main and not above[4]:
+            # A wrapper that holds the main part is no furniture, whatever its name.
+            above = (*above[:2], False, *above[3:])
         number = self.sections
         self.sections += 1
         self.parents.append(above[1])
         if article and not above[2]:
             self.articles.add(number)
-        self.open.append((tag, number, off or above[2], article or above[3]))
+        self.open.append((tag, number, off or above[2], article or above[3], never or above[4]))
         self._line()
 
-    @staticmethod
-    def _furniture(attrs: list[tuple[str, str | None]]) -> bool:
+    def _furniture(self, attrs: list[tuple[str, str | None]], exempt: bool = False) -> bool:
+        """Whether an element's names or what hides it make it furniture; of an ``exempt`` one only what hides it."""
         for key, value in attrs:
             if value and key in ("class", "id", "role", "aria-label"):
-                if any(w.lower() in _FURNITURE for w in _WORD.findall(value)):
+                if self.names and not exempt and any(w.lower() in _FURNITURE for name in value.split() if not _MODIFIER.fullmatch(name)
+                                       for w in _WORD.findall(name)):
                     return True
             elif key in ("hidden",) or key == "aria-hidden" and value == "true":
                 return True
@@ -158,6 +170,18 @@ def _threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _parsed(html: str, names: bool) -> tuple[_Lines, list[tuple[str, int, int]]]:
+    parser = _Lines(names)
+    for at in range(0, len(html), FEED):
+        parser.feed(html[at:at + FEED])
+    parser.close()
+    lines = []
+    for parts, tags, holder, off in zip(parser.texts, parser.tags, parser.holders, parser.off, strict=True):
+        text = " ".join("".join(parts).split()) if parts and not off else ""
+        lines.append((text, tags, holder))
+    return parser, lines
+
+
 def extract(html: str | None, sigma: float = SIGMA) -> str:
     """The main text of a page; empty for a null, empty or textless one.
 
@@ -169,14 +193,10 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
     """
     if not html:
         return ""
-    parser = _Lines()
-    for at in range(0, len(html), FEED):
-        parser.feed(html[at:at + FEED])
-    parser.close()
-    lines = []
-    for parts, tags, holder, off in zip(parser.texts, parser.tags, parser.holders, parser.off, strict=True):
-        text = " ".join("".join(parts).split()) if parts and not off else ""
-        lines.append((text, tags, holder))
+    parser, lines = _parsed(html, True)
+    if not any(t for t, _, _ in lines):
+        # Names alone must not empty a page.
+        parser, lines = _parsed(html, False)
     if not any(t for t, _, _ in lines):
         return ""
     ratios = _smooth(np.log1p([len(t) / max(1, n) for t, n, _ in lines]), sigma)
