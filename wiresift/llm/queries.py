@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import chat, fingerprint, hard_negatives, html_extract, line_dedup, lm, packing, quality, sentencepiece_codec, simhash, warc
+from wiresift.llm import chat, fingerprint, hard_negatives, html_extract, line_dedup, lm, packing, quality, sentencepiece_codec, simhash, warc, whitening
 from wiresift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hard_negatives.shifted_labels(table(spark, sf_dir, "embeddings"))
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
