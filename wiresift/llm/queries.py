@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import chat, fingerprint, hard_negatives, html_extract, line_dedup, lm, packing, quality, sentencepiece_codec, simhash, warc, whitening
+from wiresift.llm import (
+    chat, fingerprint, hard_negatives, html_extract, line_dedup, lm, minhash, packing, quality, sentencepiece_codec,
+    simhash, warc, whitening,
+)
 from wiresift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +126,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
