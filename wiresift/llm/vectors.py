@@ -19,14 +19,14 @@ def whole(vector: str, scale: int) -> Column:
     return F.transform(vector, lambda c: F.floor(c.cast("double") * F.lit(float(scale))).cast("long"))
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
-    """A column of lists of longs as a matrix; a shorter list ends in zeros."""
+def matrix(column: pa.Array | pa.ChunkedArray, dims: int, fill: int = 0) -> np.ndarray:
+    """A column of lists of longs as a matrix; a shorter list ends in ``fill``."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
     sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
     if (sizes == dims).all():
         return values.reshape(len(column), dims)
-    out = np.zeros((len(column), dims), np.int64)
+    out = np.full((len(column), dims), fill, np.int64)
     out[np.arange(dims) < sizes[:, None]] = values
     return out

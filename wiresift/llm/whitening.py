@@ -195,8 +195,8 @@ def numbers(rows: DataFrame, scale: int = SCALE, offset: int = OFFSET) -> DataFr
     return rows.where(usable("embedding", MOST / scale)).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
 
-def fit(named: DataFrame, components: int = COMPONENTS) -> Whitener | None:
-    """The components of ``named`` (vec_id, x); None without rows. Shorter vectors end in the offset's zeros."""
+def fit(named: DataFrame, components: int = COMPONENTS, offset: int = OFFSET) -> Whitener | None:
+    """The components of ``named`` (vec_id, x); None without rows. Shorter vectors end in ``offset``."""
     n, dims = named.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
     if not n:
         return None
@@ -204,7 +204,7 @@ def fit(named: DataFrame, components: int = COMPONENTS) -> Whitener | None:
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(batches, CHUNK):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(dims, dtype=np.int32)), pa.array(matrix(part.column("x"), dims).sum(axis=0))],
+                [pa.array(np.arange(dims, dtype=np.int32)), pa.array(matrix(part.column("x"), dims, offset).sum(axis=0))],
                 names=["i", "s"])
 
     found = named.select("x").mapInArrow(add_up, "i int, s long").groupBy("i").agg(
@@ -218,7 +218,7 @@ def fit(named: DataFrame, components: int = COMPONENTS) -> Whitener | None:
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for part in _chunks(batches, CHUNK):
-            more = np.array(products(matrix(part.column("x"), dims) - centre), object)
+            more = np.array(products(matrix(part.column("x"), dims, offset) - centre), object)
             total = more if total is None else total + more
         if total is not None:
             for i in range(dims):
@@ -236,7 +236,7 @@ def fit(named: DataFrame, components: int = COMPONENTS) -> Whitener | None:
     return Whitener(n, sums, pivot, covariance, components)
 
 
-def identity_error(named: DataFrame, found: Whitener) -> float:
+def identity_error(named: DataFrame, found: Whitener, offset: int = OFFSET) -> float:
     """The largest absolute entry of the covariance of what ``found`` makes of ``named``, minus the identity."""
     dims, k = len(found.pivot), found.weights.shape[1]
 
@@ -244,7 +244,7 @@ def identity_error(named: DataFrame, found: Whitener) -> float:
         # The first row sums up the values, whose mean is zero up to rounding; the others their products.
         total = np.zeros((k + 1, k))
         for part in _chunks(batches, CHUNK):
-            z = found.whitened(matrix(part.column("x"), dims))
+            z = found.whitened(matrix(part.column("x"), dims, offset))
             total += np.vstack([z.sum(axis=0), z.T @ z])
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(k + 1, dtype=np.int32), k)), pa.array(np.tile(np.arange(k, dtype=np.int32), k + 1)),
@@ -274,15 +274,15 @@ def whiten(rows: DataFrame, components: int = COMPONENTS, scale: int = SCALE, of
     schema = ("vec_id long, component int, n long, deviation long, whitened double, explained double, "
               "identity_error double")
     named = numbers(rows, scale, offset)
-    found = fit(named, components)
+    found = fit(named, components, offset)
     if found is None or not len(found.values):
         return rows.sparkSession.createDataFrame([], schema)
-    error, dims, k = identity_error(named, found), len(found.pivot), len(found.values)
+    error, dims, k = identity_error(named, found, offset), len(found.pivot), len(found.values)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(batches, CHUNK):
-            x = matrix(part.column("x"), dims)
+            x = matrix(part.column("x"), dims, offset)
             size = len(x) * k
             every = pa.array(np.repeat(np.arange(len(x)), k))
             deviation = pa.array([d if d < 1 << 63 else None for d in found.deviations(x)], pa.int64())
