@@ -54,11 +54,28 @@ def test_filter():
     bits = max(512, 10 * int(level.sum()) // 8 // 64 * 64)
     here = lm.Filter(np.zeros(8 * bits // 8, np.uint8), bits, 8)
     for at in range(1, 9):
-        for byte, bit in lm._positions(keys[level >= at], np.uint64(at), bits, 8):
-            np.bitwise_or.at(here.bits, byte, (1 << bit).astype(np.uint8))
+        some = keys[level >= at]
+        for i in range(lm.PROBES):
+            byte, bit = lm._place(*lm._spread(some, np.uint64(at)), i, bits)
+            np.bitwise_or.at(here.bits, lm.region_of(some, 8) * (bits // 8) + byte.astype(np.int64), (1 << bit).astype(np.uint8))
     found = here.level(keys)
     assert (found >= level).all() and (found == level).mean() > 0.97
     assert (here.level(lm.mixed(keys + np.uint64(1))) > 0).mean() < 0.03
+    third = here.has(keys, 3)
+    assert (np.diff(third) > 0).all() and set(np.flatnonzero(level >= 3)) <= set(third) and len(third) < 1.03 * (level >= 3).sum()
+
+
+def test_remembered_levels():
+    """Levels of frequent words are the filter's, the first time and later."""
+    rng = np.random.default_rng(1)
+    words = np.unique(rng.integers(0, 2 ** 63, 3000, dtype=np.uint64))
+    here = lm.Filter(rng.integers(0, 256, 4096, dtype=np.uint8) | np.uint8(0xB7), 4096 * 4, 2)
+    for frequent in (words[::3], words[:0]):
+        memo = lm.Remembered(lm.Model(here, 0, 0, frequent, np.ones(len(frequent))))
+        for _ in range(3):
+            some = np.sort(rng.choice(words, 700, replace=False))
+            for salt in (lm._WORD, lm._AGAIN):
+                assert memo(some, salt).tolist() == here.level(lm.mixed(some ^ salt)).tolist()
 
 
 def test_frequent_words_are_bounded(spark):
@@ -99,7 +116,7 @@ def test_probabilities_add_up(spark):
     ids = {w: lm.word_hashes(w.encode())[0] for w in "abcd"} | {"end": lm.END}
     for context in ids.values():
         sequence = np.array([x for w in ids.values() for x in (context, w)], np.uint64)
-        scores = model.log10(sequence, np.array([0]))[1::2]
+        scores = model.log10(lm._ngrams(sequence, np.array([0])))[1::2]
         assert 0.5 < (10 ** scores).sum() < 1.5
 
 
@@ -124,7 +141,6 @@ def test_large_filters_stay_in_regions(spark, monkeypatch):
 
     small = found()
     monkeypatch.setattr(lm, "BROADCAST_BITS", 1000)
-    monkeypatch.setattr(lm, "MAX_BITS", 1000, raising=False)
     large = found()
     assert [a for a, _ in small] == [a for a, _ in large]
     assert all(math.isclose(a, b, rel_tol=1e-9) for (_, a), (_, b) in zip(small, large, strict=True))
@@ -137,8 +153,8 @@ def test_pairs_seen_once_count(spark):
     model, _, _ = lm.train(docs(spark, table).select("doc_id", "text"))
     _, text = table[0]
     word = lm.word_hashes(text.encode())
-    seen = model.log10(word, np.array([0]))[1:]
-    unseen = model.log10(np.stack([word[2:], word[:-2]], axis=1).ravel(), np.array([0]))[1::2]
+    seen = model.log10(lm._ngrams(word, np.array([0])))[1:]
+    unseen = model.log10(lm._ngrams(np.stack([word[2:], word[:-2]], axis=1).ravel(), np.array([0])))[1::2]
     assert seen.min() > math.log10((1 - lm.DISCOUNT) / 2) and np.median(unseen) < seen.min() - 1
     held = next(i for i in range(100) if out(i))
     rows = lm.score(docs(spark, [*table, (held, text)])).collect()

@@ -18,6 +18,7 @@ Words are known by 64-bit hashes of their bytes. Among n distinct words some n**
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -29,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiresift.llm.common import long_id, pieces
+from wiresift.llm.common import long_id, pieces, worker_memo
 from wiresift.llm.fingerprint import mixed, word_hashes
 from wiresift.session import cut
 
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 START = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))
 #: Tokens that a training task gathers before it sums them up.
-CHUNK = 2_000_000
+CHUNK = 1_500_000
 #: Words whose exact counts every worker knows, at most; the others' are joined.
 FREQUENT = 1 << 20
 #: Tokens a counting segment is for, about.
@@ -53,6 +54,7 @@ BROADCAST_BITS = 1 << 31
 FETCH = 16 << 20
 _WORD, _SUCCESSORS, _AGAIN = (np.uint64(x) for x in (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C, 0x5A5A5A5AC3C3C3C3))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_HALF = np.uint64(0xFFFFFFFF)
 
 
 # Quantised counts.
@@ -69,6 +71,10 @@ def typical(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.where(high >= low, (low + high) / 2, low), 0.0)
 
 
+#: The counts that levels stand for, up to the highest that a byte holds.
+_TYPICAL = typical(np.arange(201))
+
+
 def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(mixed(contexts) * _STEP + words)
 
@@ -82,10 +88,18 @@ class Filter:
     regions: int
 
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for byte, bit in _positions(keys, np.uint64(level), self.region_bits, self.regions):
-            out &= (self.bits[byte] >> bit) & np.uint8(1) != 0
-        return out
+        """The places of the keys that have an event of this level; a probe only looks at those that passed the last."""
+        first, step = _spread(keys, np.uint64(level))
+        start = region_of(keys, self.regions).astype(np.uint64) * np.uint64(self.region_bits // 8)
+        alive = np.arange(len(keys))
+        for i in range(PROBES):
+            byte, bit = _place(first, step, i, self.region_bits)
+            there = np.flatnonzero((self.bits[(start + byte).astype(np.int64)] >> bit) & np.uint8(1))
+            if len(there) < len(alive):
+                alive = alive[there]
+                if i < PROBES - 1:
+                    first, step, start = first[there], step[there], start[there]
+        return alive
 
     def level(self, keys: np.ndarray, first: int = 1) -> np.ndarray:
         """The level of each key by probes from ``first`` on; 0 if that one is missing."""
@@ -99,15 +113,16 @@ class Filter:
         return out
 
 
-def _positions(keys: np.ndarray, level: np.ndarray | np.uint64, region_bits: int,
-               regions: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(byte, bit) of each probe of each event."""
+def _spread(keys: np.ndarray, level: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Where an event's probes begin, and the step from one to the next."""
     spread = mixed(keys + np.atleast_1d(level + np.uint64(1)) * _STEP)
-    first, step = spread & np.uint64(0xFFFFFFFF), (spread >> np.uint64(32)) | np.uint64(1)
-    start = region_of(keys, regions).astype(np.uint64) * np.uint64(region_bits // 8)
-    for i in range(PROBES):
-        place = (first + np.uint64(i) * step) % np.uint64(region_bits)
-        yield (start + (place >> np.uint64(3))).astype(np.int64), (place & np.uint64(7)).astype(np.uint8)
+    return spread & _HALF, (spread >> np.uint64(32)) | np.uint64(1)
+
+
+def _place(first: np.ndarray, step: np.ndarray, probe: int, region_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, bit) of a probe in its region: a 32-bit number scaled to the region."""
+    place = (((first + np.uint64(probe) * step) & _HALF) * np.uint64(region_bits)) >> np.uint64(32)
+    return place >> np.uint64(3), (place & np.uint64(7)).astype(np.uint8)
 
 
 def region_of(keys: np.ndarray, regions: int) -> np.ndarray:
@@ -345,11 +360,11 @@ def _build(events: DataFrame, regions: int, region_bits: int) -> DataFrame:
                         yield row()
                     now, bits = seg, np.zeros(region_bits, bool)
                 key, level = np.frombuffer(keys, np.uint64), np.frombuffer(level, np.uint8)
-                shift = seg * (region_bits // 8)
                 for at in range(1, int(level.max(initial=0)) + 1):
-                    some = key[level >= at]
-                    for byte, bit in _positions(some, np.uint64(at), region_bits, regions):
-                        bits[(byte - shift) * 8 + bit] = True
+                    begin, step = _spread(key[level >= at], np.uint64(at))
+                    for i in range(PROBES):
+                        byte, bit = _place(begin, step, i, region_bits)
+                        bits[(byte * np.uint64(8) + bit).astype(np.int64)] = True
         if bits is not None:
             yield row()
 
@@ -367,23 +382,51 @@ class Model:
     frequent: np.ndarray
     counts: np.ndarray
 
-    def log10(self, tokens: np.ndarray, firsts: np.ndarray, level: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-        """log10 P of each token after the one before; ``firsts`` are the places where documents begin.
+    def log10(self, grams: Grams, level: Callable[[np.ndarray], np.ndarray] | None = None,
+              of_words: Callable[[np.ndarray, np.uint64], np.ndarray] | None = None) -> np.ndarray:
+        """log10 P of each token after the one before.
 
-        ``level`` gives the levels of sorted distinct keys; by default the filter does.
+        ``level`` gives the levels of distinct keys, by default from the filter;
+        ``of_words`` those of words, told apart from other keys by a number.
         """
         level = level or self.filter.level
-        (word, at), (context, of), (pair, back) = _ngrams(tokens, firsts)
-        single = ((typical(level(mixed(word ^ _WORD))) + 1) / (self.tokens + self.types + 1))[at]
-        successors = typical(level(mixed(context ^ _SUCCESSORS)))
-        again = np.where(successors > 0, typical(level(mixed(context ^ _AGAIN))), 0)
+        of_words = of_words or (lambda words, salt: level(mixed(words ^ salt)))
+        (word, at), (context, of), (pair, back) = grams
+        single = ((_TYPICAL[of_words(word, _WORD)] + 1) / (self.tokens + self.types + 1))[at]
+        successors = _TYPICAL[of_words(context, _SUCCESSORS)]
+        again = np.where(successors > 0, _TYPICAL[of_words(context, _AGAIN)], 0)
         held = (again + (1 - DISCOUNT) * successors)[of]
         rest = np.where(successors > 0, (1 + DISCOUNT) * successors, 1)[of]
-        pairs = np.maximum(typical(level(pair))[back] - DISCOUNT, 0)
+        pairs = np.maximum(_TYPICAL[level(pair)] - DISCOUNT, 0)[back]
         return np.log10((np.minimum(pairs, held) + rest * single) / (held + rest))
 
 
-def _ngrams(tokens: np.ndarray, firsts: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+class Remembered:
+    """Levels of words; those of the frequent words are read from the filter once."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.held: dict[int, np.ndarray] = {}
+
+    def __call__(self, words: np.ndarray, salt: np.uint64) -> np.ndarray:
+        level, frequent = self.model.filter.level, self.model.frequent
+        out = np.zeros(len(words), np.int64)
+        if not len(frequent):
+            return level(mixed(words ^ salt))
+        held = self.held.setdefault(int(salt), np.full(len(frequent), 255, np.uint8))
+        at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
+        known = frequent[at] == words
+        new = at[known][held[at[known]] == 255]
+        held[new] = level(mixed(frequent[new] ^ salt))
+        out[known] = held[at[known]]
+        out[~known] = level(mixed(words[~known] ^ salt))
+        return out
+
+
+Grams = tuple[tuple[np.ndarray, np.ndarray], ...]
+
+
+def _ngrams(tokens: np.ndarray, firsts: np.ndarray) -> Grams:
     """The distinct words, contexts and pair keys, each with the place of every token's own among them."""
     before = np.append(START, tokens[:-1])
     before[firsts] = START
@@ -480,20 +523,27 @@ def score(docs: DataFrame) -> DataFrame:
     regions = trained.regions
     # Plain arrays and numbers: workers need not have this package to load them.
     shared = docs.sparkSession.sparkContext.broadcast({**vars(model), "filter": fits and vars(model.filter)})
+    shared_id = uuid.uuid4().hex
     total = model.tokens + model.types + 1
     types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(),
              pa.list_(pa.int64()), pa.list_(pa.int64()))
     names = [f.split()[0] for f in SCORED.split(", ")]
 
-    def rows(here: Model, held: list[tuple]) -> Iterator[tuple]:
+    def rows(here: Model, held: list[tuple], of_words: Remembered | None) -> Iterator[tuple]:
         tokens = np.concatenate([t for _, _, t in held])
         sizes = np.array([len(t) for _, _, t in held])
         firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        scores = np.add.reduceat(here.log10(tokens, firsts), firsts) if fits else np.zeros(len(held))
+        if fits:
+            grams = _ngrams(tokens, firsts)
+            word, at = grams[0]
+            scores = np.add.reduceat(here.log10(grams, of_words=of_words), firsts)
+        else:
+            word, at = np.unique(tokens, return_inverse=True)
+            scores = np.zeros(len(held))
         if len(here.frequent):
-            at = np.minimum(np.searchsorted(here.frequent, tokens), len(here.frequent) - 1)
-            known = here.frequent[at] == tokens
-            logs = np.where(known, np.log10(here.counts[at] + 1.0), 0.0)
+            place = np.minimum(np.searchsorted(here.frequent, word), len(here.frequent) - 1)
+            found = here.frequent[place] == word
+            known, logs = found[at], np.where(found, np.log10(here.counts[place] + 1.0), 0.0)[at]
         else:
             known, logs = np.zeros(len(tokens), bool), np.zeros(len(tokens))
         base, n_known = np.add.reduceat(logs, firsts), np.add.reduceat(known.astype(np.int64), firsts)
@@ -511,16 +561,23 @@ def score(docs: DataFrame) -> DataFrame:
         for seg, mine in _split(region_of(keys, regions), keys):
             yield (_KEYS, seg, chunk, mine.tobytes(), b"")
 
-    def batch_of(here: Model, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def batch_of(here: Model, held: list[tuple], of_words: Remembered | None) -> Iterator[pa.RecordBatch]:
         if fits:
-            yield _table(rows(here, held), names, types)
+            yield _table(rows(here, held, of_words), names, types)
             return
-        yield _table(((_DOCUMENT, *(None,) * 4, *r) for r in rows(here, held)), _LOOKUP_NAMES, _LOOKUP_TYPES + types)
+        yield _table(((_DOCUMENT, *(None,) * 4, *r) for r in rows(here, held, of_words)), _LOOKUP_NAMES, _LOOKUP_TYPES + types)
         yield _table((r + (None,) * len(names) for r in lookups(held)), _LOOKUP_NAMES, _LOOKUP_TYPES + types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value
         here = Model(**{**value, "filter": Filter(**value["filter"]) if value["filter"] else None})
+        # A worker keeps the levels of one model, from task to task.
+        kept = worker_memo("lm levels", dict)
+        if kept.get("model") != shared_id:
+            kept.clear()
+            kept.update(model=shared_id, held={})
+        of_words = Remembered(here)
+        of_words.held = kept["held"]
         next_id = TaskContext.get().partitionId() << 33
         held, size = [], 0
         for batch in pieces(batches):
@@ -529,10 +586,10 @@ def score(docs: DataFrame) -> DataFrame:
                 next_id += 1
                 size += len(held[-1][2])
                 if size >= _SCORE_TOKENS:
-                    yield from batch_of(here, held)
+                    yield from batch_of(here, held, of_words)
                     held, size = [], 0
         if held:
-            yield from batch_of(here, held)
+            yield from batch_of(here, held, of_words)
 
     scored = cut(named.mapInArrow(run, SCORED if fits else _LOOKUP))
     if not fits:
@@ -582,7 +639,7 @@ def _looked_up(wanted: DataFrame, trained: Trained) -> DataFrame:
             firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             keys, level = _wanted(tokens, firsts), np.frombuffer(b"".join(levels_of), np.uint8).astype(np.int64)
             scores = np.add.reduceat(
-                here.log10(tokens, firsts, lambda some: level[np.searchsorted(keys, some)]), firsts)
+                here.log10(_ngrams(tokens, firsts), lambda some: level[np.searchsorted(keys, some)]), firsts)
             return pa.RecordBatch.from_arrays(
                 [pa.array(now + np.arange(len(sizes))), pa.array(scores)], names=["row_id", "score"])
 
