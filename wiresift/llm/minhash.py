@@ -3,34 +3,24 @@
 A signature holds, for each of many hash functions, the low bits of the smallest hash
 among a text's shingles. Two texts differ at a place with a chance of one minus their
 resemblance, so texts at the bound differ in a known number of places, and
-``max_places`` lies some four standard deviations above it.
+``MAX_PLACES`` lies some four standard deviations above it.
 
 The places are cut into chunks, each of which is one long. By the pigeonhole
 principle two signatures that differ in fewer than twice as many places as there are
 chunks have a chunk with one error at most. So each text is filed, for each chunk and
 each place in it, under what the chunk holds at the other places: all pairs of
-signatures within ``max_places`` meet under a key, and are told apart there on whole
-signatures. What is left is confirmed on the shingle sets.
-
-Texts with equal sets are one node. In each key's group all nodes are first held
-against the one that shares most keys with others, which connects most of a family of
-near copies without listing its pairs. Only nodes that are still in different
-components are then held against each other.
+signatures within ``MAX_PLACES`` meet under a key, and are told apart there on whole
+signatures. What is left is confirmed on the shingle sets (``similar.py``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wiresift.llm.common import long_id, pieces, small
-from wiresift.llm.components import components
-from wiresift.llm.fingerprint import mixed, shingle_hashes, word_hashes
-from wiresift.session import cut
+from wiresift.llm import similar as near_sets
+from wiresift.llm.fingerprint import mixed
 
 SHINGLE = 5
 #: Texts are linked from this resemblance on, in hundredths.
@@ -45,19 +35,6 @@ MAX_PLACES = 2 * CHUNKS - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of a whole text's shingles, sorted."""
-    return np.unique(shingle_hashes(word_hashes((text or "").encode("utf-8", "surrogatepass")), shingle))
-
-
-def node_of(shingles: np.ndarray) -> int | None:
-    """A number for a set, equal for equal sets; none for the empty one."""
-    if not len(shingles):
-        return None
-    places = np.arange(1, len(shingles) + 1, dtype=np.uint64)
-    return int(mixed(mixed(shingles * _STEP + places).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
-
-
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The chunks of a set's signature, as longs."""
     seeds = mixed(np.arange(1, CHUNKS * PLACES + 1, dtype=np.uint64) * _STEP)[:, None]
@@ -65,42 +42,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     for at in range(0, len(shingles), 4096):
         # The set's hashes are spread already; a multiplication and a fold order them anew for each seed.
         spread = (shingles[None, at:at + 4096] ^ seeds) * (seeds | np.uint64(1))
-        spread = (spread ^ (spread >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        spread ^= spread >> np.uint64(32)
+        spread *= np.uint64(0xBF58476D1CE4E5B9)
         np.minimum(least, spread.min(axis=1), out=least)
     low = (mixed(least) & np.uint64((1 << BITS) - 1)).reshape(CHUNKS, PLACES)
     return (low << (np.arange(PLACES, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, whole, n_shingles, node, sig) of every row of ``docs`` (doc_id, text).
-
-    ``whole`` is the text's hash; without words there is no node and no signature.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            n, nodes, sigs = [], [], []
-            for text in batch.column(2).to_pylist():
-                found = shingle_set(text, shingle)
-                n.append(len(found))
-                nodes.append(node_of(found))
-                sigs.append(signature(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "whole", "n_shingles", "node", "sig"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, whole long, n_shingles long, node long, sig array<long>")
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole, text): rows are known by their id and their text's hash."""
-    text = F.col("text").cast("string")
-    return docs.select(long_id("doc_id").alias("doc_id"), F.xxhash64(text).alias("whole"), text.alias("text"))
-
-
 # Comparing signatures, in columns.
 
 _LOW = sum(((1 << BITS - 1) - 1) << BITS * i for i in range(PLACES))
 _TOP = sum(1 << BITS * i + BITS - 1 for i in range(PLACES))
+#: Bits of a key below its slot.
+_HELD = BITS * (PLACES - 1)
 
 
 def _errors(a: Column, b: Column) -> Column:
@@ -125,113 +79,33 @@ def first_slot(a: Column, b: Column) -> Column:
     return F.coalesce(*slots)
 
 
-def _keys() -> Column:
-    """What a signature is filed under: (slot, the chunk without one place)."""
+def keys() -> Column:
+    """What ``sig`` is filed under: the chunk and the place left out, above what the chunk holds at the others."""
     rows = []
     for i in range(CHUNKS):
         for place in range(PLACES):
-            rest = F.lit(((1 << BITS * PLACES) - 1) & ~(((1 << BITS) - 1) << BITS * place))
-            rows.append(F.struct(F.lit(i * PLACES + place).cast("byte").alias("slot"), F.col("sig")[i].bitwiseAND(rest).alias("held")))
-    return F.explode(F.array(*rows))
-
-
-def _fits(similar: int) -> Column:
-    """Whether the sizes ``n_a`` and ``n_b`` allow for the resemblance."""
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar
+            low = F.col("sig")[i].bitwiseAND(F.lit((1 << BITS * place) - 1))
+            high = F.shiftleft(F.shiftright(F.col("sig")[i], BITS * (place + 1)), BITS * place)
+            rows.append(F.lit((i * PLACES + place) << _HELD).bitwiseOR(low).bitwiseOR(high))
+    return F.array(*rows)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int, shingle: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose sets have the resemblance. Sets are made of the nodes that occur."""
-    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    chosen = nodes.join(wanted, "node", "left_semi").select("node", "first_id", "whole")
+SIGNATURE = near_sets.Signature(
+    signature, keys, lambda a, b: differing(a, b) <= MAX_PLACES,
+    lambda a, b, key: first_slot(a, b) == F.shiftright(key, _HELD))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    # A node's text is that of its first document.
-    chosen = chosen.withColumnsRenamed({"first_id": "id", "whole": "hash"})
-    texts = _texts(docs).join(small(cut(chosen)), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("whole") == F.col("hash"))) \
-        .select("node", "text")
-    sets = cut(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-        .where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * similar).select("a", "b")
-    )
-
-
-def links(nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR, max_places: int = MAX_PLACES,
-          shingle: int = SHINGLE) -> DataFrame:
-    """Confirmed pairs (a, b) that connect all nodes of ``nodes`` (node, n_shingles, sig, first_id, whole).
-
-    Each pair of nodes within ``max_places`` and the resemblance is given, or joined
-    through others that are.
-    """
-    if max_places >= 2 * CHUNKS:
-        raise ValueError(f"signatures are compared up to {2 * CHUNKS - 1} places")
-    filed = nodes.select("node", _keys().alias("k")).select("k.slot", "k.held", "node")
-    key = ["slot", "held"]
-    shared = cut(filed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"))
-    met = cut(filed.join(small(shared), key))
-    # The node that meets most others, in all its groups, is the hub of each.
-    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
-    weighed = met.select(*key, "node").join(small(cut(weight)), "node")
-    hubs = weighed.groupBy(*key).agg(F.max(F.struct("weight", "node")).getField("node").alias("hub"))
-    tried = weighed.join(hubs, key).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-
-    about = nodes.select("node", "n_shingles", "sig").join(small(cut(weight.select("node"))), "node", "left_semi")
-    about = cut(about)
-    mine, theirs = (about.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-                    for x in ("a", "b"))
-    near = (differing(F.col("sig_a"), F.col("sig_b")) <= max_places) & _fits(similar)
-    first = cut(tried.join(mine, "a").join(theirs, "b").where(near).select("a", "b"))
-    first = cut(_confirmed(first, nodes, docs, similar, shingle))
-
-    # Nodes that share a key and are not connected yet.
-    roots = cut(components(first))
-    apart = met.select(*key, "node").join(small(roots), "node", "left") \
-        .select(*key, "node", F.coalesce("root", "node").alias("root"))
-    split = apart.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    left = cut(apart.join(small(cut(split.select(*key))), key, "left_semi").join(about, "node"))
-
-    def side(x: str) -> DataFrame:
-        return left.select(*key, F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("n_shingles").alias(f"n_{x}"),
-                           F.col("sig").alias(f"sig_{x}"))
-
-    # A pair counts under the first key that it shares.
-    here = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near \
-        & (first_slot(F.col("sig_a"), F.col("sig_b")) == F.col("slot"))
-    second = cut(side("a").join(side("b"), key).where(here).select("a", "b"))
-    return first.union(_confirmed(second, nodes, docs, similar, shingle))
-
-
-def near_duplicates(docs: DataFrame, similar: int = SIMILAR, max_places: int = MAX_PLACES,
-                    shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     A text's set holds its distinct runs of ``shingle`` words; with fewer words all of
     them as one; a null or blank text has none and is linked with nothing. Texts are
     linked where the sets' resemblance is at least ``similar`` hundredths, which is
-    confirmed on the sets. ``component_id`` is the smallest doc_id that links reach,
-    itself included; null only where no doc_id of the component is known. ``kept`` says
-    that doc_id is that one. Repeated rows give repeated rows; rows that share an id
-    are told apart by their texts. Other columns are not read.
+    confirmed on the sets; below 85 the signatures' bound finds fewer. ``component_id``
+    is the smallest doc_id that links reach, itself included; null only where no doc_id
+    of the component is known. ``kept`` says that doc_id is that one. Repeated rows give
+    repeated rows; rows that share an id are told apart by their texts. Other columns
+    are not read.
     """
-    rows = cut(signed(docs, shingle))
-    who = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "whole")
-    nodes = cut(
-        rows.where("node IS NOT NULL").groupBy("node").agg(
-            F.min(who).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-        .select("node", "n_shingles", "sig", F.col("first.doc_id").alias("first_id"), F.col("first.whole").alias("whole")))
-    roots = cut(components(links(nodes, docs, similar, max_places, shingle)))
-    rooted = nodes.join(small(roots), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("least"))
-    of_node = rooted.join(least, "root").select("node", "least")
-    return (
-        rows.join(of_node, "node", "left")
-        .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+    found = near_sets.classes(docs, SIGNATURE, similar, shingle)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
