@@ -18,16 +18,17 @@ def distance(a, b):
     return row[-1]
 
 
-def slow(rows, min_chars, max_edits):
+def slow(rows, near_chars, max_edits):
     """{(id, text): what stays of it}"""
     first = {}
     for i, text in rows:
         for pos, line in enumerate((text or "").split("\n")):
             line = line.strip(" \t\r\x0b\x0c")
-            if len(line) >= min_chars:
+            if line:
                 place = (i is None, i or 0, pos)
                 first[line] = min(first.get(line, place), place)
-    near = {a for a in first for b in first
+    long = [a for a in first if len(a) >= near_chars]
+    near = {a for a in long for b in long
             if first[b] < first[a] and abs(len(a) - len(b)) <= max_edits and distance(a, b) <= max_edits}
     out = {}
     for i, text in rows:
@@ -43,8 +44,8 @@ def slow(rows, min_chars, max_edits):
     return out
 
 
-def run(spark, rows, min_chars, max_edits):
-    got = line_dedup.dedup_lines(docs(spark, rows).selectExpr("*", "text AS before"), min_chars, max_edits).collect()
+def run(spark, rows, near_chars, max_edits):
+    got = line_dedup.dedup_lines(docs(spark, rows).selectExpr("*", "text AS before"), near_chars, max_edits).collect()
     return {(r.doc_id, r.before): r.text for r in got}
 
 
@@ -66,8 +67,15 @@ def test_edited_lines(spark):
                 line = edit(rng, line)
             mine.append(rng.choice(("", " ", "\t")) + line)
         rows.append((rng.choice((i, i, i, None)), "\n".join(mine)))
-    for min_chars, max_edits in ((1, 1), (5, 1), (4, 0)):
-        assert run(spark, rows, min_chars, max_edits) == slow(rows, min_chars, max_edits)
+    for near_chars, max_edits in ((1, 1), (5, 1), (4, 0)):
+        assert run(spark, rows, near_chars, max_edits) == slow(rows, near_chars, max_edits)
+
+
+def test_short_lines(spark):
+    """Exact repeats go however short they are; short lines one edit apart stay."""
+    rows = [(1, "}\n\nRead more\n  \nRead mare"), (2, " Read more\n\n}\nx"), (None, "x\ny\nShare this"), (5, "y\n}\n}")]
+    assert run(spark, rows, 20, 1) == slow(rows, 20, 1) == {
+        rows[0]: "}\n\nRead more\n  \nRead mare", rows[1]: "\nx", rows[2]: "Share this", rows[3]: "y"}
 
 
 def test_many_lines_one_character_apart(spark):
@@ -104,7 +112,7 @@ def test_awkward(spark):
     got = line_dedup.dedup_lines(df)
     assert got.columns == [*DOCS.names, "n_lines", "n_dropped"]
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    want = slow(rows, line_dedup.MIN_CHARS, 0)
+    want = slow(rows, line_dedup.NEAR_CHARS, 0)
     assert sorted(map(repr, (r.text for r in got.collect()))) == sorted(map(repr, (want[k] for k in rows)))
     assert {r.n_lines for r in got.where("text IS NULL").collect()} == {0}
     extra = line_dedup.dedup_lines(clashing(df))

@@ -25,10 +25,10 @@ def test_stages(spark):
     first = {}
     for i in sorted(texts):
         for pos, line in enumerate(texts[i].split("\n")):
-            if len(line.strip()) >= line_dedup.MIN_CHARS:
+            if line.strip(" \t\r\x0b\x0c"):
                 first.setdefault(line.strip(" \t\r\x0b\x0c"), (i, pos))
     by_start, gone = {}, set()
-    for line in first:
+    for line in filter(lambda x: len(x) >= line_dedup.NEAR_CHARS, first):
         n = len(line) // 2 - 1
         for part in (line[:8], line[-8:]):
             by_start.setdefault(part, []).append(line)

@@ -1,7 +1,8 @@
 """Removal of repeated and nearly repeated lines, earliest kept, in DataFrame operations only.
 
-Exact repeats are found by a 128-bit hash of the trimmed line. Lines one edit apart
-are found through their deletion neighbourhoods: lines that become equal when one
+Texts are split once, into a stored table of line hashes. Exact repeats of all lines
+that are not blank are found by a 128-bit hash of the trimmed line. Lines one edit apart,
+if they are long enough for an edit to be a small change, are found through their deletion neighbourhoods: lines that become equal when one
 character goes share a hashed variant. A line of n characters has n such variants
 of n characters each, so they are narrowed first:
 
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from wiresift.llm.common import small
 from wiresift.session import cut
 
-MIN_CHARS = 20
+#: Characters from which on lines are also compared up to an edit.
+NEAR_CHARS = 20
 MAX_EDITS = 1
 _BLANK = " \t\r\x0b\x0c"
 
@@ -33,12 +35,11 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")]
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, whole, pos, line, h1, h2) of the lines that count; ``pos`` is from 0, ``whole`` the text's hash."""
+def _split(docs: DataFrame) -> DataFrame:
+    """(doc, whole, pos, line, h1, h2) of the lines that are not blank; ``pos`` is from 0, ``whole`` the text's hash."""
     return (
         docs.select("doc", F.xxhash64("text").alias("whole"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        .select("doc", "whole", "pos", F.trim("line", F.lit(_BLANK)).alias("line"))
-        .where(F.char_length("line") >= min_chars)
+        .select("doc", "whole", "pos", F.trim("line", F.lit(_BLANK)).alias("line")).where("line <> ''")
         .select("doc", "whole", "pos", "line", *_hashes(F.col("line")))
     )
 
@@ -67,17 +68,18 @@ _BLOCKS = """
       'width', (size + greatest(8, int(sqrt(size))) - 1) div greatest(8, int(sqrt(size)))))))"""
 
 
-def _near(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
+def _near(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2) of the lines that lie one edit from a line with an earlier first place."""
-    lines = _lines(docs, min_chars)
+    halves = lines.select("h1", "h2", F.explode("halves").alias("half"))
     shared = cut(
-        lines.select("h1", F.explode(_halves()).alias("half"))
-        .groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half"))
-    texts = (
-        lines.select("h1", "h2", "line", F.explode(_halves()).alias("half"))
-        .join(small(shared), "half", "left_semi").select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
-    )
-    texts = cut(texts.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]))
+        halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half"))
+    some = halves.join(small(shared), "half", "left_semi").select("h1", "h2").distinct()
+    some = cut(some.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]))
+    # Only the documents in which these lines stand first are split again, for their texts.
+    where = cut(some.select(F.col("first.doc").alias("at")).distinct())
+    texts = cut(
+        _split(docs.join(small(where), F.col("doc").eqNullSafe(F.col("at")), "left_semi")).select("h1", "h2", "line")
+        .join(small(some), ["h1", "h2"]).dropDuplicates(["h1", "h2"]))
 
     # Variants without a block: what stands before and after it, and where.
     blocks = (
@@ -121,18 +123,19 @@ def _near(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
     """(doc, whole, dropped) per document of ``docs`` (doc, text) that loses lines: their places from 0.
 
     An id may stand in several rows, so a document is known by its id and its text's hash.
     """
     if max_edits not in (0, 1):
         raise ValueError("lines are compared up to 0 edits or 1")
-    lines = _lines(docs, min_chars)
+    halves = F.when(F.char_length("line") >= near_chars, _halves()) if max_edits else F.lit(None).cast("array<bigint>")
+    lines = cut(_split(docs).select("doc", "whole", "pos", "h1", "h2", halves.alias("halves")))
     firsts = cut(lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")))
     marked = firsts.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
     if max_edits:
-        near = cut(_near(docs, firsts, min_chars)).withColumn("near", F.lit(True))
+        near = cut(_near(docs, lines, firsts)).withColumn("near", F.lit(True))
         marked = (
             firsts.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left")
             .where("near OR n > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
@@ -143,15 +146,15 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS,
+def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, max_edits: int = MAX_EDITS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without lines that occur earlier, with ``n_lines`` and ``n_dropped``.
 
-    Lines are compared without white space at their ends; those with fewer than
-    ``min_chars`` characters always stay. Of equal lines the one in the document
-    with the smallest id, at the first place, stays. A line also goes wherever it
-    stands if one within ``max_edits`` (0 or 1) edits has an earlier first place,
-    whether or not that one goes, too. Documents without an id come last. Rows that
+    Lines are compared without white space at their ends; blank ones always stay. Of
+    equal lines, however short, the one in the document with the smallest id, at the
+    first place, stays. Among lines of at least ``near_chars`` characters, one also goes
+    wherever it stands if one within ``max_edits`` (0 or 1) edits has an earlier first
+    place, whether or not that one goes, too. Documents without an id come last. Rows that
     share an id are one place: equal lines at the same place stay in each. A null
     text stays null and has 0 lines; an empty one has one. All columns are kept in
     order, but for ones named ``n_lines`` or ``n_dropped``; lines that stay keep
@@ -160,7 +163,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
     """
     docs = docs.drop("n_lines", "n_dropped")
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    drops = repeated_lines(named, min_chars, max_edits).select(
+    drops = repeated_lines(named, near_chars, max_edits).select(
         F.col("doc").alias("__doc"), F.col("whole").alias("__whole"), F.col("dropped").alias("__dropped"))
     split = F.split(F.col(text_col), "\n", -1)
     kept = F.concat_ws("\n", F.filter(F.col("__lines"), lambda _, i: ~F.array_contains("__dropped", i)))
@@ -183,11 +186,12 @@ WITH l AS (
   SELECT doc_id, pos - 1 AS pos, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
       generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
-f AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line),
+f AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE line <> '' GROUP BY line),
+e AS (SELECT * FROM f WHERE length(line) >= {NEAR_CHARS}),
 v AS (
-  SELECT line, first, 0 AS k, hash(line) AS h FROM f
+  SELECT line, first, 0 AS k, hash(line) AS h FROM e
   UNION ALL SELECT line, first, k, hash(left(line, k - 1) || substr(line, k + 1)) FROM (
-    SELECT line, first, unnest(range(1, length(line) + 1)) AS k FROM f)),
+    SELECT line, first, unnest(range(1, length(line) + 1)) AS k FROM e)),
 c AS (SELECT h FROM v GROUP BY h HAVING count(DISTINCT line) > 1),
 s AS (SELECT DISTINCT line, first, h FROM v WHERE h IN (SELECT h FROM c)),
 near AS (SELECT DISTINCT b.line FROM s a JOIN s b ON a.h = b.h AND a.first < b.first
