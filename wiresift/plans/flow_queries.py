@@ -133,12 +133,16 @@ SEGMENT, OVERLAP, LOST_EVERY = 1000, 200, 7
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments_of(T.documents(spark, sf_dir))
+
+
+def segments_of(documents: DataFrame) -> DataFrame:
     """Documents cut into segments that overlap, repeat, arrive out of order and wrap.
 
     Every seventh document lacks its fourth segment.
     """
     size = F.octet_length("payload")
-    docs = T.documents(spark, sf_dir).filter(size > 0).withColumns({
+    docs = documents.filter(size > 0).withColumns({
         "flow_id": F.col("doc_id"), "n": size,
         "i": F.explode(F.sequence(F.lit(0), F.floor((size - 1) / SEGMENT).cast("int")))})
     copies = docs.withColumn("copy", F.explode(F.when(F.col("i") % 3 == 0, F.array(F.lit(0), F.lit(1)))
@@ -160,13 +164,16 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(late)
 
 
-@query(f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE strlen(text) > 0),
+ASSEMBLED = f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE strlen(text) > 0),
 s AS (SELECT *, unnest(range(0, (n - 1) // {SEGMENT} + 1)) AS i FROM d),
 r AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE i * {SEGMENT} + {OVERLAP} END AS start_off,
   least(i * {SEGMENT} + {SEGMENT + OVERLAP}, n) AS end_off FROM s)
 SELECT doc_id AS flow_id, CASE WHEN doc_id % 2 = 0 THEN 'CTS' ELSE 'STC' END AS direction, i AS chunk_no,
   start_off, end_off, substr(h, 2 * start_off + 1, 2 * (end_off - start_off)) AS data
-FROM r WHERE end_off > start_off AND (doc_id % {LOST_EVERY} <> 0 OR i < 3)""")
+FROM r WHERE end_off > start_off AND (doc_id % {LOST_EVERY} <> 0 OR i < 3)"""
+
+
+@query(ASSEMBLED)
 def stream_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = segments(spark, sf_dir)
     rows = block_rows(T.table(spark, sf_dir, "documents"), "doc_id", PACKETS_PER_BLOCK // 65536)
