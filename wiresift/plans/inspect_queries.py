@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiresift.functions import text as X
+from wiresift.operators import rule_table
 from wiresift.operators import scope as S
 from wiresift.operators.annotate import match_pieces, packet_span as spans, rule_expr, with_rule_meta
 from wiresift.operators.datagrams import inspect_all_rules, inspect_datagrams
@@ -151,7 +152,10 @@ def direction_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FUZZY, FUZZY_MIN = "threating", 78
-FUZZY_SQL = f"""t AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(text, '[^ -~\\n]', '', 'g') AS t FROM conversations),
+# Over bytes: as the pattern is ASCII, each byte of another character is as good as any mark that it lacks.
+FUZZY_SQL = f"""t AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(regexp_replace(regexp_replace(text,
+  '[\\x{{80}}-\\x{{7ff}}]', '##', 'g'), '[\\x{{800}}-\\x{{ffff}}]', '###', 'g'), '[\\x{{10000}}-\\x{{10ffff}}]', '####', 'g') AS t
+  FROM conversations),
 r AS (SELECT id, length(t) AS size, CASE WHEN length(t) = 0 THEN 0
   WHEN length(t) >= {len(FUZZY)} THEN CAST(round(100.0 * ({len(FUZZY)} - list_min(list_transform(
     range(1, length(t) - {len(FUZZY)} + 2), lambda i: levenshtein(substr(t, i, {len(FUZZY)}), '{FUZZY}'))))
@@ -162,7 +166,7 @@ r AS (SELECT id, length(t) AS size, CASE WHEN length(t) = 0 THEN 0
 
 def fuzzy_on_turns(spark: SparkSession, sf_dir: str, invert: bool) -> DataFrame:
     spec = InspectSpec(rules=(Rule(1, "fuzzy", FUZZY, threshold=FUZZY_MIN),), invert=invert)
-    return inspect_datagrams(T.plain_turns(spark, sf_dir), spec, ["id"]).select("id", *SPAN, "detail")
+    return inspect_datagrams(T.turns(spark, sf_dir), spec, ["id"]).select("id", *SPAN, "detail")
 
 
 @query(f"""WITH {FUZZY_SQL} SELECT id, 0 AS start_off, size AS end_off, size,
@@ -550,3 +554,43 @@ def printable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = regex_on_documents(spark, sf_dir, WORD)
     return hits.select("doc_id", F.hex(X.rendered(F.col("data"), "raw")).alias("raw"))
+
+
+# A rule for each two neighbouring words at every tenth place of a text, found in any text.
+PHRASES_SQL = """w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w), 10)) AS k, w FROM w),
+q AS (SELECT w[k] AS a, w[k + 1] AS b, CAST(min(doc_id * 4096 + k) AS INTEGER) AS rule_id FROM p
+  WHERE regexp_full_match(w[k], '[a-z]{3,}') AND regexp_full_match(w[k + 1], '[a-z]{3,}') GROUP BY 1, 2)"""
+
+
+def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule rows: even ids as regexes that go on to the end of the word, odd ones as byte patterns."""
+    words = T.table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    places = words.where(F.size("w") > 1).select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1, F.lit(10))).alias("k"))
+    pairs = places.select("doc_id", "k", F.element_at("w", F.col("k")).alias("a"), F.element_at("w", F.col("k") + 1).alias("b"))
+    plain = "^[a-z]{3,}$"
+    rules = pairs.where(F.col("a").rlike(plain) & F.col("b").rlike(plain)).groupBy("a", "b").agg(
+        F.min(F.col("doc_id") * 4096 + F.col("k")).cast("int").alias("rule_id"))
+    phrase, even = F.concat_ws(" ", "a", "b"), F.col("rule_id") % 2 == 0
+    return rules.select(
+        "rule_id", F.when(even, "regex").otherwise("bytesig").alias("mode"),
+        F.when(even, F.concat(phrase, F.lit("[a-z]*"))).otherwise(F.hex(F.encode(phrase, "UTF-8"))).alias("pattern"))
+
+
+@query(f"""WITH {PHRASES_SQL}, h AS (SELECT doc_id, rule_id, text, strlen(substr(text, 1, instr(text, a || ' ' || b) - 1)) AS start_off,
+  CASE WHEN rule_id % 2 = 0 THEN strlen(regexp_extract(text, a || ' ' || b || '[a-z]*')) END AS n
+FROM q JOIN documents ON contains(text, a || ' ' || b))
+SELECT doc_id, rule_id, start_off, coalesce(start_off + n, strlen(text)) AS end_off FROM h""")
+def rules_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of rules, made from the texts, over all of them."""
+    return rule_table.inspect_by_table(T.documents(spark, sf_dir), phrase_rules(spark, sf_dir), ["doc_id"]).select(
+        "doc_id", "rule_id", "start_off", "end_off")
+
+
+@query(f"""WITH {PHRASES_SQL}, h AS (SELECT doc_id, rule_id,
+  row_number() OVER (PARTITION BY doc_id ORDER BY rule_id % 2, rule_id) AS n FROM q JOIN documents ON contains(text, a || ' ' || b))
+SELECT doc_id, rule_id FROM h WHERE n = 1""")
+def rules_many_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of thousands of rules in each text: regexes before byte patterns, then by number."""
+    found = rule_table.inspect_by_table(T.documents(spark, sf_dir), phrase_rules(spark, sf_dir), ["doc_id"], first=True)
+    return found.select("doc_id", "rule_id")
