@@ -1,5 +1,6 @@
 """Headers, texts, rules on single buffers, options."""
 
+import random
 import struct
 
 import pytest
@@ -136,3 +137,23 @@ def test_display_filter_swaps_for_replies(spark):
         X.flow_filter(*cols, F.col("d")).alias("f")).collect()
     assert rows[0].f == "(ip.src == 1.1.1.1 and tcp.srcport == 4000) and (ip.dst == 2.2.2.2 and tcp.dstport == 80)"
     assert rows[1].f.startswith("(ip.src == 2.2.2.2 and tcp.srcport == 80)")
+
+
+def test_ratios_over_bytes(spark):
+    """Exact best ratios, with a threshold and without one, over any bytes."""
+    rng = random.Random(12)
+    for pattern in ("threating", "aab", "h\xe9lp me", "abcdefghijklmnopqrst"):
+        rows = []
+        for i in range(60):
+            text = [rng.choice("abcdefgthrein \xe9\xff\n") for _ in range(rng.choice((0, 2, 8, 30, 200)))]
+            if i % 3 == 0 and text:
+                at = rng.randrange(len(text))
+                text[at:at] = list(pattern)
+                for _ in range(rng.randint(0, 4)):
+                    text[rng.randrange(len(text))] = rng.choice("thx\xe9")
+            rows.append((i, "".join(text)))
+        df = spark.createDataFrame(rows, "i int, t string")
+        found = df.select("i", partial_ratio(F.col("t"), pattern), partial_ratio(F.col("t"), pattern, 70)).collect()
+        for i, exact, some in found:
+            want = ratio(rows[i][1], pattern)
+            assert exact == want and (some == want if want >= 70 else some is None or some < 70)

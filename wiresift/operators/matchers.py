@@ -8,7 +8,7 @@ relative to the buffer, ``whole`` marks spans that cover all of it.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,16 +56,19 @@ def allowed_edits(length: int, threshold: int) -> int:
     return math.floor(length * (100.5 - threshold) / 100 + 1e-9)
 
 
-def _segments(buf: Column, overlap: int, sizes: Sequence[int] = SEGMENTS) -> Column:
+def _segments(buf: Column, overlap: int, keep: Callable[[Column], Column] | None = None,
+              sizes: Sequence[int] = SEGMENTS) -> Column:
     """Array of short pieces covering ``buf``, each reaching ``overlap`` into the next.
 
     Taking text by position walks the text from its start, so positions are
-    resolved in a few steps, from long pieces to short ones.
+    resolved in a few steps, from long pieces to short ones. At each step only
+    the pieces that pass ``keep`` are taken further apart.
     """
     def cut_up(text: Column, size: int) -> Column:
         last = F.greatest(F.length(text) - overlap - 1, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last, F.lit(size)),
-                           lambda i: F.substring(text, i + 1, F.lit(size + overlap)))
+        pieces = F.transform(F.sequence(F.lit(0), last, F.lit(size)),
+                             lambda i: F.substring(text, i + 1, F.lit(size + overlap)))
+        return pieces if keep is None else F.filter(pieces, keep)
 
     def finer(pieces: Column, size: int) -> Column:
         return F.flatten(F.transform(pieces, lambda p: cut_up(p, size)))
@@ -76,11 +79,32 @@ def _segments(buf: Column, overlap: int, sizes: Sequence[int] = SEGMENTS) -> Col
     return pieces
 
 
-def _fewest_edits(text: Column, pattern: str) -> Column:
-    """Least edit distance of ``pattern`` to any part of ``text`` of the same length."""
-    return F.array_min(F.transform(
-        F.sequence(F.lit(1), F.length(text) - len(pattern) + 1),
-        lambda i: F.levenshtein(F.substring(text, i, F.lit(len(pattern))), F.lit(pattern))))
+def _fewest_edits(pieces: Column, pattern: str, most: int, pigeonhole: bool) -> Column:
+    """Least edit distance of ``pattern`` to any part of its length in ``pieces``, or ``most`` + 1 if none is within it.
+
+    A part is measured only if it can be better than the best so far: each of its
+    characters that the pattern lacks takes an edit. With ``pigeonhole``, one of the
+    pattern's pieces must also stand in it, at most ``most`` places from its own.
+    """
+    size, alphabet = len(pattern), "".join(sorted(set(pattern)))
+
+    def better(best: Column, part: Column) -> Column:
+        possible = F.length(F.translate(part, alphabet, "")) < best
+        if pigeonhole:
+            near = F.lit(False)
+            for low, piece in _pieces(pattern, most):
+                first = max(0, low - most)
+                around = F.substring(part, first + 1, min(size, low + len(piece) + most) - first)
+                near = near | around.contains(F.lit(piece))
+            possible = near & possible
+        found = F.call_function("levenshtein", part, F.lit(pattern), best - 1)
+        return F.when(possible, let(found, lambda d: F.when(d >= 0, d).otherwise(best))).otherwise(best)
+
+    def in_piece(best: Column, piece: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.length(piece) - size + 1), lambda i: F.substring(piece, i, F.lit(size)))
+        return F.aggregate(parts, best, better)
+
+    return F.aggregate(pieces, F.lit(most + 1), in_piece)
 
 
 def _percent(edits: Column, length: Column) -> Column:
@@ -94,10 +118,11 @@ def partial_ratio(buf: Column, pattern: str, threshold: int | None = None) -> Co
     null if all are.
     """
     size = len(pattern)
-    pieces = _segments(buf, size - 1)
-    if threshold is not None:
-        pieces = F.filter(pieces, lambda p: _has_piece(p, pattern, threshold))
-    slide = F.array_min(F.transform(pieces, lambda p: _fewest_edits(p, pattern)))
+    edits = size - 1 if threshold is None else min(size - 1, allowed_edits(size, threshold))
+    pigeonhole = edits + 1 < size
+    keep = (lambda p: _has_piece(p, pattern, edits)) if pigeonhole else None
+    fewest = _fewest_edits(_segments(buf, size - 1, keep), pattern, edits, pigeonhole)
+    slide = let(fewest, lambda d: F.when(d <= edits, d).otherwise(size if threshold is None or edits == size - 1 else None))
     short = F.array_min(F.transform(
         F.sequence(F.lit(1), F.lit(size + 1) - F.length(buf)),
         lambda i: F.levenshtein(F.substring(F.lit(pattern), i, F.length(buf)), buf)))
@@ -106,24 +131,25 @@ def partial_ratio(buf: Column, pattern: str, threshold: int | None = None) -> Co
             .otherwise(_percent(short, F.length(buf))))
 
 
-def _has_piece(text: Column, pattern: str, threshold: int) -> Column:
-    """Whether ``text`` can hold a part within the allowed edits of ``pattern``.
-
-    At least one of (edits + 1) pieces of the pattern must occur unchanged.
-    """
-    edits = allowed_edits(len(pattern), threshold)
-    if edits + 1 > len(pattern):
-        return F.lit(True)
+def _pieces(pattern: str, edits: int) -> list[tuple[int, str]]:
+    """(place, text) of ``edits`` + 1 pieces of a pattern: one of them survives so many edits."""
     cuts = [round(i * len(pattern) / (edits + 1)) for i in range(edits + 2)]
+    return [(a, pattern[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _has_piece(text: Column, pattern: str, edits: int) -> Column:
+    """Whether ``text`` can hold a part within ``edits`` of ``pattern``."""
     some = F.lit(False)
-    for piece in sorted({pattern[a:b] for a, b in zip(cuts, cuts[1:])}):
+    for piece in sorted({p for _, p in _pieces(pattern, edits)}):
         some = some | text.contains(F.lit(piece))
     return some
 
 
 def maybe_fuzzy(buf: Column, rule: Rule) -> Column:
     """Cheap test that keeps every buffer able to reach the threshold."""
-    return (F.length(buf) < len(rule.byte_pattern)) | _has_piece(buf, rule.byte_pattern, rule.threshold)
+    pattern = rule.byte_pattern
+    edits = allowed_edits(len(pattern), rule.threshold)
+    return F.lit(True) if edits + 1 >= len(pattern) else (F.length(buf) < len(pattern)) | _has_piece(buf, pattern, edits)
 
 
 def fuzzy_hit(buf: Column, rule: Rule, invert: bool = False) -> Column:

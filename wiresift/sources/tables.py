@@ -58,12 +58,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.lit("STC").alias("direction"), utf8("html").alias("payload"))
 
 
-def plain_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as datagrams, with only their printable ASCII and line feeds."""
-    plain = F.regexp_replace("text", r"[^ -~\n]", "")
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as datagrams."""
     return table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("CTS").alias("direction"),
-        F.encode(plain, "UTF-8").alias("payload"))
+        utf8("text").alias("payload"))
 
 
 def _client() -> Column:
