@@ -556,21 +556,21 @@ def raw_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.hex(X.rendered(F.col("data"), "raw")).alias("raw"))
 
 
-# A rule for each two neighbouring words at every tenth place of a text, found in any text.
-PHRASES_SQL = """w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
-p AS (SELECT doc_id, unnest(range(1, len(w), 10)) AS k, w FROM w),
-q AS (SELECT w[k] AS a, w[k + 1] AS b, CAST(min(doc_id * 4096 + k) AS INTEGER) AS rule_id FROM p
+# A rule for each two neighbouring words of the benchmark's texts.
+PHRASES_SQL = """w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+p AS (SELECT item_id, unnest(range(1, len(w))) AS k, w FROM w),
+q AS (SELECT w[k] AS a, w[k + 1] AS b, CAST(min(item_id * 4096 + k) AS INTEGER) AS rule_id FROM p
   WHERE regexp_full_match(w[k], '[a-z]{3,}') AND regexp_full_match(w[k + 1], '[a-z]{3,}') GROUP BY 1, 2)"""
 
 
 def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule rows: even ids as regexes that go on to the end of the word, odd ones as byte patterns."""
-    words = T.table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
-    places = words.where(F.size("w") > 1).select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1, F.lit(10))).alias("k"))
-    pairs = places.select("doc_id", "k", F.element_at("w", F.col("k")).alias("a"), F.element_at("w", F.col("k") + 1).alias("b"))
+    words = T.table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("w"))
+    places = words.where(F.size("w") > 1).select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
+    pairs = places.select("item_id", "k", F.element_at("w", F.col("k")).alias("a"), F.element_at("w", F.col("k") + 1).alias("b"))
     plain = "^[a-z]{3,}$"
     rules = pairs.where(F.col("a").rlike(plain) & F.col("b").rlike(plain)).groupBy("a", "b").agg(
-        F.min(F.col("doc_id") * 4096 + F.col("k")).cast("int").alias("rule_id"))
+        F.min(F.col("item_id") * 4096 + F.col("k")).cast("int").alias("rule_id"))
     phrase, even = F.concat_ws(" ", "a", "b"), F.col("rule_id") % 2 == 0
     return rules.select(
         "rule_id", F.when(even, "regex").otherwise("bytesig").alias("mode"),
@@ -582,7 +582,7 @@ def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM q JOIN documents ON contains(text, a || ' ' || b))
 SELECT doc_id, rule_id, start_off, coalesce(start_off + n, strlen(text)) AS end_off FROM h""")
 def rules_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thousands of rules, made from the texts, over all of them."""
+    """A rule for each phrase of the benchmark, over all documents."""
     return rule_table.inspect_by_table(T.documents(spark, sf_dir), phrase_rules(spark, sf_dir), ["doc_id"]).select(
         "doc_id", "rule_id", "start_off", "end_off")
 
