@@ -4,8 +4,8 @@ import corpus_pipeline
 from tests.llm.helpers import awkward, clashing
 from tests.llm.test_line_dedup import distance
 from tests.llm.test_packing import check_places
-from tests.llm.test_simhash import slow_classes, slow_fingerprint
-from wiresift.llm import line_dedup, quality
+from tests.llm.test_wide_simhash import components, slow_links
+from wiresift.llm import line_dedup, quality, wide_simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,14 +43,15 @@ def test_stages(spark):
         if len(kept) == len(text.split("\n")) or "".join(kept).strip():
             left[i] = "\n".join(kept)
 
-    prints = {i: slow_fingerprint(t) for i, t in left.items()}
-    label = slow_classes(sorted(set(prints.values())))
-    chosen = {}
-    for i in sorted(prints):
-        chosen.setdefault(label[prints[i]], i)
+    ids = sorted(left)
+    want = components(len(ids), slow_links([left[i] for i in ids], wide_simhash.SIMILAR))
+    chosen = {ids[w] for w in want}
 
     rows = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in rows} == set(chosen.values())
+    got = {r.doc_id for r in rows}
+    # No class loses its last document, and of the near copies nine in ten at least go.
+    assert chosen <= got <= set(ids)
+    assert len(got - chosen) <= 0.1 * (len(ids) - len(chosen))
     check_places(rows)
 
 
