@@ -70,3 +70,40 @@ def test_furniture_words_on_articles_and_modifiers():
     assert html_extract.extract(nested) == p
     assert html_extract.extract(f'<div class="sidebar"><main>{PARAGRAPH}</main>No</div><p>x</p>') == p
     assert html_extract.extract(f'<div class="sidebar-layout"><article>{PARAGRAPH}</article></div>') == p
+
+
+LINKS = "".join(f"<li><a href=/{i}>Another story number {i}</a></li>" for i in range(30))
+
+
+def counter_examples():
+    p = " ".join(PARAGRAPH.split())
+    para = f"<p>{PARAGRAPH}</p>"
+    yield f'<article>{para}<div class="more-links"><ul>{LINKS}</ul></div>{para}</article>', f"{p} {p}"
+    yield f'<div class="content">{para}{para}</div><div class="responses">{para}<p>Nice one!</p></div>', f"{p} {p}"
+    yield f'<article>{para}<section id="related-work"><h2>Work</h2>{para}</section><section class="search-results">{para}</section><p>End.</article>', \
+        f"{p} Work {p} {p} End."
+    yield f'<article>{para}<p class="social">On social life.</p><p id="notice">{PARAGRAPH}</p>{para}</article>', f"{p} On social life. {p} {p}"
+    yield f"<main><ul>{LINKS}</ul>{para}{para}</main>", f"{p} {p}"
+    teasers = "".join(f'<article><h3><a href=/{i}>Story {i}</a></h3><p>What it is about, in a sentence.</p></article>' for i in range(10))
+    yield f'<article>{para}{para}</article><div class="more">{teasers}</div>', f"{p} {p}"
+    yield f'<article>{para}<div class="related"><h3>Related</h3>{para}</div><div class="search-box">Find {PARAGRAPH}</div></article>', p
+    yield f'<article>{para}<div class="login-terms"><a href=1>Log in</a> <a href=2>Sign up</a> <a href=3>Help</a></div></article>', p
+    yield f'<article>{para}<ul><li>First point, with a <a href=x>link</a> in it.<li>Second point of the list.</ul><div><h2>Part</h2></div>{para}</article>', \
+        f"{p} First point, with a link in it. Second point of the list. Part {p}"
+
+
+def test_regions_by_ratio_and_names_by_doubt():
+    for page, want in counter_examples():
+        assert html_extract.extract(f"<html><body>{page}</body></html>") == want, page[:80]
+
+
+def test_the_ratios_decide(monkeypatch):
+    """With the threshold out of reach of any text, lists of links stay and other pages change."""
+    pages = [f"<html><body>{page}</body></html>" for page, _ in counter_examples()]
+    before = [html_extract.extract(p) for p in pages]
+    monkeypatch.setattr(html_extract, "_threshold", lambda values: -1.0)
+    assert sum(a != html_extract.extract(p) for a, p in zip(before, pages, strict=True)) >= 2
+
+
+def test_a_page_of_links():
+    assert html_extract.extract(f"<body><ul>{LINKS}</ul></body>").startswith("Another story number 0 Another")
