@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -100,3 +101,16 @@ def test_query(spark, library):
         ids = np.array(library.encode(table[r.doc_id]), "<u4")
         assert (r.n_ids, r.ids_crc32, r.n_chars) == (len(ids), zlib.crc32(ids.tobytes()), len(table[r.doc_id]))
         assert r.same and r.decoded_sha256 == hashlib.sha256(table[r.doc_id].encode()).hexdigest()
+
+
+def test_long_unbroken_texts(library, mine):
+    """A million characters without a space in seconds, in a window that does not grow."""
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    begin = time.perf_counter()
+    ids = mine.encode(text)
+    assert time.perf_counter() - begin < 120
+    assert mine._search.most_held <= codec.SLICE + 6 * mine.longest
+    assert numbers(mine.encode(text[:30_000])) == library.encode(text[:30_000])
+    assert mine.decode(ids) == text
+    assert mine.decode(mine.encode("a" * 50_000)) == "a" * 50_000

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import random
 import zlib
 
 import __spark_entry__ as entry
@@ -88,3 +89,20 @@ def test_query(spark):
         same = min(q.page_id for q in pages if q.html == p.html)
         assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", same) if len(data) >= 100 and same != p.page_id else ("response", None))
+
+
+def test_files_roll_by_bytes(spark):
+    """Large records have files of their own; none holds more than it may."""
+    rng = random.Random(7)
+    sizes = [100, 3000, 70_000, 900_000, 1_100_000, 20_000_000] * 3
+    rows = [(i, "u", "".join(rng.choices("abcdefgh", k=n // 100)) * 100, "d", 0) for i, n in enumerate(sizes)]
+    folder = warc.archive_folder(spark)
+    warc.write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1), folder, file_bytes=4 << 20)
+    held = []
+    for r in spark.read.format("binaryFile").load(folder).select("content").collect():
+        records = list(warc.read_records(bytes(r.content)))
+        held.append((len(records), sum(len(x.payload) for x in records)))
+    assert sum(n for n, _ in held) == len(rows)
+    assert all(n == 1 or size <= 4 << 20 for n, size in held) and max(n for n, _ in held) > 1
+    back = {r.page_id: r.payload_bytes for r in warc.read_archives(spark, folder, payloads=False).collect()}
+    assert back == {i: len(h) for i, _, h, _, _ in rows}

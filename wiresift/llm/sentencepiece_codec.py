@@ -31,6 +31,8 @@ SPACE = "▁"
 UNKNOWN_COST = 10.0
 #: Remembered words of a worker; at the bound it forgets all and goes on.
 MEMO = 1_500_000
+#: Characters that the search takes at a time.
+SLICE = 256
 #: Remembered answers on neighbouring pieces.
 PAIRS = 1_000_000
 
@@ -169,7 +171,10 @@ class Codec:
     def _ids(self, text: str) -> bytes:
         if not hasattr(self, "_search"):
             self._search = self.stream()
-        out = self._search.push(text)
+        # In slices, so that the window stays as small as the pieces allow, however long the stretch.
+        out: list[int] = []
+        for at in range(0, len(text), SLICE):
+            out += self._search.push(text[at:at + SLICE])
         out += self._search.finish()
         return struct.pack(f"<{len(out)}I", *out)
 

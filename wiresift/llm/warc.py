@@ -24,6 +24,10 @@ from wiresift.session import checkpoint_dir, cut
 
 MIN_REVISIT_BYTES = 100
 RECORDS_PER_FILE = 1000
+#: Payload bytes of a file, at most, but for a file of one record.
+FILE_BYTES = 64 << 20
+#: Records are dealt into files by size: those up to the first of these bytes together, and so on.
+SIZES = (1 << 16, 1 << 20, 1 << 24)
 DATE = "2024-01-01T00:00:00Z"
 READ = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -82,17 +86,38 @@ def with_types(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFram
         F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Archives of ``pages`` (page_id, url, html) in the folder ``path``, a file per so many records."""
+def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE,
+                   file_bytes: int = FILE_BYTES) -> None:
+    """Archives of ``pages`` (page_id, url, html) in the folder ``path``.
+
+    A file holds at most ``records_per_file`` records and ``file_bytes`` bytes of
+    payload, or one larger record: records of different sizes go to files of their own,
+    with so many records each as their size allows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 128):
-            members = [member(record(**row))[:-1] for row in batch.rename_columns(
-                ["page_id", "url", "payload", "digest", "payload_bytes", "refers_to"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
-
-    # The writer ends each row with the separator: here the zero byte that ends a member.
-    with_types(pages).mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option(
-        "lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                # Few records at once where they are large.
+                rows = 128 if batch.column(4)[at].as_py() <= SIZES[0] else 1
+                part = batch.slice(at, rows)
+                members = [member(record(**row))[:-1] for row in part.rename_columns(
+                    ["page_id", "url", "payload", "digest", "payload_bytes", "refers_to"]).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
+                at += part.num_rows
+
+    typed, size = with_types(pages), F.col("payload_bytes")
+    largest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    low = -1
+    for high in (*SIZES, None):
+        some = typed.where((size > low) if high is None else (size > low) & (size <= high))
+        records = 1 if high is None else max(1, min(records_per_file, file_bytes // high))
+        # The writer ends each row with the separator: here the zero byte that ends a member.
+        some.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option(
+            "lineSep", "\0").option("maxRecordsPerFile", records).mode("append").text(path)
+        low = high
+        if high is None or largest <= high:
+            break
 
 
 @dataclass
