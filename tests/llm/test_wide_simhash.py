@@ -38,7 +38,7 @@ def test_fingerprint():
         seed = similar.mixed(np.array([w + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         ones[64 * w:64 * w + 64] = np.unpackbits(similar.mixed(shingles ^ seed).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
     bits = 2 * ones > len(shingles)
-    assert parts.tolist() == [sum(int(bits[24 * i + b]) << b for b in range(24)) for i in range(16)]
+    assert parts.tolist() == [sum(int(bits[48 * i + b]) << b for b in range(48)) for i in range(8)]
 
 
 def test_cells_meet_all_within_a_step(spark):
@@ -46,10 +46,11 @@ def test_cells_meet_all_within_a_step(spark):
     for _ in range(300):
         a = [rng.randrange(1 << 24) for _ in range(16)]
         b = [x ^ sum(1 << k for k in rng.sample(range(24), rng.choice((0, 1, 2, 2, 3, 3)))) for x in a]
-        rows.append((a, b, sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)), min((x ^ y).bit_count() for x, y in zip(a, b, strict=True))))
+        rows.append((*([x[i] | x[i + 1] << 24 for i in range(0, 16, 2)] for x in (a, b)), sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)), min((x ^ y).bit_count() for x, y in zip(a, b, strict=True))))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, far int, near int").withColumn("id", F.monotonically_increasing_id()).cache()
-    met = df.select("id", F.col("a").alias("sig")).select("id", F.explode(wide_simhash.keys()).alias("key")).join(
-        df.select("id", F.col("b").alias("sig")).select("id", F.explode(wide_simhash.keys()).alias("key")), ["id", "key"]).join(df, "id")
+    a, b = (df.select("id", F.col(x).alias("sig")).select("id", F.explode(wide_simhash.keys()).alias("k")).select(
+        "id", (F.col("k") % similar.HOME).alias("key"), (F.col("k") >= similar.HOME).alias(f"home_{x}")) for x in "ab")
+    met = a.join(b, ["id", "key"]).where("home_a OR home_b").join(df, "id")
     first = met.groupBy("id").agg(F.count_if(wide_simhash._first(F.col("a"), F.col("b"), F.col("key"))).alias("n"))
     for r in df.join(first, "id", "left").select("*", wide_simhash.distance(F.col("a"), F.col("b")).alias("d")).collect():
         assert r.d == r.far and (r.near > 1 or r.n == 1)

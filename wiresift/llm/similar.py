@@ -31,6 +31,8 @@ from wiresift.session import cut
 
 #: Longs of a bit map.
 MAP = 4
+#: What a key carries where its node is at home.
+HOME = 1 << 62
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,7 +41,8 @@ class Signature:
     """How sets are signed, and how signatures, arrays of longs, meet and compare."""
 
     sign: Callable[[np.ndarray], np.ndarray]
-    #: The keys, distinct longs, of the column ``sig``.
+    #: The keys, distinct longs below ``HOME``, of the column ``sig``. Of two that meet one must be at home, with
+    #: ``HOME`` added to its key.
     keys: Callable[[], Column]
     #: Whether two signatures are near enough to be confirmed.
     near: Callable[[Column, Column], Column]
@@ -174,9 +177,12 @@ def links(nodes: DataFrame, docs: DataFrame, how: Signature, similar: int, shing
     Each pair that shares a key, is near and has the resemblance is given, or joined
     through others that are.
     """
-    filed = nodes.select("node", F.explode(how.keys()).alias("key"))
+    filed = nodes.select("node", F.explode(how.keys()).alias("key")).select(
+        "node", F.col("key").bitwiseAND(F.lit(HOME - 1)).alias("key"), (F.col("key") >= HOME).alias("home"))
     # One plan at all sizes: keys are as many as nodes allow, and both sides of this join are shuffled.
-    shared = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = filed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")) \
+        .where("n > 1 AND homes > 0").select("key", "n")
+    filed = filed.select("node", "key")
     met = cut(filed.join(shared.hint("merge"), "key"))
     # The node that meets most others, in all its groups, is the hub of each.
     weight = cut(met.groupBy("node").agg(F.sum("n").alias("weight")))
@@ -238,7 +244,8 @@ def classes(docs: DataFrame, how: Signature, similar: int, shingle: int) -> Data
     row without words has itself alone, and neither node nor root.
     """
     rows = cut(signed(docs, how, shingle))
-    nodes = cut(nodes_of(rows))
+    # Each node gives many keys: so it is dealt into as many tasks as these need.
+    nodes = cut(nodes_of(rows).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     roots = cut(components(links(nodes, docs, how, similar, shingle)))
     rooted = nodes.join(small(roots), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("least"))
