@@ -209,6 +209,30 @@ def test_fragment_ids_used_again_at_once(spark):
     assert got == {10 * n: (b"%08dabcdefghend" % n, START) for n in range(6)}
 
 
+@pytest.mark.parametrize("block", [None, 7])
+def test_one_fragment_id_used_throughout(spark, block):
+    """One id for thousands of datagrams: silence and completeness tell them apart, in stretches of their own."""
+    rng, rows, want, seq, at = random.Random(9), [], [], 0, START
+    for n in range(120):
+        pieces = [b"%04d" % n + bytes([65 + i]) * 4 for i in range(rng.randint(2, 4))]
+        parts = [(8 * i, int(i < len(pieces) - 1), p) for i, p in enumerate(pieces)]
+        rng.shuffle(parts)
+        whole = n % 4 != 3
+        if not whole:
+            parts = parts[1:]  # given up after the silence that follows
+        for part in parts + parts[:1] * (n % 5 == 1 and len(parts) > 2 and parts[0] in parts[1:]):
+            rows.append(("a", "b", 17, 1, seq, at, *part))
+            seq += 1
+        if whole:
+            want.append(b"".join(pieces))
+        at += dt.timedelta(seconds=1 if whole else 45)
+    df = spark.createDataFrame(rows, "src string, dst string, proto int, ip_id int, pkt_seq long, ts timestamp, "
+                                     "frag_off int, more_frags int, payload binary")
+    got = assembly.defragment(df, rows_per_block=block).collect()
+    assert sorted(bytes(r.payload) for r in got) == sorted(want)
+    assert assembly._uses(df, 30.0, block).select("_stretch").distinct().count() == 30
+
+
 def windows(n, hits, post):
     """Packet numbers 1..n -> extract number, collecting anew after each quota."""
     out, pending, number, cut = {}, [], 1, None

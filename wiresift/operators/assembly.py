@@ -145,39 +145,45 @@ def with_payload(ranges: DataFrame, packets: DataFrame) -> DataFrame:
 FRAGMENT_KEY = ["src", "dst", "proto", "ip_id"]
 
 
-def _uses(parts: DataFrame, timeout: float) -> DataFrame:
-    """(pkt_seq, use): which of the datagrams that reuse an id a fragment belongs to.
+def _uses(parts: DataFrame, timeout: float, rows_per_block: int | None) -> DataFrame:
+    """(pkt_seq, _stretch, _use): which of the datagrams that reuse an id a fragment belongs to.
 
-    A use ends when its bytes are complete, or after ``timeout`` seconds of
-    silence. Fragments of an id are walked in order of arrival; all that is kept
-    of them is which bytes the current use has.
+    A use ends when its bytes are complete, or after ``timeout`` seconds of silence.
+    An id's fragments are cut at such silent gaps first, by running sums that no hot id
+    piles into one task. Each stretch is then walked in order of arrival; all that is
+    kept of it is which bytes the current use has.
     """
-    order = [*FRAGMENT_KEY, "pkt_seq", "at", "frag_off", "len", "more_frags"]
+    heads = parts.select(
+        *FRAGMENT_KEY, F.col("pkt_seq").cast("long").alias("pkt_seq"), F.col("ts").cast("double").alias("at"),
+        "frag_off", F.octet_length("payload").alias("len"), "more_frags")
+    block = block_of(F.col("pkt_seq"), rows_per_block)
+    before = running(heads, FRAGMENT_KEY, ["pkt_seq"], block, [
+        Running("_last", "max", F.when(F.col("at").isNotNull(), F.struct("pkt_seq", "at")), inclusive=False)])
+    silent = F.coalesce(F.col("at") - F.col("_last.at") > timeout, F.lit(False))
+    stretches = running(before.withColumn("_gap", silent.cast("bigint")), FRAGMENT_KEY, ["pkt_seq"], block, [
+        Running("_stretch", "sum", F.col("_gap"))])
+    group = [*FRAGMENT_KEY, "_stretch"]
+    order = [*group, "pkt_seq", "frag_off", "len", "more_frags"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, use, last, have, total = None, 0, None, [], None
+        now, use, have, total = None, 0, [], None
         for batch in batches:
             out = []
-            for *key, seq, at, low, size, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, seq, low, size, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
-                    now, use, last, have, total = key, 0, None, [], None
-                elif last is not None and at is not None and at - last > timeout or _covers(have, total):
+                    now, use, have, total = key, 0, [], None
+                elif _covers(have, total):
                     use, have, total = use + 1, [], None
-                last = at
                 have = _joined_ranges([*have, (low, low + size)])
                 if not more:
                     total = low + size
-                out.append((seq, use))
+                out.append((seq, key[-1], use))
             if out:
-                seqs, uses = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seqs, pa.int64()), pa.array(uses, pa.int64())], names=["pkt_seq", "_use"])
+                    [pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["pkt_seq", "_stretch", "_use"])
 
-    heads = parts.select(
-        *FRAGMENT_KEY, F.col("pkt_seq").cast("long").alias("pkt_seq"), F.col("ts").cast("double").alias("at"),
-        "frag_off", F.octet_length("payload").alias("len"), "more_frags").select(*order)
-    return heads.repartition(*FRAGMENT_KEY).sortWithinPartitions(*FRAGMENT_KEY, "pkt_seq").mapInArrow(
-        walk, "pkt_seq long, _use long")
+    return stretches.select(*order).repartition(*group).sortWithinPartitions(*group, "pkt_seq").mapInArrow(
+        walk, "pkt_seq long, _stretch long, _use long")
 
 
 def _joined_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -194,7 +200,8 @@ def _covers(have: list[tuple[int, int]], total: int | None) -> bool:
     return total is not None and bool(have) and have[0][0] == 0 and have[0][1] >= total
 
 
-def defragment(packets: DataFrame, timeout: float = FRAGMENT_TIMEOUT) -> DataFrame:
+def defragment(packets: DataFrame, timeout: float = FRAGMENT_TIMEOUT,
+               rows_per_block: int | None = PACKETS_PER_BLOCK) -> DataFrame:
     """Whole datagrams: complete packets as they are, fragments merged.
 
     Fragments meet by (src, dst, proto, ip_id). An id stands for another datagram
@@ -204,16 +211,17 @@ def defragment(packets: DataFrame, timeout: float = FRAGMENT_TIMEOUT) -> DataFra
     other columns of its earliest fragment.
     """
     key = FRAGMENT_KEY
+    use = ["_stretch", "_use"]
     extra = [c for c in packets.columns if c not in {*key, "pkt_seq", "payload", "frag_off", "more_frags"}]
     lone = (F.col("frag_off") == 0) & (F.col("more_frags") == 0)
     whole = packets.filter(lone).select(*key, "pkt_seq", "payload", *extra)
     parts = packets.filter(~lone)
-    parts = parts.join(_uses(parts, timeout), "pkt_seq")
+    parts = parts.join(_uses(parts, timeout, rows_per_block), "pkt_seq")
     others = F.struct(*extra) if extra else F.lit(None)
-    single = parts.groupBy(*key, "_use", "frag_off", F.octet_length("payload").alias("len")).agg(
+    single = parts.groupBy(*key, *use, "frag_off", F.octet_length("payload").alias("len")).agg(
         F.min_by("payload", "pkt_seq").alias("payload"), F.min("more_frags").alias("more_frags"),
         F.min("pkt_seq").alias("pkt_seq"), F.min_by(others, "pkt_seq").alias("others"))
-    grouped = single.groupBy(*key, "_use").agg(
+    grouped = single.groupBy(*key, *use).agg(
         F.sort_array(F.collect_list(F.struct("frag_off", "len", "payload"))).alias("parts"),
         F.max(F.when(F.col("more_frags") == 0, F.col("frag_off") + F.col("len"))).alias("total"),
         F.min("pkt_seq").alias("pkt_seq"), F.min_by("others", "pkt_seq").alias("others"))
