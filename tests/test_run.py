@@ -121,3 +121,37 @@ def test_fragments_are_merged_before_flows(spark):
     lines = [r.line2 for r in run.report().orderBy("found_at").collect()]
     assert len(lines) == 2 and lines[0].startswith("[MATCH] (00000001/00000001)") and "[14:20] (6B)" in lines[0]
     assert [bytes(r.content) for r in run.payloads().collect()] == [b"needleneedle"]
+
+
+def test_display_modes(spark):
+    """Each mode shows the matches it should, clipped or piece by piece."""
+    rules = (Rule(1, pattern="needle"),)
+    modes = ("quiet", "meta", "hex", "print", "raw")
+    run = inspect(decoded(spark), InspectSpec(rules=rules, multi_match=True, output_modes=modes, max_disp_bytes=4))
+    rows = {(r.proto, r.direction, r.match_no): r for r in run.displayed().collect()}
+    assert set(rows) == {("TCP", "CTS", 1), ("TCP", "STC", 1), ("UDP", "CTS", 1), ("UDP", "STC", 1)}
+    for r in rows.values():
+        assert (bytes(r.raw), r.print, r.piece_off) == (b"need", "need", 0) and r.hex.startswith("00000000") and "6e 65 65 64" in r.hex
+        assert r.meta[0].startswith("[MATCH]") and "] - 6B" in r.quiet
+    whole = inspect(decoded(spark), InspectSpec(rules=rules, multi_match=True, output_modes=("raw",)))
+    got = sorted((r.proto, r.direction, r.piece_off, bytes(r.raw)) for r in whole.displayed().collect())
+    assert got == [("TCP", "CTS", 0, b"needle"), ("TCP", "STC", 0, b"nee"), ("TCP", "STC", 3, b"dle"),
+                   ("UDP", "CTS", 0, b"needle"), ("UDP", "STC", 0, b"needle")]
+    few = InspectSpec(rules=rules, multi_match=True, output_modes=("quiet",), max_disp_streams=1, max_disp_datagrams=1)
+    assert [r.quiet for r in inspect(decoded(spark), few).displayed().collect()] == [
+        "matches 'needle' @ [10:16] - 6B", "matches 'needle' @ [4:10] - 6B"]
+
+
+def test_chunk_limit_and_whole_flows(spark):
+    run = inspect(decoded(spark), InspectSpec(rules=(Rule(1, pattern="nee"),), multi_match=True, max_chunks=2))
+    assert sorted((r.direction, r.start_off) for r in run.matches.filter("proto = 'TCP'").collect()) == [("CTS", 6), ("CTS", 10)]
+    assert inspect(decoded(spark), InspectSpec(rules=(Rule(1, pattern="needle"),), max_chunks=1)).matches.filter("proto = 'TCP'").count() == 0
+    both = inspect(decoded(spark), InspectSpec(rules=(Rule(1, pattern="needle"),), extract=True, post_packets=1))
+    assert {r.pkt_no for r in both.extracted().filter("proto = 'TCP'").collect()} == set(range(1, 11))
+
+
+def test_datagram_matches_are_numbered(spark):
+    run = inspect(decoded(spark, [*conversation(), udp((b"\x0a\0\0\x08", 9000), (b"\x0a\0\0\x07", 53), b"last needle")]),
+                  InspectSpec(rules=(Rule(1, pattern="needle"),)))
+    udp_rows = run.matches.filter("proto = 'UDP'").orderBy("found_at").collect()
+    assert [(r.direction, r.match_no) for r in udp_rows] == [("CTS", 1), ("STC", 1), ("CTS", 2)]

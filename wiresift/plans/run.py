@@ -11,7 +11,7 @@ from wiresift.functions import text
 from wiresift.functions.headers import TCP, UDP, decode_packets
 from wiresift.operators import annotate, assembly, extract, flows, scope, summary
 from wiresift.operators.datagrams import inspect_datagrams
-from wiresift.operators.scan import Running, block_of, block_rows, running
+from wiresift.operators.scan import Running, block_of, block_rows, numbered, running
 from wiresift.operators.streams import inspect_streams, line_mode
 from wiresift.session import cut
 from wiresift.sources import sinks
@@ -60,6 +60,34 @@ class Inspection:
         tcp = self.matches.filter(F.col("proto") == "TCP")
         return annotate.match_pieces(tcp, self.chunks, STREAM, [*STREAM, "match_no"])
 
+    def displayed(self) -> DataFrame:
+        """The displayed matches in the forms that ``output_modes`` asks for.
+
+        (proto, flow_id, direction, match_no, found_at, piece_off), and for each mode:
+        ``quiet`` the one line, ``meta`` the two lines, ``hex``, ``print`` and ``raw`` the
+        bytes. With ``max_disp_bytes``, a match is one row with so many bytes at most.
+        Without it a match may be as long as its stream, so it has a row for each piece
+        of the stream, from which its bytes begin at ``piece_off``.
+        """
+        match = ["proto", *STREAM, "match_no"]
+        most = self.spec.max_disp_bytes
+        lines = self._report()
+        pieces = self._pieces()
+        if most:
+            near = pieces.filter(F.col("piece_off") < most).withColumn(
+                "data", F.substring("data", F.lit(1), (F.lit(most) - F.col("piece_off")).cast("int")))
+            joined = near.groupBy(*match).agg(
+                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_off", "data"))),
+                                         lambda p: F.hex(p["data"])), "").alias("_hex"))
+            pieces = joined.select(*match, F.lit(0).cast("bigint").alias("piece_off"), F.unhex("_hex").alias("data"))
+        shown = lines.join(pieces, match, "left")
+        forms = {"quiet": F.col("quiet"), "meta": F.array("line1", "line2"),
+                 **{m: text.rendered(F.col("data"), m) for m in ("hex", "print", "raw")}}
+        if not {"hex", "print", "raw"} & set(self.spec.output_modes):
+            shown = lines.withColumn("piece_off", F.lit(0).cast("bigint"))
+        return shown.select(*match, "found_at", F.coalesce("piece_off", F.lit(0).cast("bigint")).alias("piece_off"),
+                            *(forms[m].alias(m) for m in self.spec.output_modes))
+
     def report(self) -> DataFrame:
         """The two report lines of each match: (proto, flow_id, direction, match_no, found_at, line1, line2).
 
@@ -67,6 +95,9 @@ class Inspection:
         datagram; the chunks of a stream count up to its first match, unless all are
         sought. Display limits hold back later matches.
         """
+        return self._report().drop("quiet")
+
+    def _report(self) -> DataFrame:
         flow = self.flow_table.select(
             "proto", F.col("open_seq").alias("flow_id"), "flow_no", "proto_no", "client", "cport", "server", "sport")
         order = ["found_at", "start_off"]
@@ -106,19 +137,24 @@ class Inspection:
                 first, last)
 
         made = F.when(F.col("first_pkt").isNull(), lines(None, None)).otherwise(lines(F.col("first_pkt"), F.col("last_pkt")))
+        quiet = text.quiet_line(F.col("pattern"), F.col("match_start"), F.col("end_off"), F.col("size"))
         return shown.withColumn("_lines", made).select(
             "proto", *STREAM, "match_no", "found_at", F.get("_lines", F.lit(0)).alias("line1"),
-            F.get("_lines", F.lit(1)).alias("line2"))
+            F.get("_lines", F.lit(1)).alias("line2"), quiet.alias("quiet"))
 
-    def payloads(self) -> DataFrame:
-        """Matched bytes per flow direction, in parts: (proto, flow_id, direction, part_no, content)."""
+    def _pieces(self) -> DataFrame:
+        """(proto, flow_id, direction, match_no, piece_off, data) of all matches."""
         tcp = self.matched_bytes().withColumn("proto", F.lit("TCP"))
         grams = self.datagrams.select(F.col("pkt_seq").alias("found_at"), "payload")
         udp = self.matches.filter(F.col("proto") == "UDP").join(grams, "found_at").select(
             *STREAM, "match_no", F.lit(0).cast("bigint").alias("piece_off"),
             F.substring("payload", (F.col("start_off") + 1).cast("int"), F.col("size").cast("int")).alias("data"),
             F.lit("UDP").alias("proto"))
-        return sinks.payload_log(tcp.unionByName(udp), ["proto", *STREAM], ["match_no", "piece_off"],
+        return tcp.unionByName(udp)
+
+    def payloads(self) -> DataFrame:
+        """Matched bytes per flow direction, in parts: (proto, flow_id, direction, part_no, content)."""
+        return sinks.payload_log(self._pieces(), ["proto", *STREAM], ["match_no", "piece_off"],
                                  block_of(F.col("match_no"), self.rows))
 
     def captures(self, raw: DataFrame) -> DataFrame:
@@ -136,7 +172,7 @@ class Inspection:
         post = self.spec.post_packets
         if self.spec.linemode:
             return extract.flows_with_data(self.packets, FLOW)
-        if post is None:
+        if self.spec.extract or post is None:
             return extract.extract_all(self.packets, self.matches, FLOW)
         tcp = self.packets.filter(F.col("proto") == "TCP")
         udp = self.packets.filter(F.col("proto") == "UDP")
@@ -175,7 +211,8 @@ def inspect(packets: DataFrame, spec: InspectSpec, idle_seconds: float | None =
         F.col("len").cast("bigint").alias("len")).filter(F.col("isn").isNotNull())
     ranges = cut(assembly.assemble(scope.needed_directions(segments, spec), rows_per_block=rows))
     # Read several times: searched, annotated and logged.
-    chunks = cut(assembly.with_payload(ranges, bytes_))
+    delivered = assembly.with_payload(ranges, bytes_)
+    chunks = cut(scope.limit_chunks(delivered, spec.max_chunks, ("delivered_at", "start_off")))
 
     numbers = index.select("pkt_seq", "pkt_no").unionByName(pairs.select("pkt_seq", "pkt_no"))
     datagrams = pairs.withColumn("flow_id", F.col("open_seq"))
@@ -186,8 +223,8 @@ def inspect(packets: DataFrame, spec: InspectSpec, idle_seconds: float | None =
         found = inspect_streams(chunks, spec)
         at = ranges.select("flow_id", "chunk_no", F.col("delivered_at").alias("found_at"))
         tcp_matches = found.join(at, ["flow_id", "chunk_no"])
-        udp_matches = inspect_datagrams(datagrams, spec, ["flow_id", "direction", "pkt_seq", "pkt_no"]).withColumns({
-            "found_at": F.col("pkt_seq"), "match_no": F.col("pkt_no")})
+        hits = inspect_datagrams(datagrams, spec, ["flow_id", "direction", "pkt_seq"]).withColumn("found_at", F.col("pkt_seq"))
+        udp_matches = numbered(hits, STREAM, ["pkt_seq"], block_of(F.col("pkt_seq"), rows), "match_no")
     matches = tcp_matches.withColumn("proto", F.lit("TCP")).unionByName(
         udp_matches.withColumn("proto", F.lit("UDP")), allowMissingColumns=True)
     matches = matches.join(numbers.select(F.col("pkt_seq").alias("found_at"), F.col("pkt_no").alias("match_pkt")),

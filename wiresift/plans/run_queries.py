@@ -120,3 +120,11 @@ def run_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture files of the flows that match in a whole run."""
     raw, run = literal_run(spark, sf_dir, extract=True)
     return run.captures(raw).select("file_name", "part_no", F.octet_length("content").cast("bigint").alias("size"))
+
+
+@query(f"""WITH {first_of_prefix(LITERAL)} SELECT flow_id, direction,
+  'matches ''{LITERAL}'' @ [' || start_off || ':' || end_off || '] - ' || size || 'B' AS quiet, substr(hit, 1, 3) AS print FROM fm""")
+def run_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches of a run as one line each, and their first three bytes as text."""
+    _, run = literal_run(spark, sf_dir, output_modes=("quiet", "print"), max_disp_bytes=3)
+    return run.displayed().select(F.floor(F.col("flow_id") / 65536).alias("flow_id"), "direction", "quiet", "print")

@@ -105,7 +105,13 @@ class Rule:
 
 @dataclass(frozen=True)
 class InspectSpec:
-    """Options of one inspection run."""
+    """Options of one inspection run.
+
+    ``max_streams``, ``max_datagrams`` and ``max_chunks`` bound what is inspected, the
+    ``max_disp_`` ones what is displayed; 0 means all. ``output_modes`` are the forms in
+    which matches are displayed. ``extract`` asks for all packets of matched flows, and
+    ``post_packets`` for those up to so many after a match.
+    """
 
     rules: tuple[Rule, ...] = ()
     offset: int = 0
@@ -115,6 +121,7 @@ class InspectSpec:
     linemode: bool = False
     max_streams: int = 0
     max_datagrams: int = 0
+    max_chunks: int = 0
     max_disp_streams: int = 0
     max_disp_datagrams: int = 0
     max_disp_bytes: int = 0
