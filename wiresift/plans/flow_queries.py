@@ -17,6 +17,8 @@ from wiresift.plans.header_queries import encoded_tcp, encoded_udp
 from wiresift.plans.registry import TCP_FLOW, UDP, UDP_ENDS, UDP_FLOW, query, tcp_flow
 from wiresift.session import checkpoint_dir, cut
 from wiresift.sources import capture, sinks
+from wiresift.sources.capture_source import captured, growing_captures
+from wiresift.streaming import online
 from wiresift.sources import tables as T
 from wiresift.spec import InspectSpec, Rule
 
@@ -336,9 +338,8 @@ def flow_capture_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.select("file_name", "part_no", F.octet_length("content").alias("size"))
 
 
-@query(f"""WITH {UDP}, {UDP_ENDS} SELECT src, sport, dst, dport, props AS payload, len FROM udpe""")
-def capture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as capture files, one per flow, and read back."""
+def event_captures(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the events as capture files, one per flow."""
     packets = udp(spark, sf_dir)
     rows = event_rows(spark, sf_dir)
     named = named_packets(encoded_udp(packets), flows.udp_flow_table(packets), rows)
@@ -346,6 +347,26 @@ def capture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         named.select("file_name", "pkt_seq", "ts", "pkt"), block_of(F.col("pkt_seq"), rows))
     folder = f"{checkpoint_dir(spark)}/captures-{uuid.uuid4().hex}"
     sinks.write_captures(spark, images, folder)
-    decoded = H.decode_packets(capture.read_capture(spark, folder))
+    return folder
+
+
+@query(f"""WITH {UDP}, {UDP_ENDS} SELECT src, dst, sport, dport, len FROM udpe WHERE dport = 53 AND len >= 9""")
+def capture_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture files read with filters that are decided on the header bytes, in the source."""
+    packets = captured(spark, event_captures(spark, sf_dir)).where("proto = 17 AND dport = 53 AND len >= 9")
+    return packets.select("src", "dst", "sport", "dport", "len")
+
+
+@query(f"""WITH {UDP}, {UDP_ENDS} SELECT src, sport, dst, dport, len FROM udpe""")
+def online_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture files followed as a stream, with byte offsets as progress."""
+    packets = growing_captures(spark, event_captures(spark, sf_dir))
+    return online.drain(packets).select("src", "sport", "dst", "dport", "len")
+
+
+@query(f"""WITH {UDP}, {UDP_ENDS} SELECT src, sport, dst, dport, props AS payload, len FROM udpe""")
+def capture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as capture files, one per flow, and read back."""
+    decoded = H.decode_packets(capture.read_capture(spark, event_captures(spark, sf_dir)))
     return decoded.select("src", "sport", "dst", "dport", F.decode("payload", "UTF-8").alias("payload"),
                           F.octet_length("payload").alias("len"))
