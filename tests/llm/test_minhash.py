@@ -92,7 +92,7 @@ def test_keys_meet_all_pairs_within_the_bound(spark):
     df = spark.createDataFrame(rows, "want int, a array<long>, b array<long>").withColumn("id", F.monotonically_increasing_id()).cache()
     met = {r.id: r.slot for r in df.select("id", F.col("a").alias("sig")).select("id", F.explode(minhash.keys()).alias("k")).join(
         df.select("id", F.col("b").alias("sig")).select("id", F.explode(minhash.keys()).alias("k")), ["id", "k"])
-        .groupBy("id").agg(F.min(F.shiftright(F.col("k") % similar.HOME, minhash._HELD)).alias("slot")).collect()}
+        .groupBy("id").agg(F.min(F.shiftright(F.col("k.key") % similar.HOME, minhash._HELD)).alias("slot")).collect()}
     found = df.select("id", "want", minhash.differing(F.col("a"), F.col("b")).alias("n"),
                       minhash.first_slot(F.col("a"), F.col("b")).alias("slot")).collect()
     assert len(found) == 400

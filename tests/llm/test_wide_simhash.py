@@ -49,7 +49,7 @@ def test_cells_meet_all_within_a_step(spark):
         rows.append((*([x[i] | x[i + 1] << 24 for i in range(0, 16, 2)] for x in (a, b)), sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)), min((x ^ y).bit_count() for x, y in zip(a, b, strict=True))))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, far int, near int").withColumn("id", F.monotonically_increasing_id()).cache()
     a, b = (df.select("id", F.col(x).alias("sig")).select("id", F.explode(wide_simhash.keys()).alias("k")).select(
-        "id", (F.col("k") % similar.HOME).alias("key"), (F.col("k") >= similar.HOME).alias(f"home_{x}")) for x in "ab")
+        "id", (F.col("k.key") % similar.HOME).alias("key"), (F.col("k.key") >= similar.HOME).alias(f"home_{x}")) for x in "ab")
     met = a.join(b, ["id", "key"]).where("home_a OR home_b").join(df, "id")
     first = met.groupBy("id").agg(F.count_if(wide_simhash._first(F.col("a"), F.col("b"), F.col("key"))).alias("n"))
     for r in df.join(first, "id", "left").select("*", wide_simhash.distance(F.col("a"), F.col("b")).alias("d")).collect():

@@ -25,7 +25,7 @@ from wiresift.llm.common import pieces, worker_memo
 K = 128
 SHINGLE = 5
 #: Remembered words of a worker; at the bound it forgets all and goes on.
-MEMO = 400_000
+MEMO = 150_000
 
 
 class _WordHashes(dict):

@@ -86,7 +86,8 @@ def keys() -> Column:
         for place in range(PLACES):
             low = F.col("sig")[i].bitwiseAND(F.lit((1 << BITS * place) - 1))
             high = F.shiftleft(F.shiftright(F.col("sig")[i], BITS * (place + 1)), BITS * place)
-            rows.append(F.lit(near_sets.HOME | (i * PLACES + place) << _HELD).bitwiseOR(low).bitwiseOR(high))
+            key = F.lit(near_sets.HOME | (i * PLACES + place) << _HELD).bitwiseOR(low).bitwiseOR(high)
+            rows.append(F.struct(key.alias("key"), F.lit(0).cast("long").alias("sub")))
     return F.array(*rows)
 
 

@@ -41,13 +41,15 @@ class Signature:
     """How sets are signed, and how signatures, arrays of longs, meet and compare."""
 
     sign: Callable[[np.ndarray], np.ndarray]
-    #: The keys, distinct longs below ``HOME``, of the column ``sig``. Of two that meet one must be at home, with
-    #: ``HOME`` added to its key.
+    #: (key, sub) of the column ``sig``: distinct longs below ``HOME``, and bits of the signature that lie elsewhere. Of
+    #: two that meet one must be at home, with ``HOME`` added to its key, and two alone with a key must not differ in
+    #: more than ``sub_bits`` of ``sub``.
     keys: Callable[[], Column]
     #: Whether two signatures are near enough to be confirmed.
     near: Callable[[Column, Column], Column]
     #: Whether a key is the first that two signatures share.
     first: Callable[[Column, Column, Column], Column]
+    sub_bits: int = 64
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -177,11 +179,14 @@ def links(nodes: DataFrame, docs: DataFrame, how: Signature, similar: int, shing
     Each pair that shares a key, is near and has the resemblance is given, or joined
     through others that are.
     """
-    filed = nodes.select("node", F.explode(how.keys()).alias("key")).select(
-        "node", F.col("key").bitwiseAND(F.lit(HOME - 1)).alias("key"), (F.col("key") >= HOME).alias("home"))
-    # One plan at all sizes: keys are as many as nodes allow, and both sides of this join are shuffled.
-    shared = filed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")) \
-        .where("n > 1 AND homes > 0").select("key", "n")
+    filed = nodes.select("node", F.explode(how.keys()).alias("k")).select(
+        "node", F.col("k.key").bitwiseAND(F.lit(HOME - 1)).alias("key"), (F.col("k.key") >= HOME).alias("home"), "k.sub")
+    # One plan at all sizes: keys are as many as nodes allow, and both sides of this join are shuffled. Where two nodes
+    # are alone with a key, they are told apart before either is fetched.
+    shared = filed.groupBy("key").agg(
+        F.count("*").alias("n"), F.count_if("home").alias("homes"), F.min("sub").alias("low"), F.max("sub").alias("high")) \
+        .where("n > 1 AND homes > 0").where((F.col("n") > 2) | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= how.sub_bits)) \
+        .select("key", "n")
     filed = filed.select("node", "key")
     met = cut(filed.join(shared.hint("merge"), "key"))
     # The node that meets most others, in all its groups, is the hub of each.
