@@ -49,7 +49,7 @@ PROBES = 5
 BITS_PER_EVENT = 10
 #: The size up to which every worker holds the filter. A larger one stays in its
 #: regions, and the n-grams to look up are shuffled to them.
-BROADCAST_BITS = 1 << 31
+BROADCAST_BITS = 1 << 29
 #: Bytes of the filter that the driver fetches at a time.
 FETCH = 16 << 20
 _WORD, _SUCCESSORS, _AGAIN = (np.uint64(x) for x in (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C, 0x5A5A5A5AC3C3C3C3))
