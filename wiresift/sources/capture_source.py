@@ -39,6 +39,7 @@ _TESTS: dict[type, tuple[str, Callable[[Any, Any], bool]]] = {
     EqualTo: ("=", lambda x, v: x == v), In: ("in", lambda x, v: x in v), GreaterThan: (">", lambda x, v: x > v),
     GreaterThanOrEqual: (">=", lambda x, v: x >= v), LessThan: ("<", lambda x, v: x < v),
     LessThanOrEqual: ("<=", lambda x, v: x <= v)}
+_OPS = dict(_TESTS.values())
 
 
 def headers_of(pkt: bytes) -> tuple[int, str, str, int | None, int | None, int]:
@@ -64,7 +65,7 @@ class Wanted:
 
     def holds(self, fields: tuple) -> bool:
         x = fields[HEADERS.index(self.column)]
-        return x is not None and next(t for op, t in _TESTS.values() if op == self.op)(x, self.value)
+        return x is not None and _OPS[self.op](x, self.value)
 
 
 @dataclass
