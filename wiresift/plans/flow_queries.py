@@ -258,13 +258,16 @@ UDP_NUMBERED = UDP_FLOW + f""", n AS (SELECT *, row_number() OVER (PARTITION BY
   regexp_matches(props, '{SEVEN_SQL}') AS m FROM udpf)"""
 
 
-@query(f"""WITH {UDP_NUMBERED},
+EXTRACT_UDP = f"""WITH {UDP_NUMBERED},
 a AS (SELECT open_seq, pkt_no, coalesce(pkt_no > lag(pkt_no) OVER w + {POST}, true) AS fresh FROM n WHERE m
   WINDOW w AS (PARTITION BY open_seq ORDER BY pkt_no)),
 b AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY open_seq ORDER BY pkt_no) AS island FROM a),
 c AS (SELECT open_seq, island, max(pkt_no) + {POST} AS cut_at FROM b GROUP BY ALL)
 SELECT n.open_seq, n.pkt_seq, n.pkt_no, min(island) AS extract_no
-FROM n JOIN c ON n.open_seq = c.open_seq AND n.pkt_no <= c.cut_at GROUP BY ALL""")
+FROM n JOIN c ON n.open_seq = c.open_seq AND n.pkt_no <= c.cut_at GROUP BY ALL"""
+
+
+@query(EXTRACT_UDP)
 def extract_udp(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir)
     index = cut(flows.number_packets(udp(spark, sf_dir).drop("payload"), rows_per_block=rows))
