@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from wiresift.session import cut
 
+#: Edges a task of a round is for, about, and the tasks of a round at least.
+TASK_EDGES, TASKS = 10_000, 12
+
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """The smallest node that each node of ``edges`` (a, b) can reach: (node, root).
@@ -16,7 +19,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     components together and never hold more edges than they were given. A step is
     an aggregation with map-side combine and a join of the edges with one row per
     node, so a node with very many links is split by adaptive skew handling and is
-    never gathered. Each round is written to the shared checkpoint folder. Nodes
+    never gathered. Each round is written to the shared checkpoint folder, and few
+    edges in few tasks, whatever the shuffle's partitions: a round has half a dozen
+    stages, and a task leaves files and events behind however little it does. Nodes
     without a link do not appear; null ends are ignored; an empty input gives no
     row.
     """
@@ -29,7 +34,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
-        links = cut(_small_star(_large_star(links)))
+        tasks = max(TASKS, mark[0] // TASK_EDGES)
+        links = cut(_small_star(_large_star(links.coalesce(tasks), tasks), tasks))
         before, mark = mark, _mark(links)
         if mark == before:
             break
@@ -47,16 +53,17 @@ def _mark(links: DataFrame) -> tuple[int, int, int]:
     return row[0], row[1], row[2]
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, tasks: int) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (
         both.where("v > u").join(least, "u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
     )
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, tasks: int) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"))
     moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return moved.coalesce(tasks).union(least.select("u", F.col("m").alias("v")).coalesce(tasks)) \
+        .where("u <> v").distinct().coalesce(tasks)

@@ -50,6 +50,8 @@ class Signature:
     #: Whether a key is the first that two signatures share.
     first: Callable[[Column, Column, Column], Column]
     sub_bits: int = 64
+    #: Whether few keys are shared, next to all that are filed: then these are not shuffled again to find them.
+    few_shared: bool = False
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -181,14 +183,15 @@ def links(nodes: DataFrame, docs: DataFrame, how: Signature, similar: int, shing
     """
     filed = nodes.select("node", F.explode(how.keys()).alias("k")).select(
         "node", F.col("k.key").bitwiseAND(F.lit(HOME - 1)).alias("key"), (F.col("k.key") >= HOME).alias("home"), "k.sub")
-    # One plan at all sizes: keys are as many as nodes allow, and both sides of this join are shuffled. Where two nodes
-    # are alone with a key, they are told apart before either is fetched.
-    shared = filed.groupBy("key").agg(
-        F.count("*").alias("n"), F.count_if("home").alias("homes"), F.min("sub").alias("low"), F.max("sub").alias("high")) \
-        .where("n > 1 AND homes > 0").where((F.col("n") > 2) | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= how.sub_bits)) \
+    # One plan at all sizes: keys are as many as nodes allow. Where two nodes are alone with a key, they are told apart
+    # before either is fetched. Homes are counted above the nodes: a row is two numbers beside its key.
+    counted = F.sum(F.when(F.col("home"), (1 << 32) + 1).otherwise(1))
+    shared = filed.groupBy("key").agg(counted.alias("n"), F.bit_xor("sub").alias("differ")) \
+        .select("key", F.col("n").bitwiseAND(F.lit((1 << 32) - 1)).alias("n"), F.shiftright("n", 32).alias("homes"), "differ") \
+        .where("n > 1 AND homes > 0").where((F.col("n") > 2) | (F.bit_count("differ") <= how.sub_bits)) \
         .select("key", "n")
     filed = filed.select("node", "key")
-    met = cut(filed.join(shared.hint("merge"), "key"))
+    met = cut(filed.join(small(cut(shared)) if how.few_shared else shared.hint("merge"), "key"))
     # The node that meets most others, in all its groups, is the hub of each.
     weight = cut(met.groupBy("node").agg(F.sum("n").alias("weight")))
     weighed = met.select("key", "node").join(small(weight), "node")

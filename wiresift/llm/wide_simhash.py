@@ -83,7 +83,7 @@ def _first(a: Column, b: Column, key: Column) -> Column:
     return F.coalesce(*cells) == key
 
 
-SIGNATURE = near_sets.Signature(fingerprint, keys, lambda a, b: distance(a, b) <= MAX_BITS, _first, SUB_BITS)
+SIGNATURE = near_sets.Signature(fingerprint, keys, lambda a, b: distance(a, b) <= MAX_BITS, _first, SUB_BITS, few_shared=True)
 
 
 def keep_one(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
