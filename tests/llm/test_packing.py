@@ -37,6 +37,26 @@ def test_tokens_are_the_librarys(tokenizer, monkeypatch):
         assert numbers(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_words_are_encoded_together(tokenizer, monkeypatch):
+    """One by one, as before, this text took 600 calls."""
+    calls = []
+
+    class Counted:
+        normalizer, to_str = tokenizer.normalizer, tokenizer.to_str
+
+        def encode(self, text, **options):
+            calls.append(text)
+            return tokenizer.encode(text, **options)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", type("", (), {"from_file": staticmethod(lambda path: Counted())}))
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdéÉßXYZ") for _ in range(rng.randint(3, 12))) for _ in range(600))
+    encode = tokens._make("any")
+    assert numbers(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(calls) < 5
+    assert numbers(encode(text + " new")) == tokenizer.encode(text + " new", add_special_tokens=False).ids
+
+
 def slow_plan(lengths, capacity):
     """One bin after the other, as the method says."""
     left = sorted(lengths)
