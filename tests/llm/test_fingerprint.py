@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import xxhash
 
 import __spark_entry__ as entry
 from tests.llm.helpers import awkward, clashing, docs
@@ -21,6 +23,17 @@ def words(rng, n):
     return [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
 
 
+def test_words_are_hashed_without_memory():
+    """Up to 150,000 words were remembered, which took longer to look up than to hash again."""
+    data = " ".join(f"W{i}" for i in range(50_000)).encode()
+    tracemalloc.start()
+    found = fp.word_hashes(data)
+    kept = tracemalloc.get_traced_memory()[0] - found.nbytes
+    tracemalloc.stop()
+    assert kept < 100_000
+    assert found[::997].tolist() == [xxhash.xxh64_intdigest(f"w{i}".encode()) for i in range(0, 50_000, 997)]
+
+
 def test_estimates():
     rng = random.Random(1)
     errors = []

@@ -20,27 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wiresift.llm.common import pieces, worker_memo
+from wiresift.llm.common import pieces
 
 K = 128
 SHINGLE = 5
-#: Remembered words of a worker; at the bound it forgets all and goes on.
-MEMO = 150_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
 
 def word_hashes(data: bytes) -> np.ndarray:
     """64-bit hashes of the words of lower-cased ``data``."""
     words = data.lower().split()
-    memo = worker_memo("word_hashes", _WordHashes)
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    # A remembered hash takes longer to find among many than to compute.
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
