@@ -57,6 +57,28 @@ def test_new_words_are_encoded_together(tokenizer, monkeypatch):
     assert numbers(encode(text + " new")) == tokenizer.encode(text + " new", add_special_tokens=False).ids
 
 
+def test_new_words_of_many_texts_are_encoded_together(tokenizer, monkeypatch):
+    """Text by text, these took 40 calls, each with normalising and splitting."""
+    calls = []
+    kept = tokens._plain_words(word_tokenizer(), tokenizer)
+    monkeypatch.setattr(tokens, "_plain_words", lambda *_: lambda words: calls.append(len(words)) or kept(words))
+    rng = random.Random(6)
+    letters = "abcXYZ" + "".join(map(chr, range(0xC0, 0x100)))
+    texts = ["", *(" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ",", "!'s"])
+                            for _ in range(50)) for _ in range(40)), "\n", "new"]
+    encode = tokens._make(word_tokenizer())
+    assert [numbers(ids) for ids in encode.many(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1 and calls[0] > 1000
+    words = sorted({w for t in texts for w in t.lower().split() if w.isalpha()})
+    data, edges = kept(words)
+    assert [numbers(data[a:b]) for a, b in zip(edges, edges[1:], strict=False)] \
+        == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    monkeypatch.setattr(tokens, "TOGETHER", 100)
+    monkeypatch.setattr(tokens, "MEMO", 30)
+    encode = tokens._make(word_tokenizer())
+    assert [numbers(ids) for ids in encode.many(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def slow_plan(lengths, capacity):
     """One bin after the other, as the method says."""
     left = sorted(lengths)

@@ -41,8 +41,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
         encode = word_encoder(tokenizer)
         for batch in pieces(batches, 256):
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=False):
-                ids = encode(text or "") + tail
+            found = encode.many(text or "" for text in batch.column(1).to_pylist())
+            for doc, ids in zip(batch.column(0).to_pylist(), found, strict=True):
+                ids += tail
                 for at in range(0, len(ids), step):
                     part = ids[at:at + step]
                     out.append((doc, at // step, at // 4, len(part) // 4, zlib.crc32(part), part))
