@@ -56,6 +56,50 @@ def test_cells_meet_all_within_a_step(spark):
         assert r.d == r.far and (r.near > 1 or r.n == 1)
 
 
+def test_segments_are_counted(spark):
+    """Segments were one bit wide, so their counts said nothing but the bits."""
+    grid, rng, sigs = wide_simhash.LEVELS, np.random.default_rng(4), []
+    assert len(grid.marks) == 2
+    shingles = np.unique(rng.integers(0, 2 ** 63, 700).astype(np.uint64))
+    for n in (4, 5, 16, 700):
+        seeds = similar.mixed(np.arange(1, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        ones = np.concatenate([np.unpackbits(similar.mixed(shingles[:n] ^ x).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) for x in seeds])
+        counts = [0 if x <= -n ** 0.5 / 2 else 1 if x <= n ** 0.5 / 2 else 2 for x in (2 * ones.astype(int) - n)[:420].tolist()]
+        sig = wide_simhash.fingerprint(shingles[:n], grid).tolist()
+        assert sig == [sum((0, 1, 3)[c] << 2 * k for k, c in enumerate(counts[at:at + 30])) for at in range(0, 420, 30)]
+        sigs.append((n, sig, counts))
+    rows = spark.createDataFrame([(n, sig) for n, sig, _ in sigs], "n int, sig array<long>")
+    filed = {r.n: {k.key for k in r.k} for r in rows.select("n", wide_simhash.keys(grid).alias("k")).collect()}
+    for n, _, counts in sigs:
+        want = set()
+        for i in range(28):
+            mine = counts[15 * i:15 * i + 15]
+            cell = sum(c << 2 * k for k, c in enumerate(mine)) + (i << 30)
+            want |= {cell + similar.HOME} | {cell + (1 << 2 * k) for k, c in enumerate(mine) if c < 2}
+        assert filed[n] == want
+
+
+def test_counts_meet_all_within_a_step(spark):
+    grid, rng, rows = wide_simhash.LEVELS, random.Random(6), []
+    for _ in range(200):
+        a = [[rng.randrange(3) for _ in range(15)] for _ in range(28)]
+        b = [list(x) for x in a]
+        for x in b:
+            for k in rng.sample(range(15), rng.choice((0, 1, 2, 2, 3, 3, 3))):
+                x[k] = rng.choice([c for c in range(3) if c != x[k]])
+        flat = [[(0, 1, 3)[c] for x in y for c in x] for y in (a, b)]
+        steps = [sum(abs(x - y) for x, y in zip(u, v, strict=True)) for u, v in zip(a, b, strict=True)]
+        rows.append((*([sum(c << 2 * k for k, c in enumerate(f[at:at + 30])) for at in range(0, 420, 30)] for f in flat),
+                     sum(steps), min(steps)))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, far int, near int").withColumn("id", F.monotonically_increasing_id()).cache()
+    a, b = (df.select("id", F.col(x).alias("sig")).select("id", F.explode(wide_simhash.keys(grid)).alias("k")).select(
+        "id", (F.col("k.key") % similar.HOME).alias("key"), (F.col("k.key") >= similar.HOME).alias(f"home_{x}")) for x in "ab")
+    met = a.join(b, ["id", "key"]).where("home_a OR home_b").join(df, "id")
+    first = met.groupBy("id").agg(F.count_if(wide_simhash._first(F.col("a"), F.col("b"), F.col("key"), grid)).alias("n"))
+    for r in df.join(first, "id", "left").select("*", wide_simhash.distance(F.col("a"), F.col("b"), grid).alias("d")).collect():
+        assert r.d == r.far and (r.n == 1 if r.near <= 1 else not r.n)
+
+
 def test_recall_at_the_bound(spark):
     """Of the near copies that all pairs tell, nine in ten at least go, and no other text."""
     rng = random.Random(8)

@@ -181,7 +181,9 @@ def links(nodes: DataFrame, docs: DataFrame, how: Signature, similar: int, shing
     Each pair that shares a key, is near and has the resemblance is given, or joined
     through others that are.
     """
-    filed = nodes.select("node", F.explode(how.keys()).alias("k")).select(
+    # A set of fewer is alike with no other: one shingle more or less is too many.
+    able = nodes.where(F.col("n_shingles") * (100 - similar) >= similar)
+    filed = able.select("node", F.explode(how.keys()).alias("k")).select(
         "node", F.col("k.key").bitwiseAND(F.lit(HOME - 1)).alias("key"), (F.col("k.key") >= HOME).alias("home"), "k.sub")
     # One plan at all sizes: keys are as many as nodes allow. Where two nodes are alone with a key, they are told apart
     # before either is fetched. Homes are counted above the nodes: a row is two numbers beside its key.

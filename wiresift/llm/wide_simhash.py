@@ -2,20 +2,25 @@
 
 The 64 bits of ``simhash.py`` tell texts apart that are all but equal. Texts whose
 shingle sets have a resemblance of 0.8 differ in 15 of 100 bits on average, and few
-pairs of them are within 3 of 64. Here a fingerprint has 384 bits of distinct 5-word
-shingles. Its segments are single bits, so that the counts of set bits are the bits,
-and the Manhattan distance of two places in the grid is the Hamming distance. The grid
-is dealt into 16 parts of 24 segments; a fingerprint is filed in its own cell of each
-part and in the cells one step up, and pairs that agree in some part up to one step
-are compared. What is within ``MAX_BITS`` is verified on the shingle sets.
-
-A part is within one step with a chance of 0.10 at a resemblance of 0.8, 0.16 at 0.85
-and 0.27 at 0.9, so pairs are met with 0.82, 0.94 and 0.99; components, which join
+pairs of them are within 3 of 64. Here a fingerprint is made of 420 sums over distinct
+5-word shingles, each with a segment of 2 bits: one says whether the sum is above a mark
+below its middle, one whether it is above a mark as far over it. As in ``simhash.py``
+the count of set bits in each segment is a place in an integer grid, and one step there
+is one bit; the second mark keeps counts from losing what bits tell, which those of
+unrelated bits do. The grid is dealt into 28 parts of 15 segments; a fingerprint is
+filed in its own cell of each part and in the cells one step up, and pairs that agree in
+some part up to one step are compared. What is within ``MAX_BITS`` is verified on the
+shingle sets.
+
+A part is within one step with a chance of 0.06 at a resemblance of 0.8, 0.11 at 0.85
+and 0.21 at 0.9, so pairs are met with 0.83, 0.96 and 0.99; components, which join
 copies through others, lose fewer.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,67 +28,106 @@ from pyspark.sql import functions as F
 from wiresift.llm import similar as near_sets
 from wiresift.llm.common import long_id, small
 from wiresift.llm.fingerprint import mixed
+from wiresift.llm.simhash import embed
 from wiresift.session import cut
 
 SHINGLE = 5
 #: Texts are linked from this resemblance on, in hundredths.
 SIMILAR = 80
-PARTS, WIDTH = 16, 24
-#: Of 48 bits, 7 are expected to differ at 0.8, with a deviation of 2.5.
-SUB_BITS = 16
-#: Longs of a fingerprint.
-LONGS = 8
-#: Of 384 bits, 58 are expected to differ at 0.8, with a deviation of 7.
-MAX_BITS = 78
+#: Parts in a long of a fingerprint.
+HELD = 2
+#: Of 60 bits, 8 are expected to differ at 0.8, with a deviation of 2.5.
+SUB_BITS = 17
+#: Of 840 bits, 112 are expected to differ at 0.8, with a deviation of 9.
+MAX_BITS = 140
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """A set's fingerprint, two parts in a long: a bit is set if over half of the hashes have it."""
-    words = PARTS * WIDTH // 64
+@dataclass(frozen=True)
+class Grid:
+    """How fingerprints are cut: parts, segments of a part, and the marks of a segment's bits, from low to high.
+
+    A bit is set if its segment's sum is above the mark, in deviations of the sum, so
+    bits are set from the low one on.
+    """
+
+    parts: int
+    segments: int
+    marks: tuple[float, ...]
+
+    @property
+    def longs(self) -> int:
+        return self.parts // HELD
+
+    @property
+    def width(self) -> int:
+        return self.segments * len(self.marks)
+
+
+#: Single bits, set if over half of the hashes have them: counts are the bits.
+BITS = Grid(16, 24, (0.0,))
+#: Segments of two bits, with counts from 0 to 2.
+LEVELS = Grid(28, 15, (-0.5, 0.5))
+
+
+def fingerprint(shingles: np.ndarray, grid: Grid = BITS) -> np.ndarray:
+    """A set's fingerprint, two parts in a long."""
+    places = grid.parts * grid.segments
+    words = -(-places // 64)
     seeds = mixed(np.arange(1, words + 1, dtype=np.uint64) * _STEP)
-    ones = np.zeros(PARTS * WIDTH, np.int64)
+    ones = np.zeros(64 * words, np.int64)
     for at in range(0, len(shingles), 4096):
         spread = mixed(shingles[at:at + 4096, None] ^ seeds)
         ones += np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(shingles)).reshape(LONGS, PARTS // LONGS * WIDTH)
+    sums = 2 * ones[:places, None] - len(shingles)
+    bits = (sums > np.sqrt(len(shingles)) * np.array(grid.marks)).reshape(grid.longs, HELD * grid.width)
     return bits @ (np.int64(1) << np.arange(bits.shape[1], dtype=np.int64))
 
 
-def _part(sig: Column, i: int) -> Column:
-    held = PARTS // LONGS
-    return F.shiftright(sig[i // held], i % held * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
+def _part(sig: Column, i: int, grid: Grid) -> Column:
+    return F.shiftright(sig[i // HELD], i % HELD * grid.width).bitwiseAND(F.lit((1 << grid.width) - 1))
+
 
+def _cell(bits: Column, grid: Grid) -> Column:
+    """A part's counts of set bits per segment; of single bits, these are the bits."""
+    return embed(bits, len(grid.marks)) if len(grid.marks) > 1 else bits
 
-def keys() -> Column:
+
+def keys(grid: Grid = BITS) -> Column:
     """The cells of ``sig``: in each part its own, and those one step up."""
-    rows = []
-    for i in range(PARTS):
-        home, part = _part(F.col("sig"), i), F.lit(i << WIDTH)
-        # Half a fingerprint away from the part, where texts that only share its cell differ in 24 of 48 bits.
-        sub = F.col("sig")[(i // (PARTS // LONGS) + LONGS // 2) % LONGS].alias("sub")
-        rows.append(F.struct(home.bitwiseOR(part).bitwiseOR(F.lit(near_sets.HOME)).alias("key"), sub))
-        for b in range(WIDTH):
-            step = F.lit(1 << b)
-            up = home.bitwiseOR(step).bitwiseOR(part).alias("key")
-            rows.append(F.when(home.bitwiseAND(step) == 0, F.struct(up, sub)))
-    return F.filter(F.array(*rows), lambda x: x.isNotNull())
+    most, cells = len(grid.marks), []
+    for i in range(grid.parts):
+        # Half a fingerprint away from the part, where texts that only share its cell differ as any two do.
+        sub = F.col("sig")[(i // HELD + grid.longs // 2) % grid.longs].alias("sub")
+        cells.append(F.struct(_cell(_part(F.col("sig"), i, grid), grid).bitwiseOR(F.lit(i << grid.width)).alias("cell"), sub))
+
+    def filed(x: Column) -> Column:
+        # A cell is counted once for all of its steps, which as columns of their own would each count it again.
+        cell, sub = x["cell"], x["sub"].alias("sub")
+        ups = [F.when(cell.bitwiseAND(F.lit(((1 << most) - 1) << s)) < (most << s), F.struct((cell + F.lit(1 << s)).alias("key"), sub))
+               for s in range(0, grid.width, most)]
+        return F.array(F.struct(cell.bitwiseOR(F.lit(near_sets.HOME)).alias("key"), sub), *ups)
+
+    return F.filter(F.flatten(F.transform(F.array(*cells), filed)), lambda x: x.isNotNull())
 
 
-def distance(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, LONGS)), F.bit_count(a[0].bitwiseXOR(b[0])))
+def distance(a: Column, b: Column, grid: Grid = BITS) -> Column:
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, grid.longs)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def _first(a: Column, b: Column, key: Column) -> Column:
+def _first(a: Column, b: Column, key: Column, grid: Grid = BITS) -> Column:
     """Whether a key is the upper one's cell in the first part in which two are one step apart at most."""
     cells = []
-    for i in range(PARTS):
-        x, y = _part(a, i), _part(b, i)
-        cells.append(F.when(F.bit_count(x.bitwiseXOR(y)) <= 1, x.bitwiseOR(y).bitwiseOR(F.lit(i << WIDTH))))
+    for i in range(grid.parts):
+        x, y = _part(a, i, grid), _part(b, i, grid)
+        upper = _cell(x.bitwiseOR(y), grid).bitwiseOR(F.lit(i << grid.width))
+        cells.append(F.when(F.bit_count(x.bitwiseXOR(y)) <= 1, upper))
     return F.coalesce(*cells) == key
 
 
-SIGNATURE = near_sets.Signature(fingerprint, keys, lambda a, b: distance(a, b) <= MAX_BITS, _first, SUB_BITS, few_shared=True)
+SIGNATURE = near_sets.Signature(
+    lambda shingles: fingerprint(shingles, LEVELS), lambda: keys(LEVELS), lambda a, b: distance(a, b, LEVELS) <= MAX_BITS,
+    lambda a, b, key: _first(a, b, key, LEVELS), SUB_BITS, few_shared=True)
 
 
 def keep_one(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
