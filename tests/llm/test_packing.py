@@ -79,6 +79,22 @@ def test_new_words_of_many_texts_are_encoded_together(tokenizer, monkeypatch):
     assert [numbers(ids) for ids in encode.many(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_groups_are_large(tokenizer, monkeypatch):
+    """Groups of 1,048,576 characters encoded words of these texts three times; chunks were remembered one by one."""
+    calls = []
+    kept = tokens._plain_words(word_tokenizer(), tokenizer)
+    monkeypatch.setattr(tokens, "_plain_words", lambda *_: lambda words: calls.append(len(words)) or kept(words))
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcdeÉ") for _ in range(8)) + rng.choice(["", ".", "\n", " 9é"]) for _ in range(2500)) for _ in range(100)]
+    assert sum(map(len, texts)) > 2 << 20
+    encode = tokens._make(word_tokenizer())
+    found = list(encode.many(texts))
+    assert len(calls) == 1
+    for k in (0, 50, 99):
+        assert numbers(found[k]) == tokenizer.encode(texts[k], add_special_tokens=False).ids
+    assert list(encode.many([])) == [] and [numbers(x) for x in encode.many(["", "\n ", ""])] == [[], [], []]
+
+
 def slow_plan(lengths, capacity):
     """One bin after the other, as the method says."""
     left = sorted(lengths)

@@ -39,9 +39,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer)
-        for batch in pieces(batches, 256):
+        for batch in pieces(batches, 2048):
             out: list[tuple] = []
-            found = encode.many(text or "" for text in batch.column(1).to_pylist())
+            found = encode.many(text.as_py() or "" for text in batch.column(1))
             for doc, ids in zip(batch.column(0).to_pylist(), found, strict=True):
                 ids += tail
                 for at in range(0, len(ids), step):
