@@ -1,6 +1,8 @@
 """Packing: tokens against the library, places without gaps, few sequences."""
 
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -95,6 +97,39 @@ def test_groups_are_large(tokenizer, monkeypatch):
     assert list(encode.many([])) == [] and [numbers(x) for x in encode.many(["", "\n ", ""])] == [[], [], []]
 
 
+HELD = """
+import random, re, sys
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from wiresift.llm import packing
+from wiresift.llm.queries import word_tokenizer
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+class Table:
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+packing.long_id = packing.F.col = lambda _: type("C", (), {"alias": lambda *_: 0, "cast": lambda self, _: self})()
+run = packing.tokenised_pieces(Table(), word_tokenizer())
+rng = random.Random(3)
+for _ in range(2):
+    texts = (" ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(4000)) for _ in range(100))
+    rows = sum(b.num_rows for b in run(iter([pa.record_batch({"doc_id": list(range(100)), "text": list(texts)})])))
+print(rows, held())
+"""
+
+
+def test_workers_give_memory_back():
+    """A worker held 584 MB after these tasks, beside what other stages took of the executor."""
+    out = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= 100 and float(out[1]) < 260
+
+
 def slow_plan(lengths, capacity):
     """One bin after the other, as the method says."""
     left = sorted(lengths)

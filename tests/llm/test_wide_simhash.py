@@ -100,6 +100,27 @@ def test_counts_meet_all_within_a_step(spark):
         assert r.d == r.far and (r.n == 1 if r.near <= 1 else not r.n)
 
 
+def test_chance_meetings_are_not_fetched(spark):
+    """Of three alone with a key all were fetched, however far apart, and their number grew with the cube of the texts'."""
+    rng, rows, want = random.Random(9), [], {}
+    for key in range(400):
+        n = rng.choice((1, 2, 3, 3, 3, 4))
+        subs = [rng.randrange(1 << 60) for _ in range(n)]
+        if n > 1 and rng.random() < 0.4:
+            i, j = rng.sample(range(n), 2)
+            subs[i] = subs[j] ^ sum(1 << b for b in rng.sample(range(60), rng.randint(0, 24)))
+        homes = [rng.random() < 0.5 for _ in range(n)]
+        rows += [(key, h, x) for h, x in zip(homes, subs, strict=True)]
+        near = n > 3 or any((a ^ b).bit_count() <= 17 for k, a in enumerate(subs) for b in subs[:k])
+        if n > 1 and any(homes) and near:
+            want[key] = n
+    rng.shuffle(rows)
+    filed = spark.createDataFrame(rows, "key long, home boolean, sub long")
+    assert {r.key: r.n for r in similar._shared(filed, 17).collect()} == want
+    fetched = {key for key, home, _ in rows if home and sum(k == key for k, _, _ in rows) > 1}
+    assert {r.key for r in similar._shared(filed, 64).collect()} == fetched and len(fetched) > len(want) + 50
+
+
 def test_recall_at_the_bound(spark):
     """Of the near copies that all pairs tell, nine in ten at least go, and no other text."""
     rng = random.Random(8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -29,6 +30,22 @@ def worker_memo(name: str, make: Callable[[], Any]) -> Any:
     return getattr(store, name)
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives freed memory back to the machine.
+
+    Workers outlive their tasks; what an idle one keeps for later, the rest of its
+    executor must do without.
+    """
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries than glibc have none
+        if trim is not None:
+            trim(0)
+
+    return runs
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices, so that few texts are Python objects at once."""
     for batch in batches:

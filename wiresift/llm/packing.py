@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wiresift.llm.common import long_id, pieces
+from wiresift.llm.common import giving_back, long_id, pieces
 from wiresift.llm.tokens import word_encoder
 from wiresift.session import cut
 
@@ -53,7 +53,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     return docs.select(long_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+        giving_back(run), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wiresift.llm.common import long_id, pieces, small
 from wiresift.llm.components import components
@@ -42,8 +43,8 @@ class Signature:
 
     sign: Callable[[np.ndarray], np.ndarray]
     #: (key, sub) of the column ``sig``: distinct longs below ``HOME``, and bits of the signature that lie elsewhere. Of
-    #: two that meet one must be at home, with ``HOME`` added to its key, and two alone with a key must not differ in
-    #: more than ``sub_bits`` of ``sub``.
+    #: two that meet one must be at home, with ``HOME`` added to its key, and of two or three alone with a key some two
+    #: must not differ in more than ``sub_bits`` of ``sub``.
     keys: Callable[[], Column]
     #: Whether two signatures are near enough to be confirmed.
     near: Callable[[Column, Column], Column]
@@ -175,6 +176,28 @@ def _most_shared() -> Column:
 
 # Links.
 
+def _shared(filed: DataFrame, sub_bits: int) -> DataFrame:
+    """(key, n) of the keys of ``filed`` (key, home, sub) under which some two may meet.
+
+    One plan at all sizes: keys are as many as nodes allow. Where two or three nodes are
+    alone with a key, they are told apart before any is fetched: the least, the greatest
+    and all together by XOR are all that three have.
+    """
+    # Homes are counted above the nodes: a row is a few numbers beside its key.
+    counted = F.sum(F.when(F.col("home"), (1 << 32) + 1).otherwise(1)).alias("n")
+    told = sub_bits < 64
+    subs = [F.bit_xor("sub").alias("differ"), F.min("sub").alias("low"), F.max("sub").alias("high")] if told else []
+    found = filed.groupBy("key").agg(counted, *subs) \
+        .withColumns({"n": F.col("n").bitwiseAND(F.lit((1 << 32) - 1)), "homes": F.shiftright("n", 32)}).where("n > 1 AND homes > 0")
+    if told:
+        # Of three, the XOR of all without one is that of the other two; of two, it is theirs.
+        apart = F.when(F.col("n") == 2, F.bit_count("differ")).when(F.col("n") == 3, F.least(
+            F.bit_count(F.col("low").bitwiseXOR(F.col("high"))), F.bit_count(F.col("differ").bitwiseXOR(F.col("low"))),
+            F.bit_count(F.col("differ").bitwiseXOR(F.col("high"))))).otherwise(0)
+        found = found.where(apart <= sub_bits)
+    return found.select("key", "n")
+
+
 def links(nodes: DataFrame, docs: DataFrame, how: Signature, similar: int, shingle: int) -> DataFrame:
     """Confirmed pairs (a, b) that connect all of ``nodes`` (node, n_shingles, sig, first_id, whole).
 
@@ -185,23 +208,17 @@ def links(nodes: DataFrame, docs: DataFrame, how: Signature, similar: int, shing
     able = nodes.where(F.col("n_shingles") * (100 - similar) >= similar)
     filed = able.select("node", F.explode(how.keys()).alias("k")).select(
         "node", F.col("k.key").bitwiseAND(F.lit(HOME - 1)).alias("key"), (F.col("k.key") >= HOME).alias("home"), "k.sub")
-    # One plan at all sizes: keys are as many as nodes allow. Where two nodes are alone with a key, they are told apart
-    # before either is fetched. Homes are counted above the nodes: a row is two numbers beside its key.
-    counted = F.sum(F.when(F.col("home"), (1 << 32) + 1).otherwise(1))
-    shared = filed.groupBy("key").agg(counted.alias("n"), F.bit_xor("sub").alias("differ")) \
-        .select("key", F.col("n").bitwiseAND(F.lit((1 << 32) - 1)).alias("n"), F.shiftright("n", 32).alias("homes"), "differ") \
-        .where("n > 1 AND homes > 0").where((F.col("n") > 2) | (F.bit_count("differ") <= how.sub_bits)) \
-        .select("key", "n")
+    shared = _shared(filed, how.sub_bits)
     filed = filed.select("node", "key")
-    met = cut(filed.join(small(cut(shared)) if how.few_shared else shared.hint("merge"), "key"))
-    # The node that meets most others, in all its groups, is the hub of each.
-    weight = cut(met.groupBy("node").agg(F.sum("n").alias("weight")))
-    weighed = met.select("key", "node").join(small(weight), "node")
+    # The node that meets most others, in all its groups, is the hub of each. A node's rows are as few as its keys.
+    weighed = cut(
+        filed.join(small(cut(shared)) if how.few_shared else shared.hint("merge"), "key")
+        .select("key", "node", F.sum("n").over(Window.partitionBy("node")).alias("weight")))
     hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub"))
     tried = weighed.join(hubs, "key").where("node <> hub.node") \
         .groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.first("hub.weight").alias("weight"))
 
-    about = cut(nodes.select("node", "n_shingles", "sig").join(small(weight.select("node")), "node", "left_semi"))
+    about = cut(nodes.select("node", "n_shingles", "sig").join(small(cut(weighed.select("node").distinct())), "node", "left_semi"))
     near = how.near(F.col("sig_a"), F.col("sig_b")) \
         & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar)
 
@@ -215,8 +232,8 @@ def links(nodes: DataFrame, docs: DataFrame, how: Signature, similar: int, shing
 
     # Nodes that share a key and are not connected yet, with what tells them from their heaviest hub.
     roots = cut(components(found))
-    apart = met.select("key", "node").join(small(roots), "node", "left") \
-        .select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = cut(weighed.select("key", "node").join(small(roots), "node", "left")
+                .select("key", "node", F.coalesce("root", "node").alias("root")))
     split = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     told = measured.select(
         "a", "b", F.col("b").alias("hub"), F.col("n_b").alias("n_hub"), "lacks", "adds",
@@ -230,9 +247,9 @@ def links(nodes: DataFrame, docs: DataFrame, how: Signature, similar: int, shing
         .join(own.select("node"), "node", "left_anti") \
         .select("node", F.col("node").alias("hub"), "n_hub", F.lit(0).cast("long").alias("n_lacks"),
                 F.lit(0).cast("long").alias("n_adds"), none.alias("lacks"), none.alias("adds"))
-    left = cut(
-        apart.join(small(cut(split.select("key"))), "key", "left_semi").join(about, "node")
-        .join(small(cut(own.unionByName(alone))), "node", "left"))
+    # What is known of a node is put together once, not for each of its keys.
+    known = about.join(small(cut(own.unionByName(alone))), "node", "left")
+    left = cut(apart.join(small(cut(split.select("key"))), "key", "left_semi").join(known, "node"))
 
     def side(x: str) -> DataFrame:
         return left.select("key", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("n_shingles").alias(f"n_{x}"),

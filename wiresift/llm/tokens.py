@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from wiresift.llm.common import worker_memo
 
 #: Remembered chunks and pieces of a worker; at the bound it forgets all and goes on.
-MEMO = 800_000
+MEMO = 400_000
 #: Characters of texts, about, whose new words are encoded together.
-TOGETHER = 1 << 22
+TOGETHER = 3 << 20
 # A run of Latin-1 letters, then other ASCII marks: parts that the tokenizer's
 # own splitting keeps apart, and that lower-casing maps letter by letter.
 _WORD, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
