@@ -1,6 +1,7 @@
 """The capture data source: pushed filters, splits, and captures that grow while they are read."""
 
 import datetime as dt
+import json
 import random
 import struct
 
@@ -105,3 +106,47 @@ def test_bounds_and_offsets(tmp_path):
     assert again.latestOffset() == at and again.partitions(at, again.latestOffset()) == []
     (tmp_path / "empty").mkdir()
     assert C.capture_files(C._uri(str(tmp_path / "empty"))) == []
+
+
+@pytest.fixture
+def many(tmp_path):
+    """Sixty small files in two folders, and some that are no captures by name or size."""
+    for i in range(60):
+        folder = tmp_path / "in" / ("a" if i % 2 else "b.c")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"c{i:02d}.pcap").write_bytes(HEAD + b"".join(records(i, 4)))
+    (tmp_path / "in" / "_SUCCESS").write_bytes(b"x" * 40)
+    (tmp_path / "in" / "short.pcap").write_bytes(b"x")
+    return tmp_path / "in"
+
+
+def read_all(reader, pieces):
+    return sorted((b.column("capture")[i].as_py(), b.column("pkt_seq")[i].as_py()) for p in pieces for b in reader.read(p) for i in range(b.num_rows))
+
+
+def test_small_files_share_a_task_of_the_stream(spark, many, tmp_path):
+    reader = C._Stream(C._uri(str(many)), 1 << 20, tasks=4)
+    pieces = reader.partitions(reader.initialOffset(), end := reader.latestOffset())
+    assert 4 <= len(pieces) <= 8 and len(read_all(reader, pieces)) == 240
+    assert len(json.dumps(end)) < sum(len(str(f)) for f in many.rglob("c*.pcap"))
+    order = read_all(reader, pieces)
+    assert [n >> C.FILE_SHIFT for _, n in order] == [i for i in range(60) for _ in range(4)]
+    got = O.drain(C.growing_captures(spark, str(many)))
+    assert plain(got) == plain(C.captured(spark, str(many)))
+
+
+def test_offsets_of_single_files_are_understood(many):
+    """Progress as it was written before, a file each, and by a base with a slash."""
+    reader = C._Stream(C._uri(str(many)), 1 << 20, tasks=4)
+    whole = reader.partitions(reader.initialOffset(), end := reader.latestOffset())
+    every = {path: [number, at] for p in whole for path, number, _, at in p}
+    before = {path: [n, C.FILE_HEADER if n % 3 else at] for path, (n, at) in every.items() if n < 30}
+    left = read_all(reader, reader.partitions(before, end))
+    assert left == read_all(reader, reader.partitions(before, every)) and len(left) == 240 - 40
+    again = C._Stream(C._uri(str(many)), 1 << 20)
+    assert again.partitions(every, end) == [] == again.partitions(every, again.latestOffset())
+    again = C._Stream(C._uri(str(many)) + "/", 1 << 20)
+    assert again.partitions(end, again.latestOffset()) == []
+    again.known = before
+    (many / "a" / "a0.pcap").write_bytes(HEAD + b"".join(records(99, 4)))
+    assert {n for p in again.partitions(end, again.latestOffset()) for _, n, _, _ in p} >= {30}
