@@ -150,3 +150,11 @@ def test_offsets_of_single_files_are_understood(many):
     again.known = before
     (many / "a" / "a0.pcap").write_bytes(HEAD + b"".join(records(99, 4)))
     assert {n for p in again.partitions(end, again.latestOffset()) for _, n, _, _ in p} >= {30}
+
+
+def test_small_files_share_a_task_of_a_batch(spark, many):
+    reader = C._Batch(C._uri(str(many)), tasks=4)
+    assert 4 <= len(pieces := reader.partitions()) <= 8
+    got = C.captured(spark, str(many))
+    assert got.rdd.getNumPartitions() < 40 and got.count() == len(read_all(reader, pieces)) == 240
+    assert sum(len(p.packed) for p in pieces) < 60 * 100
