@@ -123,3 +123,29 @@ def test_rule_expressions(spark):
     m = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 3), (3, 1)], "flow long, rule_id int")
     got = annotate.rule_expr(m, ["flow"], {"m01": 1, "m02": 2, "m03": 3}, "m01 and (m02 or m03)")
     assert sorted(r.flow for r in got.collect()) == [1, 3]
+
+
+def test_the_driver_lists_no_captures(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    names = ["b/x.pcap", "a-b.pcap", "a/z.pcap", "é.pcap", "a/long.pcap"]
+    want = {}
+    for i, name in enumerate(sorted(names)):
+        n = 300 if name.endswith("long.pcap") else 2
+        df = spark.range(n).select(F.lit("f").alias("file_name"), F.col("id").alias("pkt_seq"), F.timestamp_seconds(F.col("id")).alias("ts"),
+                                   F.unhex(F.lit("45")).alias("pkt"))
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(bytes(sinks.flow_captures(df, None).first().content))
+        want[f"{tmp_path}/in/{name}"] = [(i << capture.FILE_SHIFT) + k for k in range(n)]
+    (tmp_path / "in" / "empty.pcap").write_bytes(b"")
+
+    def refused(*_, **__):
+        raise AssertionError("listed by the driver")
+    monkeypatch.setattr(fs, "FileSelector", refused)
+    for split in (1 << 20, 100):
+        got = {}
+        for r in capture.read_capture(spark, str(tmp_path / "in"), split).orderBy("pkt_seq").collect():
+            got.setdefault(r.capture, []).append(r.pkt_seq)
+        assert got == want
+    (tmp_path / "none").mkdir()
+    assert capture.read_capture(spark, str(tmp_path / "none")).count() == 0
