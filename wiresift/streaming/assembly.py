@@ -10,16 +10,17 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 
 from wiresift.spec import CTS, STC
+from wiresift.streaming.packed import from_head, head_of, last_ms, micros, number, packed, side_number, side_of, stateful, unpacked
 
 HALF, FULL = 1 << 31, 1 << 32
 #: Bytes that may wait beyond a gap in one direction.
 MAX_WAITING = 1 << 24
 DATA, IDLE, OVERFLOW = "DATA", "IDLE", "OVERFLOW"
-CHUNK_OUT = ("flow_id {flow}, direction string, event string, chunk_no long, pkt_seq long, start_off long, "
-             "end_off long, delivered_at long, ts timestamp, payload binary")
+CHUNK_HEAD = {"direction": "string", "event": "string", "chunk_no": "long", "pkt_seq": "long", "start_off": "long",
+              "end_off": "long", "delivered_at": "long", "ts": "timestamp"}
 STATE = "chunks long, closed boolean, " + ", ".join(
     f"{d}_edge long, {d}_last long, {d}_fin long, {d}_lost boolean, {d}_waiting binary" for d in (CTS, STC))
 _HEAD = "<qqI"
@@ -85,8 +86,7 @@ class Side:
 class Assembler:
     """Delivers the bytes of one flow's two streams in order, as its segments arrive."""
 
-    def __init__(self, flow: str, max_waiting: int, idle_seconds: float | None) -> None:
-        self.names = [f.split()[0] for f in CHUNK_OUT.split(", ")]
+    def __init__(self, max_waiting: int, idle_seconds: float | None) -> None:
         self.max_waiting, self.idle = max_waiting, idle_seconds
 
     def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -94,9 +94,9 @@ class Assembler:
         sides = {CTS: Side.load(*saved[:5]), STC: Side.load(*saved[5:])}
         out: list[tuple] = []
 
-        def told(direction: str, event: str, ts=pd.NaT) -> None:
+        def told(direction: str, event: str, ts: int | None = None) -> None:
             side = sides[direction]
-            out.append((key[0], direction, event, None, None, side.edge, side.edge + side.held(), None, ts, None))
+            out.append((head_of(direction, event, None, None, side.edge, side.edge + side.held(), None, ts), None))
 
         if state.hasTimedOut:
             for direction, side in sides.items():
@@ -104,31 +104,36 @@ class Assembler:
                     told(direction, IDLE)
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values("pkt_seq")
-            for row in rows.itertuples(index=False):
-                side = sides[row.direction]
+            rows = sorted(unpacked(batches), key=lambda row: (not row[0][0], int(row[0][0] or 0)))
+            for (now, which, seq, isn, flags, ts, size), payload in rows:
+                direction = side_of(which)
+                side = sides[direction]
                 if closed or side.lost:
                     continue
-                low, data, now = side.offset(int(row.seq), int(row.isn)), bytes(row.payload), int(row.pkt_seq)
-                if data:
-                    for start, seq, fresh in side.deliver(low, now, data):
-                        out.append((key[0], row.direction, DATA, chunks, seq, start, start + len(fresh), now, row.ts, fresh))
+                if not size:
+                    raise ValueError("a segment without a payload")
+                low, now = side.offset(int(seq), int(isn)), int(now)
+                if payload:
+                    for start, came, fresh in side.deliver(low, now, payload):
+                        out.append((head_of(direction, DATA, chunks, came, start, start + len(fresh), now, number(ts)), fresh))
                         chunks += 1
-                if "F" in row.flags:
-                    side.fin = low + len(data)
+                flags = bytes.fromhex(flags.decode())
+                if b"F" in flags:
+                    side.fin = low + len(payload)
                 if side.held() > self.max_waiting:
-                    told(row.direction, OVERFLOW, row.ts)
+                    told(direction, OVERFLOW, number(ts))
                     side.lost, side.waiting = True, []
-                closed = "R" in row.flags or all(s.ended for s in sides.values())
+                closed = b"R" in flags or all(s.ended for s in sides.values())
             if closed:
                 # What was delivered is not delivered again; nothing else is kept.
                 sides = {CTS: Side(), STC: Side()}
             state.update((chunks, closed, *sides[CTS].dump(), *sides[STC].dump()))
             if self.idle is not None:
-                last = int(rows["ts"].max().timestamp() * 1000)
+                last = last_ms([number(head[5]) for head, _ in rows])
                 state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(self.idle * 1000))
         if out:
-            yield pd.DataFrame(out, columns=self.names)
+            heads, payloads = zip(*out, strict=True)
+            yield pd.DataFrame({"flow_id": [key[0]] * len(out), "head": heads, "payload": payloads}, dtype=object)
 
 
 def online_assembly(segments: DataFrame, idle_seconds: float | None = None, max_waiting: int = MAX_WAITING) -> DataFrame:
@@ -149,11 +154,11 @@ def online_assembly(segments: DataFrame, idle_seconds: float | None = None, max_
     watermark on ``ts``) silent flows, marks included, leave the state; an IDLE row
     tells of a stream that still waited for a gap to close.
     """
-    fields = ["flow_id", "direction", "pkt_seq", "ts", "seq", "isn", "flags", "payload"]
-    flow = segments.schema["flow_id"].dataType.simpleString()
-    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.EventTimeTimeout
-    return segments.select(*fields).groupBy("flow_id").applyInPandasWithState(
-        Assembler(flow, max_waiting, idle_seconds), CHUNK_OUT.format(flow=flow), STATE, "append", timeout)
+    row = packed([
+        F.col("pkt_seq").cast("long"), side_number(F.col("direction")), F.col("seq").cast("long"), F.col("isn").cast("long"),
+        F.when(F.col("flags").isNotNull(), F.hex("flags")).otherwise("-"), micros(F.col("ts"))], F.col("payload"))
+    out = stateful(segments, row, Assembler(max_waiting, idle_seconds), "head string, payload binary", STATE, idle_seconds)
+    return out.select("flow_id", *from_head(CHUNK_HEAD), "payload")
 
 
 def chunks_of(assembled: DataFrame) -> DataFrame:
