@@ -159,3 +159,28 @@ def test_pairs_seen_once_count(spark):
     held = next(i for i in range(100) if out(i))
     rows = lm.score(docs(spark, [*table, (held, text)])).collect()
     assert all(r.score > 0.6 * r.base_score for r in rows)
+
+
+def test_rows_of_a_region_are_taken_together(spark, monkeypatch):
+    """The filter and the scores do not depend on how many rows' keys are set or looked up at once."""
+    rows = docs(spark, [(i, f"a{i % 7} b{i} a{i % 5} c") for i in range(120)]).select("doc_id", "text")
+    monkeypatch.setattr(lm, "BROADCAST_BITS", 0)
+    monkeypatch.setattr(lm, "_SCORE_TOKENS", 50)
+    calls = spark.sparkContext.accumulator(0)
+    level = lm.Filter.level
+
+    class Counted(lm.Filter):
+        def level(self, keys, first=1):
+            calls.add(1)
+            return level(self, keys, first)
+    monkeypatch.setattr(lm, "Filter", Counted)
+
+    def found(together):
+        before = calls.value
+        monkeypatch.setattr(lm, "_TOGETHER", together)
+        bits = {r.seg: bytes(r.bits) for r in lm.learn(rows).built.collect()}
+        scores = sorted((r.doc_id, r.score) for r in lm.score(rows).collect())
+        return (bits, scores), calls.value - before
+
+    (one, few), (other, many) = found(1 << 19), found(1)
+    assert one == other and few < many / 1.5

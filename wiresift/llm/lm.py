@@ -52,6 +52,8 @@ BITS_PER_EVENT = 10
 BROADCAST_BITS = 1 << 31
 #: Bytes of the filter that the driver fetches at a time.
 FETCH = 16 << 20
+#: Keys of a region that are set or looked up at once, about.
+_TOGETHER = 1 << 19
 _WORD, _SUCCESSORS, _AGAIN = (np.uint64(x) for x in (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C, 0x5A5A5A5AC3C3C3C3))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _HALF = np.uint64(0xFFFFFFFF)
@@ -346,25 +348,36 @@ def _events(words: DataFrame, counted: DataFrame, regions: int) -> DataFrame:
 def _build(events: DataFrame, regions: int, region_bits: int) -> DataFrame:
     """(seg, bits) of the filter's regions that hold anything."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = None, None
+        # The more regions there are, the fewer keys a row has: many rows' are set together.
+        now, bits, size = None, None, 0
+        held: list[tuple[bytes, bytes]] = []
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array([now], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
                 names=["seg", "bits"])
 
+        def put() -> None:
+            key, level = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), (np.uint64, np.uint8), strict=True))
+            for at in range(1, int(level.max(initial=0)) + 1):
+                begin, step = _spread(key[level >= at], np.uint64(at))
+                for i in range(PROBES):
+                    byte, bit = _place(begin, step, i, region_bits)
+                    bits[(byte * np.uint64(8) + bit).astype(np.int64)] = True
+
         for batch in batches:
             for seg, keys, level in zip(*(batch.column(c).to_pylist() for c in ("seg", "keys", "levels")), strict=True):
+                if held and (seg != now or size >= _TOGETHER):
+                    put()
+                    held, size = [], 0
                 if seg != now:
                     if bits is not None:
                         yield row()
                     now, bits = seg, np.zeros(region_bits, bool)
-                key, level = np.frombuffer(keys, np.uint64), np.frombuffer(level, np.uint8)
-                for at in range(1, int(level.max(initial=0)) + 1):
-                    begin, step = _spread(key[level >= at], np.uint64(at))
-                    for i in range(PROBES):
-                        byte, bit = _place(begin, step, i, region_bits)
-                        bits[(byte * np.uint64(8) + bit).astype(np.int64)] = True
+                held.append((keys, level))
+                size += len(level)
+        if held:
+            put()
         if bits is not None:
             yield row()
 
@@ -433,9 +446,9 @@ def _ngrams(tokens: np.ndarray, firsts: np.ndarray) -> Grams:
     return tuple(np.unique(x, return_inverse=True) for x in (tokens, before, pair_keys(before, tokens)))
 
 
-def _wanted(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+def _wanted(grams: Grams) -> np.ndarray:
     """The distinct keys that ``Model.log10`` looks up, sorted, and so in the order of their regions."""
-    (word, _), (context, _), (pair, _) = _ngrams(tokens, firsts)
+    (word, _), (context, _), (pair, _) = grams
     return np.unique(np.concatenate([mixed(word ^ _WORD), mixed(context ^ _SUCCESSORS), mixed(context ^ _AGAIN), pair]))
 
 
@@ -499,6 +512,8 @@ def learn(docs: DataFrame) -> Trained:
 SCORED = ("row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
           "rare array<long>, rare_n array<long>")
 _SCORE_TOKENS = 200_000
+#: As many times larger are the chunks whose n-grams are looked up in the regions: more of them recur there.
+_LOOKUP_CHUNK = 3
 #: Rows of three kinds: scored documents without a score, chunks of their tokens, and keys to look up.
 _LOOKUP = f"kind int, seg int, chunk long, a binary, b binary, {SCORED}"
 _LOOKUP_NAMES = [f.split()[0] for f in _LOOKUP.split(", ")]
@@ -555,9 +570,10 @@ def score(docs: DataFrame) -> DataFrame:
     def lookups(held: list[tuple]) -> Iterator[tuple]:
         tokens, sizes = np.concatenate([t for _, _, t in held]), np.array([len(t) for _, _, t in held])
         chunk = held[0][0]
-        word, at = np.unique(tokens, return_inverse=True)
+        grams = _ngrams(tokens, np.concatenate(([0], np.cumsum(sizes)[:-1])))
+        word, at = grams[0]
         yield (_CHUNK, 0, chunk, word.tobytes(), np.concatenate(([len(sizes)], sizes, at)).astype(np.uint32).tobytes())
-        keys = _wanted(tokens, np.concatenate(([0], np.cumsum(sizes)[:-1])))
+        keys = _wanted(grams)
         for seg, mine in _split(region_of(keys, regions), keys):
             yield (_KEYS, seg, chunk, mine.tobytes(), b"")
 
@@ -585,7 +601,7 @@ def score(docs: DataFrame) -> DataFrame:
                 held.append((next_id, doc, _tokens(text)))
                 next_id += 1
                 size += len(held[-1][2])
-                if size >= _SCORE_TOKENS:
+                if size >= _SCORE_TOKENS * (1 if fits else _LOOKUP_CHUNK):
                     yield from batch_of(here, held, of_words)
                     held, size = [], 0
         if held:
@@ -617,19 +633,29 @@ def _looked_up(wanted: DataFrame, trained: Trained) -> DataFrame:
     bare = {**bare, "frequent": np.empty(0, np.uint64), "counts": np.empty(0, np.int64)}
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sorted by region, its bits (kind -1) first.
-        now, here = None, None
+        # Sorted by region, its bits (kind -1) first. A chunk has few keys in a region: many chunks' are looked up together.
+        now, here, size = None, None, 0
+        held: list[tuple[int, int, np.ndarray]] = []
+
+        def found() -> pa.RecordBatch:
+            keys = np.concatenate([k for _, _, k in held])
+            level = (here.level(keys) if now == held[0][0] else np.zeros(len(keys), np.int64)).astype(np.uint8)
+            ends = np.cumsum([len(k) for _, _, k in held]).tolist()
+            return _table(((_LEVELS, seg, chunk, level[end - len(k):end].tobytes(), b"")
+                           for (seg, chunk, k), end in zip(held, ends, strict=True)), names, _LOOKUP_TYPES)
+
         for batch in batches:
-            out = []
             for kind, seg, chunk, a in zip(*(batch.column(c).to_pylist() for c in names[:4]), strict=True):
+                if held and (seg != held[0][0] or size >= _TOGETHER):
+                    yield found()
+                    held, size = [], 0
                 if kind == -1:
                     now, here = seg, Filter(np.frombuffer(a, np.uint8), region_bits, 1)
                     continue
-                keys = np.frombuffer(a, np.uint64)
-                level = here.level(keys) if now == seg else np.zeros(len(keys), np.int64)
-                out.append((_LEVELS, seg, chunk, level.astype(np.uint8).tobytes(), b""))
-            if out:
-                yield _table(iter(out), names, _LOOKUP_TYPES)
+                held.append((seg, chunk, np.frombuffer(a, np.uint64)))
+                size += len(held[-1][2])
+        if held:
+            yield found()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sorted by chunk, kind and region: the tokens, then the levels in the order of the sorted keys.
@@ -637,9 +663,9 @@ def _looked_up(wanted: DataFrame, trained: Trained) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            keys, level = _wanted(tokens, firsts), np.frombuffer(b"".join(levels_of), np.uint8).astype(np.int64)
-            scores = np.add.reduceat(
-                here.log10(_ngrams(tokens, firsts), lambda some: level[np.searchsorted(keys, some)]), firsts)
+            grams = _ngrams(tokens, firsts)
+            keys, level = _wanted(grams), np.frombuffer(b"".join(levels_of), np.uint8).astype(np.int64)
+            scores = np.add.reduceat(here.log10(grams, lambda some: level[np.searchsorted(keys, some)]), firsts)
             return pa.RecordBatch.from_arrays(
                 [pa.array(now + np.arange(len(sizes))), pa.array(scores)], names=["row_id", "score"])
 
